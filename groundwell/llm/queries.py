@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwell.llm.packing import pack
+from groundwell.llm.quality_rules import score_rules
 from groundwell.llm.sentencepiece_codec import encode_pieces
 from groundwell.llm.shared import shared_folder
+from groundwell.llm.simhash import components
 from groundwell.llm.token_output import read_documents, write_sequences
 
 
@@ -31,10 +33,20 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_token_output": op3_token_output,
     "op4_sentencepiece": op4_sentencepiece,
+    "op9_simhash": op9_simhash,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
