@@ -12,6 +12,7 @@ from groundwell.llm.sentencepiece_codec import encode_pieces
 from groundwell.llm.shared import shared_folder
 from groundwell.llm.simhash import components
 from groundwell.llm.token_output import read_documents, write_sequences
+from groundwell.llm.toxicity import in_fold, score, train
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", (in_fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
 
@@ -45,6 +52,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_token_output": op3_token_output,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_toxicity": op5_toxicity,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
