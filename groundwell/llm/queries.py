@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundwell.llm.exact_dedup import duplicates
+from groundwell.llm.license_scan import scan
 from groundwell.llm.packing import pack
 from groundwell.llm.quality_rules import score_rules
 from groundwell.llm.sentencepiece_codec import encode_pieces
@@ -13,12 +15,17 @@ from groundwell.llm.shared import shared_folder
 from groundwell.llm.simhash import components
 from groundwell.llm.token_output import read_documents, write_sequences
 from groundwell.llm.toxicity import in_fold, score, train
+from groundwell.llm.warc import read_warc, write_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -40,6 +47,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", (in_fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), folder)
+    return read_warc(spark, folder).withColumnRenamed("id", "page_id")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
 
@@ -49,10 +66,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
     "op2_packing": op2_packing,
     "op3_token_output": op3_token_output,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_toxicity": op5_toxicity,
+    "op6_warc": op6_warc,
+    "op7_license_scan": op7_license_scan,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
