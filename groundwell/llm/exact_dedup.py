@@ -1,13 +1,13 @@
 """Exact dedup by content-defined chunk recipes, with DataFrame functions only.
 
 White space is normalised and each text is cut where its own characters say so, so equal texts are cut alike. A chunk's
-candidate identifier is the XXH64 of its bytes; it is verified by comparing the chunks themselves: every distinct chunk is
-moved once for each task that holds it, and an identifier shared by different chunks is replaced in the recipes of their
-documents by their SHA-256. Two texts are equal when their ordered lists of verified identifiers are. Documents themselves are
-never moved: only their recipes, 8 bytes a chunk, meet.
+identifier is the XXH64 of its bytes, verified by its SHA-256: an identifier under which chunks of different SHA-256 are
+found is replaced by it in the recipes that hold it. Two texts are equal when their ordered lists of verified identifiers
+are. Texts are read once and never moved: distinct (identifier, SHA-256) pairs meet for the verification, and recipes, 8 bytes
+a chunk, for the comparison.
 
 Cuts come after a character outside a class followed by eight inside it (code points of 1 or 2 modulo 4), about every few
-hundred characters of prose; a piece longer than ``max_chunk`` characters is cut at multiples of it.
+hundred characters of prose, and after ``max_chunk`` characters at the latest.
 
 Defined results: null text counts as empty, and all empty texts are equal; of equal texts the row with the smallest id stays, a null
 id only if no other has one; rows that repeat an id stay or go together; an empty table gives an empty result; other columns are
@@ -21,47 +21,49 @@ from pyspark.sql import functions as F
 
 from groundwell.llm.shared import id_and_text, stored
 
-_SPACES = r"[\x20\x09-\x0D]+"
 #: Every ASCII and Latin-1 character whose code point is 1 or 2 modulo 4; spaces are outside it.
 _INSIDE = "".join(f"\\x{c:02x}" for c in range(0x21, 0x100) if c % 4 in (1, 2))
-_CUT = f"(?<=[^{_INSIDE}][{_INSIDE}]{{8}})"
 
 
-def normalised(text: Column) -> Column:
-    return F.regexp_replace(text, _SPACES, " ")
+def normalised(docs: DataFrame) -> DataFrame:
+    """Each run of spaces and controls 9 to 13 in ``text`` as one space; plain replacements, since runs are rare."""
+    text = F.col("text")
+    for control in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(control), F.lit(" "))
+    docs = docs.withColumn("text", text)
+    return docs.withColumn("text", F.when(F.contains(F.col("text"), F.lit("  ")), F.regexp_replace("text", " {2,}", " ")).otherwise(F.col("text")))
 
 
 def chunks(text: Column, max_chunk: int) -> Column:
-    """The pieces of a text in order; joined they are the text."""
-    pieces = F.split(text, _CUT, -1)
-    long = F.exists(pieces, lambda x: F.length(x) > max_chunk)
-
-    def cut(x: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.length(x) - 1, F.lit(0)), F.lit(max_chunk)), lambda at: F.substring(x, at + 1, F.lit(max_chunk)))
-
-    return F.when(long, F.flatten(F.transform(pieces, cut))).otherwise(pieces)
+    """The pieces of a text in order; joined they are the text, and the empty text has none."""
+    cut = f"(?s).{{0,{max_chunk - 9}}}?[^{_INSIDE}][{_INSIDE}]{{8}}|.{{1,{max_chunk}}}"
+    return F.regexp_extract_all(text, F.lit(cut), F.lit(0))
 
 
 def recipes(df: DataFrame, max_chunk: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``text_sha256`` of the normalised text, and ``recipe``, its ordered verified chunk identifiers."""
-    docs = id_and_text(df, id_col, text_col).select("id", normalised(F.col("text")).alias("text"))
-    own = docs.select("id", F.sha2("text", 256).alias("text_sha256"), F.transform(chunks(F.col("text"), max_chunk), lambda x: F.xxhash64(x)).alias("recipe"))
-    own = stored(own, "recipes")
-    moved = docs.select(F.explode(chunks(F.col("text"), max_chunk)).alias("chunk")).select(F.xxhash64("chunk").alias("h"), "chunk")
-    shared = moved.groupBy("h").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most")).where("least <> most").select("h")
-    shared = stored(shared, "shared-identifiers")
+    docs = normalised(id_and_text(df, id_col, text_col))
+    parts = F.transform(chunks(F.col("text"), max_chunk), lambda x: F.struct(F.xxhash64(x).alias("h"), F.unhex(F.sha2(x, 256)).alias("digest")))
+    own = stored(docs.select("id", F.sha2("text", 256).alias("text_sha256"), parts.alias("parts")), "recipes")
+    table = own.select(F.explode("parts").alias("part")).select("part.h", "part.digest").distinct()
+    shared = stored(table.groupBy("h").count().where("count > 1").select("h"), "shared-identifiers")
+    plain = own.select("id", "text_sha256", F.col("parts.h").alias("recipe"))
     if not shared.limit(1).count():
-        return own
-    # an identifier of several chunks: documents that hold it are told apart by the SHA-256 of their chunks
-    unclear = own.select("text_sha256", F.explode("recipe").alias("h")).join(shared, "h", "left_semi").select("text_sha256").distinct()
-    exact = docs.select(F.sha2("text", 256).alias("text_sha256"), "text").join(unclear, "text_sha256", "left_semi").dropDuplicates(["text_sha256"])
-    exact = exact.select("text_sha256", F.flatten(F.transform(chunks(F.col("text"), max_chunk), lambda x: _halves(F.sha2(x, 256)))).alias("exact_recipe"))
-    return own.join(exact, "text_sha256", "left").select("id", "text_sha256", F.coalesce("exact_recipe", "recipe").alias("recipe"))
+        return plain
+    return verified(own, shared)
+
+
+def verified(own: DataFrame, shared: DataFrame) -> DataFrame:
+    """Recipes in which an identifier in ``shared`` gives way to the SHA-256 of its chunk, as four numbers behind it."""
+    held = own.select(F.explode("parts.h").alias("h"), "text_sha256").join(shared, "h", "left_semi")
+    unclear = held.groupBy("text_sha256").agg(F.collect_set("h").alias("bad"))  # at most the chunks of one text
+    exact = own.join(unclear, "text_sha256", "left")
+    full = F.flatten(F.transform("parts", lambda x: F.when(F.array_contains("bad", x["h"]), F.concat(F.array(x["h"]), _quarters(x["digest"]))).otherwise(F.array(x["h"]))))
+    return exact.select("id", "text_sha256", F.when(F.col("bad").isNull(), F.col("parts.h")).otherwise(full).alias("recipe"))
 
 
-def _halves(digest: Column) -> Column:
-    """A hexadecimal SHA-256 as eight numbers of 32 bits."""
-    return F.transform(F.sequence(F.lit(1), F.lit(57), F.lit(8)), lambda at: F.conv(F.substring(digest, at, F.lit(8)), 16, 10).cast("bigint"))
+def _quarters(digest: Column) -> Column:
+    return F.array(*(F.conv(F.hex(F.substring(digest, 8 * k + 1, 8)), 16, -10).cast("bigint") for k in range(4)))
 
 
 def duplicates(df: DataFrame, max_chunk: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from groundwell.llm.exact_dedup import duplicates
 from groundwell.llm.license_scan import scan
 from groundwell.llm.packing import pack
+from groundwell.llm.pii import find
 from groundwell.llm.quality_rules import score_rules
 from groundwell.llm.sentencepiece_codec import encode_pieces
 from groundwell.llm.shared import shared_folder
@@ -57,6 +58,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op7_license_scan": op7_license_scan,
+    "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
