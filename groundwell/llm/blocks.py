@@ -25,6 +25,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int) -> It
             end = max(start + 1, int(np.searchsorted(ends, before + max_bytes, "right")))
             yield batch.slice(start, end - start)
             start = end
+    pa.default_memory_pool().release_unused()  # workers live on, beside those of other stages
 
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
