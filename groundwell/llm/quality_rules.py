@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwell.llm.blocks import IS_SPACE, Words, binary_array, buffer_of, row_numbers, slices, sums
-from groundwell.llm.shared import id_and_text, schema_with_id, text_of
+from groundwell.llm.shared import bound_batches, id_and_text, schema_with_id, text_of
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -194,6 +194,7 @@ def score_rules(df: DataFrame, rules: tuple[Rule, ...] | None = None, id_col: st
 
 def keep_good(df: DataFrame, rules: tuple[Rule, ...] | None = None, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that the cascade keeps, with all their columns; rejected rows stop at the first rule that rejects them."""
+    bound_batches(df.sparkSession)
     rules = rules or measured_order(df, text_col=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,8 +35,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch between the JVM and Python; both sides hold a few at a time in each task.
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Lowers the session's Arrow batches to ``most`` bytes, so that long rows cannot fill the memory beside the heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = int("".join(c for c in spark.conf.get(name, "0") if c.isdigit()) or 0)
+    if not 0 < held <= most:
+        spark.conf.set(name, f"{most}b")
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only ``id`` and ``text``, null text as empty: other columns of the input cannot clash with anything."""
+    bound_batches(df.sparkSession)
     return df.select(F.col(_quoted(id_col)).alias("id"), text_of(text_col).alias("text"))
 
 

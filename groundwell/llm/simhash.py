@@ -224,7 +224,7 @@ def similar(left: np.ndarray, right: np.ndarray, left_size: np.ndarray, right_si
     return near
 
 
-def keep_one(df: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.02, radius: int = 17, tile_size: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.02, radius: int = 17, tile_size: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` but for near copies: of each group linked by word-shingle similarity, the smallest id stays.
 
     Fingerprints of 256 bits estimate the Jaccard similarity of the sets of shingles; links are pairs estimated at
