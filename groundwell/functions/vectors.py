@@ -8,6 +8,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _sum(values: Column) -> Column:
@@ -84,7 +85,7 @@ def embed(df: DataFrame, text_col: str, embedder: Embedder | None = None, dims:
     """
     if embedder is None:
         return df.withColumns({"embedding": char_embed(text_col, dims), "embedder_used": F.lit("characters")})
-    schema = df.withColumns({"embedding": F.array().cast("array<double>"), "embedder_used": F.lit("")}).schema
+    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType())), T.StructField("embedder_used", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

@@ -14,10 +14,13 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groundwell.functions.text import file_name, stem, strip, suffix, title_case
 
-SECTIONS = "array<struct<loc: string, text: string, metadata: map<string,string>>>"
+# Type objects, since type strings need a session when this module is imported.
+FIELDS = T.MapType(T.StringType(), T.StringType())
+SECTIONS = T.ArrayType(T.StructType([T.StructField("loc", T.StringType()), T.StructField("text", T.StringType()), T.StructField("metadata", FIELDS)]))
 # Suffixes by format.
 MARKDOWN = (".md", ".txt")
 TABULAR = (".csv", ".tsv")
@@ -37,7 +40,7 @@ def scan_directory(spark: SparkSession, path: str, suffixes: tuple[str, ...] = L
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     """``rel``, ``slug`` and ``text`` of the Markdown pages below ``path`` but for ``index.md``."""
     root = path.removeprefix("file:").rstrip("/") + "/"
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path).select(F.regexp_replace(F.input_file_name(), f"^.*?\\Q{root}\\E", "").alias("rel"), F.col("value").alias("text"))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.regexp_replace(F.input_file_name(), f"^.*?\\Q{root}\\E", "").alias("rel"), F.col("value").alias("text"))
     return files.where(file_name("rel") != "index.md").select("rel", stem("rel").alias("slug"), "text")
 
 
@@ -49,7 +52,7 @@ def split_frontmatter(text: Column | str) -> tuple[Column, Column]:
     return F.when(has, F.regexp_extract(text, pattern, 1)), F.when(has, F.regexp_extract(text, pattern, 2))
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(FIELDS)
 def yaml_fields(blocks: pd.Series) -> pd.Series:
     """Fields of YAML mappings as text, lists as JSON; null for anything else."""
     import json
@@ -143,7 +146,7 @@ def parse(files: DataFrame, respect_fences: bool = False) -> DataFrame:
     """Parses each file by its suffix; each format is a branch of its own, so files meet only the Python they need."""
     rows = files.select("source_uri", "content").withColumn("ext", suffix("source_uri"))
     spoken = title_case(F.replace(stem("source_uri"), F.lit("-"), F.lit(" ")))
-    text = F.decode("content", "UTF-8")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     parts = []
     front, body = split_frontmatter("text")
     marked = rows.where(F.col("ext").isin(*MARKDOWN)).select("source_uri", text.alias("text")).select("source_uri", F.coalesce(body, "text").alias("body"), yaml_fields(front).alias("f"))
