@@ -42,8 +42,7 @@ BATCH_BYTES = 16 << 20
 def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Lowers the session's Arrow batches to ``most`` bytes, so that long rows cannot fill the memory beside the heap."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = int("".join(c for c in spark.conf.get(name, "0") if c.isdigit()) or 0)
-    if not 0 < held <= most:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > most:
         spark.conf.set(name, f"{most}b")
 
 
