@@ -43,14 +43,16 @@ def bm25(df: DataFrame, queries: DataFrame, id_col: str, doc_words: Column, quer
     """``qid``, ``id`` and ``score`` of every match; with ``match_all`` a match holds every term of its query.
 
     Only postings of asked terms are exploded: documents keep the words that some query names before anything is
-    counted, and counts are partial before they are shuffled by term.
+    counted, and counts are partial before they are shuffled by term. (An outer explode keeps Catalyst from testing the size of the
+    words first, which would extract them twice.)
     """
     asked = query_rows(queries, query_words)
     rows = df.select(F.col(id_col).alias("id"), doc_words.alias("words")).select("id", F.size("words").alias("len"), "words")
     corpus = rows.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    found = rows.select("id", "len", F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    found = rows.select("id", "len", F.explode_outer("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     found = found.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    df_of = found.groupBy("term").agg(F.count("*").alias("df"))
+    # counts rows through tf, so that both aggregations read one exchange
+    df_of = found.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(floor_idf))
     weighted = asked.join(df_of, "term").crossJoin(F.broadcast(corpus)).withColumn("idf", idf)  # one row of totals
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
@@ -61,7 +63,7 @@ def bm25(df: DataFrame, queries: DataFrame, id_col: str, doc_words: Column, quer
 def and_match(df: DataFrame, queries: DataFrame, id_col: str, doc_words: Column, query_words: Column) -> DataFrame:
     """``qid`` and ``id`` where the document holds every term of the query."""
     asked = query_rows(queries, query_words)
-    held = df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(doc_words)).alias("term"))
+    held = df.select(F.col(id_col).alias("id"), F.explode_outer(F.array_distinct(doc_words)).alias("term"))
     return held.join(asked, "term").groupBy("qid", "id", "n_terms").agg(F.count("*").alias("matched")).where("matched = n_terms").select("qid", "id")
 
 

@@ -68,7 +68,7 @@ def overlap_search(df: DataFrame, queries: DataFrame, k: int, id_col: str, doc_w
     Words meet by a join on the word, so no row is compared with a query that it shares nothing with.
     """
     asked = queries.select("qid", F.explode(F.array_distinct(query_words)).alias("term"))
-    rows = df.select(F.col(id_col).alias("id"), (F.lit(0.0) if base is None else base).alias("base"), F.explode(F.array_distinct(doc_words)).alias("term"))
+    rows = df.select(F.col(id_col).alias("id"), (F.lit(0.0) if base is None else base).alias("base"), F.explode_outer(F.array_distinct(doc_words)).alias("term"))
     scored = rows.join(asked, "term").groupBy("qid", "id").agg((F.first("base") + F.count("*")).alias("score"))
     return ranked(scored, k)
 
