@@ -15,6 +15,11 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def doubles(v: Column | str) -> Column:
     return (F.col(v) if isinstance(v, str) else v).cast("array<double>")
 
@@ -27,6 +32,18 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot / norm).otherwise(F.lit(0.0))
 
 
+def unit(v: Column | str) -> Column:
+    """Scaled to length 1 in double precision; a zero vector stays one."""
+    pair = _let(doubles(v), lambda r: F.struct(r.alias("r"), F.sqrt(_sum(F.transform(r, lambda x: x * x))).alias("n")))
+    return _let(pair, lambda s: F.when(s["n"] > 0, F.transform(s["r"], lambda x: x / s["n"])).otherwise(s["r"]))
+
+
+def unit_cosine(a: Column | str, b: Column | str) -> Column:
+    """Cosine of vectors that went through :func:`unit`: one pass over a pair instead of three."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return F.when(F.size(a) == F.size(b), _sum(F.zip_with(a, b, lambda x, y: x * y))).otherwise(F.lit(0.0))
+
+
 def cosine_distance(a: Column | str, b: Column | str) -> Column:
     """1 less the similarity; 1 for zero vectors."""
     return F.lit(1.0) - cosine(a, b)
@@ -52,13 +69,13 @@ def hash_embed(text: Column | str, dims: int = 64) -> Column:
     """Counts of lower-cased white-space separated words by bucket."""
     text = F.col(text) if isinstance(text, str) else text
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    zero = F.array_repeat(F.lit(0.0), dims)
-    return F.aggregate(F.transform(words, lambda w: hash_bucket(w, dims)), zero, lambda acc, b: F.transform(acc, lambda x, k: x + F.when(k == b, 1.0).otherwise(0.0)))
-
-
-def _let(value: Column, then) -> Column:
-    """``then(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
+    if dims > 256:
+        zero = F.array_repeat(F.lit(0.0), dims)
+        return F.aggregate(F.transform(words, lambda w: hash_bucket(w, dims)), zero, lambda acc, b: F.transform(acc, lambda x, k: x + F.when(k == b, 1.0).otherwise(0.0)))
+    # a character for each word: counting one is a plain replacement, far cheaper than a lambda for each word and bucket
+    marks = F.array_join(F.transform(words, lambda w: F.char(hash_bucket(w, dims))), "")
+    counts = lambda m: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: (F.length(m) - F.length(F.replace(m, F.char(k), F.lit("")))).cast("double"))
+    return _let(marks, counts)
 
 
 def char_embed(text: Column | str, dims: int = 1024) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from groundwell.functions.vectors import cosine, rrf
+from groundwell.functions.vectors import rrf, unit, unit_cosine
 from groundwell.operators.lexical import bm25, ranked
 
 
@@ -14,14 +14,13 @@ def vector_topk(df: DataFrame, queries: DataFrame, k: int, id_col: str, vector:
     """``qid``, ``id``, ``score`` (cosine) and ``rank`` of the k best rows of each query.
 
     The stated query set, checked against ``max_queries``, is broadcast to the rows; each task keeps only its k best rows of a
-    query before anything is shuffled.
+    query before anything is shuffled. ``where`` is applied before ranking.
     """
     if queries.limit(max_queries + 1).count() > max_queries:
         raise ValueError(f"more than {max_queries} queries in a batch")
-    pairs = df.select(F.col(id_col).alias("id"), F.col(vector).alias("__v"), *([] if where is None else ["source_uri"])).crossJoin(F.broadcast(queries))
-    if where is not None:
-        pairs = pairs.where(where)
-    scored = pairs.select("qid", "id", cosine("__v", query_vector).alias("score"))
+    rows = df if where is None else df.where(where)
+    pairs = rows.select(F.col(id_col).alias("id"), unit(vector).alias("__v")).crossJoin(F.broadcast(queries.select("qid", unit(query_vector).alias("__q"))))
+    scored = pairs.select("qid", "id", unit_cosine("__v", "__q").alias("score"))
     if min_similarity is not None:
         scored = scored.where(F.col("score") >= min_similarity)
     return ranked(scored, k)
@@ -49,7 +48,7 @@ def wiki_search(pages: DataFrame, queries: DataFrame, k: int, id_col: str, doc_w
     """Pages by 0-based vector rank over all pages and 0-based keyword rank; a page without one counts as rank ``miss``."""
     if k <= 0:
         return pages.select(F.lit(0).alias("qid"), F.col(id_col).alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where(F.lit(False))
-    scored = pages.select(F.col(id_col).alias("id"), F.col(vector).alias("__v")).crossJoin(F.broadcast(queries.select("qid", query_vector))).select("qid", "id", cosine("__v", query_vector).alias("score"))
+    scored = pages.select(F.col(id_col).alias("id"), unit(vector).alias("__v")).crossJoin(F.broadcast(queries.select("qid", unit(query_vector).alias("__q")))).select("qid", "id", unit_cosine("__v", "__q").alias("score"))
     order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "id")
     v = scored.withColumn("v_rank", F.row_number().over(order) - 1).select("qid", "id", "v_rank")
     t = ranked(bm25(pages, queries, id_col, doc_words, query_words), keyword_limit, first=0).select("qid", "id", F.col("rank").alias("t_rank"))
