@@ -62,3 +62,10 @@ def answer(search: Callable[[str, int], DataFrame], pages: DataFrame, retrieve:
     results = fetch_many(addresses, retrieve(addresses)).orderBy("ord")
     ok = results.where("status = 'ok'").limit(1).count()
     return Answer("with_sources" if ok else "no_source", row["slug"], row.get("summary"), results)
+
+
+def fetch_one(path: str, hint: str, retrieve: Callable[[DataFrame], DataFrame], spark, loc: str | None = None) -> dict:
+    """A single address as a dictionary of status, context and citations, and nothing else that a caller could act on."""
+    address = spark.createDataFrame([(0, path, hint, loc)], "ord int, path string, hint string, loc string")
+    row = fetch_many(address, retrieve(address)).first().asDict(recursive=True)
+    return {name: row[name] for name in ("status", "context", "citations")}

@@ -144,3 +144,22 @@ def first_source_page(addresses: DataFrame) -> DataFrame:
     """The page that names an address last, for each (path, hint)."""
     last = Window.partitionBy("path", "hint").orderBy(F.col("slug").desc(), F.col("ord").desc())
     return addresses.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
+
+
+def index_is_stale(rendered: DataFrame, stored: str | None) -> bool:
+    """Whether a stored index differs from the rendered one."""
+    return rendered.first()["content"] != stored
+
+
+def compile_page(notes: DataFrame, today: str) -> DataFrame:
+    """``rel`` and ``text`` of a page for each note (``title``, ``category``, ``summary``, ``path``, ``hint``); the summary comes from the caller, the date is given."""
+    from groundwell.functions.text import note_file_name, source_block
+
+    front = F.format_string("---\ntype: %s\ntitle: %s\nsummary: %s\nentities: []\ndepartment: all\nlast_compiled: %s\nsources:\n", F.col("category"), F.col("title"), F.col("summary"), F.lit(today))
+    body = F.concat(F.lit("---\n\n# "), "title", F.lit("\n\n## Summary\n\n"), "summary", F.lit("\n"))
+    return notes.select(F.concat("category", F.lit("/"), note_file_name("title")).alias("rel"), F.concat(front, source_block("path", "hint", F.lit("")), body).alias("text"))
+
+
+def heal_log(heals: DataFrame, at: str) -> DataFrame:
+    """A line for each heal (``slug``, ``old``, ``new``, ``trigger``) for an append-only log."""
+    return heals.select(F.format_string("- [%s] heal (%s): %s: %s -> %s", F.lit(at), F.col("trigger"), F.col("slug"), F.col("old"), F.col("new")).alias("value"))

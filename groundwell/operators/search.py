@@ -78,3 +78,10 @@ def read_page(pages: DataFrame, path: str) -> DataFrame:
 
     wanted = normalize_path(F.lit(path))
     return pages.where((F.col("slug") == path) | (normalize_path("rel") == wanted)).limit(1)
+
+
+def fallback_hits(hits: DataFrame, text: Column | str = "text") -> DataFrame:
+    """What page search gives where there are no pages: retrieved chunks, each summed up by its first 200 characters."""
+    from groundwell.functions.text import snippet, stem
+
+    return hits.select("qid", stem("file_path").alias("id"), F.col("file_path").alias("path"), "score", snippet(text).alias("summary"))

@@ -243,3 +243,20 @@ def test_event_streams_match_tables(spark, data, tmp_path):
     table = {(r.window_start, r.event_type): r.n for r in events.tumbling(spark.read.parquet(f"{data}/events.parquet")).collect()}
     assert {(r.window_start, r.event_type): r.n for r in spark.table("windows").collect()} == table
     assert events.deduplicated(spark.read.parquet(f"{data}/events.parquet")).count() == spark.read.parquet(f"{data}/events.parquet").count()
+
+
+def test_pages_logs_and_tools(spark, pages):
+    notes = spark.createDataFrame([("My Note", "concept", "Short.", "raw/a.md", "keys")], "title string, category string, summary string, path string, hint string")
+    (page,) = governance.compile_page(notes, "2026-01-01").collect()
+    assert page.rel == "concept/my-note.md" and "last_compiled: 2026-01-01\nsources:\n  - path: raw/a.md\n    hint: keys\n---\n\n# My Note" in page.text
+    assert parse.split_frontmatter("x")[0] is not None
+    heals = spark.createDataFrame([("cache", "a", "b", "drift")], "slug string, old string, new string, trigger string")
+    assert governance.heal_log(heals, "now").first().value == "- [now] heal (drift): cache: a -> b"
+    rendered = governance.render_index(pages)
+    assert governance.index_is_stale(rendered, "old") and not governance.index_is_stale(rendered, rendered.first().content)
+    hit = spark.createDataFrame([(0, "c", "text", "raw/a.md", 1.0, None)], "ord int, chunk_id string, text string, file_path string, score double, loc string")
+    found = fetch.fetch_one("raw/a.md", "h", lambda a: hit, spark, "p. 2")
+    assert set(found) == {"status", "context", "citations"} and found["context"] == [{"text": "text", "file_path": "raw/a.md", "loc": "p. 2"}]
+    hits = spark.createDataFrame([(1, "raw/x-y.md", 0.5, "z" * 300)], "qid int, file_path string, score double, text string")
+    row = search.fallback_hits(hits).first()
+    assert row.id == "x-y" and row.summary == "z" * 200 + "..."
