@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_LIBC = ctypes.CDLL(None)
 #: Whitespace of the word rules: space and the controls 9 to 13.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -25,7 +27,14 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int) -> It
             end = max(start + 1, int(np.searchsorted(ends, before + max_bytes, "right")))
             yield batch.slice(start, end - start)
             start = end
-    pa.default_memory_pool().release_unused()  # workers live on, beside those of other stages
+    release()
+
+
+def release() -> None:
+    """Gives free memory back to the system: workers live on, beside the JVM and those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

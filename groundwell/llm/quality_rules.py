@@ -162,7 +162,7 @@ def measured_order(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     sample = df.select(text_of(text_col).alias("text")).sample(fraction=min(1.0, sample_rows / max(total, 1)), seed=seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             for k, rule in enumerate(rules):
                 texts = Texts(*buffer_of(batch.column("text")))
                 began = time.thread_time()
@@ -181,7 +181,7 @@ def score_rules(df: DataFrame, rules: tuple[Rule, ...] | None = None, id_col: st
     out = schema_with_id(docs, "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             texts = Texts(*buffer_of(batch.column("text")))
             kept = np.zeros(len(texts), bool)
             kept[cascade(texts, rules)] = True
@@ -198,7 +198,7 @@ def keep_good(df: DataFrame, rules: tuple[Rule, ...] | None = None, text_col: st
     rules = rules or measured_order(df, text_col=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 4 << 20):
+        for batch in slices(batches, text_col, 2 << 20):
             kept = cascade(Texts(*buffer_of(batch.column(text_col))), rules)
             if len(kept):
                 yield batch.take(pa.array(kept))

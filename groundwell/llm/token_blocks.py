@@ -48,7 +48,7 @@ class ChunkTable:
 class ByteLevelEncoder:
     """``encode(column)`` gives the ids of all rows end to end and the offsets of each row."""
 
-    def __init__(self, path: str, room: int = 250_000):
+    def __init__(self, path: str, room: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
