@@ -138,7 +138,7 @@ def in_fold(id_column: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(folds))
 
 
-def train(df: DataFrame, labels: DataFrame, max_rows: int = 4000, dims: int = 1 << 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
+def train(df: DataFrame, labels: DataFrame, max_rows: int = 3000, dims: int = 1 << 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
     """Learns from the labelled rows outside fold 0, at most ``max_rows`` of them."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").where(in_fold(F.col("id")) != 0)
     sample = known.orderBy(F.xxhash64("id"), "id", "toxic").limit(max_rows)
