@@ -3,11 +3,12 @@
 Documents become token ids plus an end id and are routed to context-size tiers (powers of two up to the longest
 window): a document longer than the longest window first gives whole windows, and what remains goes to the smallest
 tier that holds it. Windows of the long tiers are opened by the pieces routed there; their gaps are filled with whole
-pieces of shorter tiers, the longest that fits first, and a last gap with the head of a cut piece. Each batch of windows
-is then dealt into step groups of about equal attention cost (the sum of squared piece lengths).
+pieces of shorter tiers, the longest that fits first, and a last gap with the head of a cut piece; pieces that are left are
+packed in the windows of their own tier alike, longest tier first. The windows of each tier in a batch are then dealt into step
+groups of about equal attention cost (the sum of squared piece lengths).
 
-Every window is exactly full: documents may be cut anywhere, and the tail of a task is divided into windows whose sizes
-are powers of two, so no padding is written. Packing is a map over input partitions: nothing is shuffled, no document
+Every window is exactly full: documents may be cut anywhere, and the last tokens of a task, under one longest window, are divided
+into windows whose sizes are powers of two, so no padding is written. Packing is a map over input partitions: nothing is shuffled, no document
 leaves its task, and memory is bounded by one block of texts plus the open pieces of one batch of windows.
 
 Defined results: null or empty text is one piece, the end id alone; null and repeated ids are packed like any other row;
@@ -42,10 +43,12 @@ class TierPacker:
         #: By length: the pieces that wait, last in first out.
         self.waiting: dict[int, list[tuple[int, int]]] = {}
         self.lengths: list[int] = []
+        #: By tier: how many tokens wait.
+        self.held = dict.fromkeys(self.tiers, 0)
         self.windows: list[tuple[int, list[tuple[int, int, int]]]] = []
 
     def tier_of(self, length: int) -> int:
-        return next(x for x in self.tiers if x >= length)
+        return 1 << (length - 1).bit_length()
 
     def add(self, doc: int, tokens: int) -> None:
         whole = tokens // self.longest * self.longest
@@ -59,10 +62,12 @@ class TierPacker:
             self.waiting[length] = []
             self.lengths.insert(bisect_right(self.lengths, length), length)
         self.waiting[length].append((doc, start))
+        self.held[self.tier_of(length)] += length
 
     def _take(self, at: int) -> tuple[int, int, int]:
         length = self.lengths[at]
         doc, start = self.waiting[length].pop()
+        self.held[self.tier_of(length)] -= length
         if not self.waiting[length]:
             del self.waiting[length]
             del self.lengths[at]
@@ -84,11 +89,11 @@ class TierPacker:
         self.windows.append((window, pieces))
 
     def flush(self, last: bool) -> list[tuple[int, list[tuple[int, int, int]]]]:
-        """Windows of the longest tier while the waiting tokens fill one; at last also the shorter tiers."""
-        left = sum(length * len(x) for length, x in self.waiting.items())
-        while left >= self.longest:
-            self._fill(self.longest)
-            left -= self.longest
+        """Windows of each tier while a piece of it waits and the tokens of its and shorter tiers fill one; at last all that is left."""
+        for tier in reversed(self.tiers):
+            while self.held[tier] and sum(self.held[x] for x in self.tiers if x <= tier) >= tier:
+                self._fill(tier)
+        left = sum(self.held.values())  # less than one longest window
         for tier in reversed(self.tiers[:-1]) if last else ():
             if left & tier:
                 self._fill(tier)
@@ -106,6 +111,18 @@ def step_groups(windows: list, group_size: int) -> list[int]:
     return np.where(turn % 2, groups - 1 - place, place).tolist()
 
 
+def tier_groups(windows: list, group_size: int) -> list[int]:
+    """The step group of each window; a group holds windows of one tier."""
+    groups, used = [0] * len(windows), 0
+    for tier in sorted({tier for tier, _ in windows}, reverse=True):
+        own = [k for k, (t, _) in enumerate(windows) if t == tier]
+        dealt = step_groups([windows[k] for k in own], group_size)
+        for k, g in zip(own, dealt, strict=True):
+            groups[k] = used + g
+        used += max(dealt) + 1
+    return groups
+
+
 def pack(df: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0, group_size: int = 64, batch_tokens: int = 2_000_000, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: the document, its place there and in its sequence, and optionally the ids themselves.
 
@@ -123,7 +140,7 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0
         def emit(last: bool) -> pa.RecordBatch:
             nonlocal sequence, group
             windows = packer.flush(last)
-            dealt = step_groups(windows, group_size)
+            dealt = tier_groups(windows, group_size)
             rows = {k: [] for k in schema.names}
             for (tier, pieces), own in zip(windows, dealt, strict=True):
                 offset = 0

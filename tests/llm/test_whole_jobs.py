@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from groundwell.llm import simhash
+from groundwell.llm import packing, simhash
 
 
 def test_near_copies_by_exact_similarity(spark):
@@ -29,3 +29,27 @@ def test_near_copies_by_exact_similarity(spark):
     assert all(a in ids and b not in ids for a, b in above)
     assert all(a in ids and b in ids for a, b in below)
     assert {k for k in ids if 1000 <= k < 1060} == {1000}
+
+
+def test_every_tier_is_packed():
+    """Short documents that no gap of a longer tier takes are packed in windows of their own tier, dealt to groups of that tier."""
+    packer = packing.TierPacker(1024)
+    lengths = [900] * 10 + [100] * 30 + [30] * 400 + [3000]
+    for doc, n in enumerate(lengths):
+        packer.add(doc, n)
+    windows = packer.flush(False)
+    waits = sum(length * len(x) for length, x in packer.waiting.items())
+    assert waits < 1024 and sum(tier for tier, _ in windows) == sum(lengths) - waits
+    for tier, pieces in windows:
+        assert sum(x[2] for x in pieces) == tier == packer.tier_of(max(x[2] for x in pieces))
+    count = {t: sum(tier == t for tier, _ in windows) for t in (1024, 128, 32)}
+    assert count[1024] == 13 and count[128] > 10 and count[32] > 100
+    groups = packing.tier_groups(windows, 64)
+    assert len({(g, tier) for g, (tier, _) in zip(groups, windows, strict=True)}) == len(set(groups)) == max(groups) + 1
+    done = {(doc, start): length for _, pieces in windows + packer.flush(True) for doc, start, length in pieces}
+    for doc, n in enumerate(lengths):
+        at = 0
+        while at < n:
+            at += done.pop((doc, at))
+        assert at == n
+    assert not done
