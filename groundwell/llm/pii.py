@@ -5,7 +5,8 @@ The method adds ``secret``, ``id_number``, ``local_phone`` and ``masked_email``:
 other and the base ones, with the characters before and after them; boosted trees score each by features of its format and
 context; a threshold for each kind, calibrated on examples held out from the trees, selects the redactions. The trees are
 trained here on generated examples (there are no labelled spans) and become one expression of nested conditions, so whole
-texts stay in the JVM. A span that overlaps a base span is dropped, as that is redacted anyhow.
+texts stay in the JVM. A span that lies wholly inside a base span is dropped, as that is redacted anyhow; one that only overlaps it
+stays, and the union of overlapping spans is redacted.
 
 Spans have code-point offsets, end exclusive. A regular expression runs twice over a text, once for the matches and once
 for what lies between, and only over texts that a plain search finds worth it. Patterns are possessive and anchored to
@@ -218,7 +219,7 @@ def _with_spans(df: DataFrame, text: str) -> DataFrame:
     df = df.withColumns({f"__pii_{kind}": c for kind, c in base.items()})
     known = F.concat(*(F.col(f"__pii_{kind}") for kind in base))
     added = {kind: _selected(F.col(text), kind, trees, bounds[kind]) for kind in GENERATORS}
-    apart = {kind: F.filter(c, lambda x: ~F.exists(known, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))) for kind, c in added.items()}
+    apart = {kind: F.filter(c, lambda x: ~F.exists(known, lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))) for kind, c in added.items()}
     return df.withColumns({f"__pii_{kind}": F.when(F.size(added[kind]) > 0, c).otherwise(F.array().cast(_SPAN)) for kind, c in apart.items()})
 
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from groundwell.llm import packing, simhash
+from groundwell.llm import packing, pii, simhash
 
 
 def test_near_copies_by_exact_similarity(spark):
@@ -53,3 +53,15 @@ def test_every_tier_is_packed():
             at += done.pop((doc, at))
         assert at == n
     assert not done
+
+
+def test_secret_around_a_card_goes_whole(spark):
+    """A card number inside a secret, or at either end of it, does not keep the rest of the secret in the text."""
+    card = "4242424242424242"
+    secrets = [f"ab{card}cdef0a1b2c3d4e5f6a7b8c", f"{card}cdef0a1b2c3d4e5f6a7b8c9d", f"cdef0a1b2c3d4e5f6a7b8c9d{card}", "ab0f1e2d3c4b5a69788796a5b4c3d2e1f0ab"]
+    df = spark.createDataFrame([(k, f'x token = "{s}" y {card} z') for k, s in enumerate(secrets)], "doc_id long, text string")
+    for row in pii.find(df).collect():
+        start, end = 11, 11 + len(secrets[row.doc_id])
+        assert f"secret:{start}:{end}" in row.spans.split(",") and row.n_card == (1 if row.doc_id == 3 else 2)
+    for row in pii.redact(df).collect():
+        assert row.text == f'x token = "<{"card" if row.doc_id == 1 else "secret"}>" y <card> z'
