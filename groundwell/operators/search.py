@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,20 +12,26 @@ from groundwell.functions.vectors import rrf, unit, unit_cosine
 from groundwell.operators.lexical import bm25, ranked
 
 
-def vector_topk(df: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str = "embedding", query_vector: str = "query_vector", where: Column | None = None, min_similarity: float | None = None, max_queries: int = 10_000) -> DataFrame:
+def vector_topk(df: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str = "embedding", query_vector: str = "query_vector", where: Column | None = None, min_similarity: float | None = None, max_queries: int | None = None, block: int = 10_000) -> DataFrame:
     """``qid``, ``id``, ``score`` (cosine) and ``rank`` of the k best rows of each query.
 
-    The stated query set, checked against ``max_queries``, is broadcast to the rows; each task keeps only its k best rows of a
-    query before anything is shuffled. ``where`` is applied before ranking.
+    Queries are broadcast to the rows in blocks of about ``block``, whole queries by the hash of ``qid``; each task keeps only its k
+    best rows of a query before anything is shuffled. ``where`` is applied before ranking. More than ``max_queries``, if given, are refused.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
+    n = queries.count()
+    if max_queries is not None and n > max_queries:
         raise ValueError(f"more than {max_queries} queries in a batch")
-    rows = df if where is None else df.where(where)
-    pairs = rows.select(F.col(id_col).alias("id"), unit(vector).alias("__v")).crossJoin(F.broadcast(queries.select("qid", unit(query_vector).alias("__q"))))
-    scored = pairs.select("qid", "id", unit_cosine("__v", "__q").alias("score"))
-    if min_similarity is not None:
-        scored = scored.where(F.col("score") >= min_similarity)
-    return ranked(scored, k)
+    rows = (df if where is None else df.where(where)).select(F.col(id_col).alias("id"), unit(vector).alias("__v"))
+    asked, blocks = queries.select("qid", unit(query_vector).alias("__q")), max(1, -(-n // block))
+
+    def best(own: DataFrame) -> DataFrame:
+        scored = rows.crossJoin(F.broadcast(own)).select("qid", "id", unit_cosine("__v", "__q").alias("score"))
+        return ranked(scored if min_similarity is None else scored.where(F.col("score") >= min_similarity), k)
+
+    if blocks == 1:
+        return best(asked)
+    of = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    return reduce(DataFrame.unionAll, (best(asked.where(of == b)) for b in range(blocks)))
 
 
 def fuse(vector: DataFrame, text: DataFrame, k: int, rrf_k: int = 60) -> DataFrame:
