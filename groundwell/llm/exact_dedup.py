@@ -10,8 +10,9 @@ Cuts come after a character outside a class followed by eight inside it (code po
 hundred characters of prose, and after ``max_chunk`` characters at the latest.
 
 Defined results: null text counts as empty, and all empty texts are equal; of equal texts the row with the smallest id stays, a null
-id only if no other has one; rows that repeat an id stay or go together; an empty table gives an empty result; other columns are
-ignored by :func:`duplicates` and pass through :func:`keep_first` unchanged.
+id only if no other has one; rows are told apart by id and text, and of rows that repeat both, which :func:`duplicates` marks alike,
+:func:`keep_first` keeps one; an empty table gives an empty result; other columns are ignored by :func:`duplicates` and pass through
+:func:`keep_first` unchanged.
 """
 
 from __future__ import annotations
@@ -19,19 +20,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwell.llm.shared import id_and_text, stored
+from groundwell.llm.shared import id_and_text, stored, text_of
 
 #: Every ASCII and Latin-1 character whose code point is 1 or 2 modulo 4; spaces are outside it.
 _INSIDE = "".join(f"\\x{c:02x}" for c in range(0x21, 0x100) if c % 4 in (1, 2))
 
 
-def normalised(docs: DataFrame) -> DataFrame:
-    """Each run of spaces and controls 9 to 13 in ``text`` as one space; plain replacements, since runs are rare."""
-    text = F.col("text")
+def normalised(docs: DataFrame, name: str = "text") -> DataFrame:
+    """Each run of spaces and controls 9 to 13 in the text as one space; plain replacements, since runs are rare."""
+    text = F.col(name)
     for control in "\t\n\x0b\x0c\r":
         text = F.replace(text, F.lit(control), F.lit(" "))
-    docs = docs.withColumn("text", text)
-    return docs.withColumn("text", F.when(F.contains(F.col("text"), F.lit("  ")), F.regexp_replace("text", " {2,}", " ")).otherwise(F.col("text")))
+    docs = docs.withColumn(name, text)
+    return docs.withColumn(name, F.when(F.contains(F.col(name), F.lit("  ")), F.regexp_replace(name, " {2,}", " ")).otherwise(F.col(name)))
 
 
 def chunks(text: Column, max_chunk: int) -> Column:
@@ -77,5 +78,13 @@ def duplicates(df: DataFrame, max_chunk: int = 8192, id_col: str = "doc_id", tex
 def keep_first(df: DataFrame, max_chunk: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns."""
     found = duplicates(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), max_chunk, "id", "text")
-    dropped = stored(found.where("not kept").select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("__copy")).distinct(), "copies")
-    return df.join(dropped, F.coalesce(df[id_col].cast("string"), F.lit("")) == F.col("__copy"), "left_anti").select(*df.columns)
+    # repeated rows are in one group with equal ids, so other rows need not be counted
+    shared = found.where("group_size > 1").groupBy(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.first("kept").alias("__kept"), F.count("*").alias("__n"))
+    copies = stored(shared.where("not __kept or __n > 1"), "copies")
+    own = normalised(df.withColumn("__text", text_of(text_col)), "__text").withColumn("__sha256", F.sha2("__text", 256))
+    same = own[id_col].eqNullSafe(copies["__id"]) & (own["__sha256"] == copies["__sha"])
+    kept = own.join(copies, same, "left_anti").select(*df.columns)
+    if not copies.where("__kept").limit(1).count():
+        return kept
+    again = own.join(copies.where("__kept"), same, "left_semi").dropDuplicates([id_col, "__sha256"])
+    return kept.union(again.select(*df.columns))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from groundwell.llm import packing, pii, simhash
+from groundwell.llm import exact_dedup, packing, pii, simhash
 
 
 def test_near_copies_by_exact_similarity(spark):
@@ -65,3 +65,10 @@ def test_secret_around_a_card_goes_whole(spark):
         assert f"secret:{start}:{end}" in row.spans.split(",") and row.n_card == (1 if row.doc_id == 3 else 2)
     for row in pii.redact(df).collect():
         assert row.text == f'x token = "<{"card" if row.doc_id == 1 else "secret"}>" y <card> z'
+
+
+def test_copies_go_by_id_and_text(spark):
+    """A copy takes no other text of its id with it, and of rows that repeat id and text one stays."""
+    rows = [(3, "A"), (None, "A"), (None, "B"), (7, "C"), (7, "C"), (8, "C"), (9, "D"), (9, "A"), (None, "E  x"), (None, "E x")]
+    kept = exact_dedup.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text[0]) for r in kept), key=str) == [(3, "A"), (7, "C"), (9, "D"), (None, "B"), (None, "E")]
