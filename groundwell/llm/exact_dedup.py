@@ -20,14 +20,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwell.llm.shared import id_and_text, stored, text_of
+from groundwell.llm.shared import id_and_text, stored, text_of, without_copies
 
 #: Every ASCII and Latin-1 character whose code point is 1 or 2 modulo 4; spaces are outside it.
 _INSIDE = "".join(f"\\x{c:02x}" for c in range(0x21, 0x100) if c % 4 in (1, 2))
 
 
+def squeezed(text: Column) -> Column:
+    """Each run of spaces and controls 9 to 13 in the text as one space."""
+    return F.regexp_replace(text, r"[\x20\x09-\x0d]{2,}|[\x09-\x0d]", " ")
+
+
 def normalised(docs: DataFrame, name: str = "text") -> DataFrame:
-    """Each run of spaces and controls 9 to 13 in the text as one space; plain replacements, since runs are rare."""
+    """:func:`squeezed` by plain replacements where that will do, since runs are rare."""
     text = F.col(name)
     for control in "\t\n\x0b\x0c\r":
         text = F.replace(text, F.lit(control), F.lit(" "))
@@ -68,23 +73,22 @@ def _quarters(digest: Column) -> Column:
 
 
 def duplicates(df: DataFrame, max_chunk: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``df``: id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``."""
+    """One row for each row of ``df``: id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
+
+    Groups are counted after a partial aggregation. Only groups of several rows, a table of their own, are joined back, so the
+    rows of a large group are a skewed partition of the join alone, which adaptive execution splits.
+    """
     own = recipes(df, max_chunk, id_col, text_col)
-    groups = own.groupBy("recipe").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-    joined = own.join(groups, "recipe")
-    return joined.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = own.groupBy("recipe").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    joined = own.join(stored(groups, "groups"), "recipe", "left")
+    alone = F.col("group_size").isNull()
+    keep = F.when(alone, F.col("id")).otherwise(F.col("keep_id"))
+    return joined.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def keep_first(df: DataFrame, max_chunk: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns."""
-    found = duplicates(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), max_chunk, "id", "text")
+    found = duplicates(id_and_text(df, id_col, text_col), max_chunk, "id", "text")
     # repeated rows are in one group with equal ids, so other rows need not be counted
-    shared = found.where("group_size > 1").groupBy(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.first("kept").alias("__kept"), F.count("*").alias("__n"))
-    copies = stored(shared.where("not __kept or __n > 1"), "copies")
-    own = normalised(df.withColumn("__text", text_of(text_col)), "__text").withColumn("__sha256", F.sha2("__text", 256))
-    same = own[id_col].eqNullSafe(copies["__id"]) & (own["__sha256"] == copies["__sha"])
-    kept = own.join(copies, same, "left_anti").select(*df.columns)
-    if not copies.where("__kept").limit(1).count():
-        return kept
-    again = own.join(copies.where("__kept"), same, "left_semi").dropDuplicates([id_col, "__sha256"])
-    return kept.union(again.select(*df.columns))
+    marks = found.where("group_size > 1").groupBy("id", F.col("text_sha256").alias("sha")).agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
+    return without_copies(df, marks, id_col, F.sha2(squeezed(text_of(text_col)), 256))

@@ -141,14 +141,17 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0
             nonlocal sequence, group
             windows = packer.flush(last)
             dealt = tier_groups(windows, group_size)
-            rows = {k: [] for k in schema.names}
+            rows: list[list] = [[] for _ in range(9)]
+            parts = []
             for (tier, pieces), own in zip(windows, dealt, strict=True):
                 offset = 0
                 for doc, start, length in pieces:
                     key, ids = open_docs[doc]
                     part = ids[start : start + length]
-                    for name, value in zip(schema.names, (key, start, length, zlib.crc32(part), len(ids), sequence, offset, tier, group + own, part.tolist() if with_ids else None), strict=False):
-                        rows[name].append(value)
+                    for column, value in zip(rows, (key, start, length, zlib.crc32(part), len(ids), sequence, offset, tier, group + own), strict=True):
+                        column.append(value)
+                    if with_ids:
+                        parts.append(part)
                     offset += length
                 sequence += 1
             group += max(dealt, default=-1) + 1
@@ -157,7 +160,11 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0
                 del open_docs[doc]
             for doc in waits:  # else a waiting tail keeps the ids of its whole block
                 open_docs[doc] = (open_docs[doc][0], open_docs[doc][1].copy())
-            return pa.RecordBatch.from_pydict(rows, schema)
+            columns = [pa.array(x, f.type) for x, f in zip(rows, schema, strict=False)]
+            if with_ids:
+                ends = np.concatenate([[0], np.cumsum(rows[2], dtype=np.int64)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32))))
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
 
         for batch in slices(batches, "text", 2 << 20):
             ids, offsets = encoder.encode(batch.column("text"), end_id)

@@ -8,9 +8,9 @@ trained here on generated examples (there are no labelled spans) and become one
 texts stay in the JVM. A span that lies wholly inside a base span is dropped, as that is redacted anyhow; one that only overlaps it
 stays, and the union of overlapping spans is redacted.
 
-Spans have code-point offsets, end exclusive. A regular expression runs twice over a text, once for the matches and once
-for what lies between, and only over texts that a plain search finds worth it. Patterns are possessive and anchored to
-the starts of runs, so time stays linear in runs of any length.
+Spans have code-point offsets, end exclusive. A regular expression runs over a text for the matches and, where there are any, once
+more for what lies between. Patterns are possessive and anchored to the starts of runs, so time stays linear in runs of any length;
+offsets are summed and texts put together in blocks, so it grows with the number of spans to the power of 1.5 at most.
 
 Defined results: null or empty text has no spans; null and repeated ids are rows like any other; an empty table gives an empty
 result; other columns pass through :func:`redact` unchanged and are ignored by :func:`find`.
@@ -25,6 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundwell.functions.vectors import _let
 from groundwell.llm.shared import id_and_text, text_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -38,18 +39,44 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
-def spans(text: Column, pattern: str, worth: Column) -> Column:
+def _running(values: Column, start: Column, step) -> Column:
+    """For each value what ``step`` makes of ``start`` and all values before it, in order; and at last what it makes of all.
+
+    An array that grows by one in a fold is copied each time, so values are folded in blocks of about the root of their number.
+    """
+    blocks = lambda v, b: F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), b), lambda i: F.slice(v, i + 1, b))
+    fold = lambda v, first: F.aggregate(v, F.array(first), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
+    width = lambda v: F.greatest(F.ceil(F.sqrt(F.size(v))), F.lit(1)).cast("int")
+
+    def over(v: Column) -> Column:
+        return _let(F.transform(blocks(v, width(v)), lambda block: fold(block, start)), joined)
+
+    def joined(inner: Column) -> Column:
+        before = fold(F.transform(inner, lambda p: F.element_at(p, -1)), start)
+        shifted = F.zip_with(inner, F.slice(before, 1, F.size(inner)), lambda p, o: F.transform(F.slice(p, 1, F.size(p) - 1), lambda v: step(o, v)))
+        return F.concat(F.flatten(shifted), F.array(F.element_at(before, -1)))
+
+    return _let(values, over)
+
+
+def spans(text: Column, pattern: str, worth: Column | None = None) -> Column:
     """Leftmost matches that do not overlap, with up to 32 characters before and 8 after each."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(found.alias("value"), F.slice(between, 1, F.size(found)).alias("gap"), F.slice(between, 2, F.size(found)).alias("next"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
+    none = F.array().cast(_SPAN)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"), F.right(x["gap"], F.lit(32)).alias("before"), F.left(x["next"], F.lit(8)).alias("after")))).alias("out"))
+    def cut(found: Column) -> Column:
+        return F.when(F.size(found) > 0, _let(F.split(text, pattern, -1), lambda between: placed(found, between))).otherwise(none)
 
-    return F.when(worth, F.aggregate(pairs, start, step)["out"]).otherwise(F.array().cast(_SPAN))
+    def placed(found: Column, between: Column) -> Column:
+        sizes = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, v: (F.length(g) + F.length(v)).cast("bigint"))
+        rows = F.arrays_zip(found.alias("value"), F.slice(between, 1, F.size(found)).alias("gap"), F.slice(between, 2, F.size(found)).alias("next"), F.slice(_running(sizes, F.lit(0).cast("bigint"), lambda a, x: a + x), 1, F.size(found)).alias("at"))
+        return F.transform(rows, span)
+
+    def span(x: Column) -> Column:
+        begin = x["at"] + F.length(x["gap"])
+        return F.struct(begin.alias("start"), (begin + F.length(x["value"])).alias("end"), x["value"].alias("value"), F.right(x["gap"], F.lit(32)).alias("before"), F.left(x["next"], F.lit(8)).alias("after"))
+
+    out = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), cut)
+    return out if worth is None else F.when(worth, out).otherwise(none)
 
 
 def _luhn(digits: Column) -> Column:
@@ -73,18 +100,19 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-# Generators: what they propose, and the search that tells whether a text is worth it.
+# Generators: what they propose. Only the format counts here; context is for the trees.
 GENERATORS = {
-    "secret": (r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+", r"(?i)(?:token|key|secret|passw|pwd|auth|bearer|credential)"),
-    "id_number": (r"(?<![0-9])[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![0-9])", r"[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}"),
-    "local_phone": (r"(?<![0-9+])(?:\([0-9]{2,4}\) ?)?[0-9]{2,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?+(?![0-9])", r"(?i)(?:phone|tel|call|fax|mobile)[^\n]{0,16}[0-9(]"),
-    "masked_email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}+ ?[(\[]dot[)\]] ?[A-Za-z]{2,24}+", r"[(\[]at[)\]]"),
-}
-_CONTEXT = {
-    "secret": r"(?i)(?:token|key|secret|passw|pwd|auth|bearer|credential)",
-    "number": r"(?i)(?:ssn|social|tax|passport|id no|id number|identity)",
-    "phone": r"(?i)(?:phone|tel|call|fax|mobile)",
+    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+",
+    "id_number": r"(?<![0-9])[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![0-9])",
+    "local_phone": r"(?<![0-9+])(?:\([0-9]{2,4}\) ?)?[0-9]{2,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?+(?![0-9])",
+    "masked_email": r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]++ ?[(\[]at[)\]] ?[A-Z0-9-]++(?: ?[(\[]dot[)\]] ?[A-Z0-9-]++)++",
 }
+# Words that tell what follows, in the languages of the texts and their neighbours.
+_SECRET_WORDS = ("token", "key", "secret", "passw", "pwd", "auth", "bearer", "credential", "kennwort", "schlüssel", "geheim", "mot de passe", "clé", "jeton", "contraseña", "clave", "secreto")
+_NUMBER_WORDS = ("ssn", "social", "tax", "passport", "id no", "id number", "identity", "sozialversicherung", "steuer", "reisepass", "ausweis", "sécurité sociale", "passeport", "identité", "seguridad social", "pasaporte", "dni", "nif")
+_PHONE_WORDS = ("phone", "tel", "call", "fax", "mobile", "telefon", "anruf", "handy", "rufnummer", "téléphone", "tél", "appel", "portable", "teléfono", "llam", "móvil")
+# A secret's name may end in such a word ("apikey"); the others begin with theirs.
+_CONTEXT = {"secret": f"(?iu)(?:{'|'.join(_SECRET_WORDS)})", "number": rf"(?iu)(?<!\p{{L}})(?:{'|'.join(_NUMBER_WORDS)})", "phone": rf"(?iu)(?<!\p{{L}})(?:{'|'.join(_PHONE_WORDS)})"}
 
 
 def features(x: Column, kind: str) -> list[Column]:
@@ -208,24 +236,23 @@ def train(spark: SparkSession, precision: float = 0.99) -> tuple[BoostedTrees, d
 
 
 def _selected(text: Column, kind: str, trees: BoostedTrees, bound: float) -> Column:
-    pattern, worth = GENERATORS[kind]
-    return F.filter(spans(text, pattern, text.rlike(worth)), lambda x: trees.column(features(x, kind)) >= bound)
+    return F.filter(spans(text, GENERATORS[kind]), lambda x: trees.column(features(x, kind)) >= bound)
 
 
-def _with_spans(df: DataFrame, text: str) -> DataFrame:
-    """Adds a column of spans for each kind, named ``__pii_`` and the kind."""
+def _with_spans(df: DataFrame) -> DataFrame:
+    """Adds a column of spans for each kind, named as the kind, to a table with ``text``."""
     trees, bounds = train(df.sparkSession)
-    base = base_spans(F.col(text))
-    df = df.withColumns({f"__pii_{kind}": c for kind, c in base.items()})
-    known = F.concat(*(F.col(f"__pii_{kind}") for kind in base))
-    added = {kind: _selected(F.col(text), kind, trees, bounds[kind]) for kind in GENERATORS}
-    apart = {kind: F.filter(c, lambda x: ~F.exists(known, lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))) for kind, c in added.items()}
-    return df.withColumns({f"__pii_{kind}": F.when(F.size(added[kind]) > 0, c).otherwise(F.array().cast(_SPAN)) for kind, c in apart.items()})
+    text = F.col("text")
+    df = df.withColumns(base_spans(text))
+    known = F.concat(*map(F.col, BASE_KINDS))
+    added = {kind: _selected(text, kind, trees, bounds[kind]) for kind in GENERATORS}
+    apart = lambda found: F.filter(found, lambda x: ~F.exists(known, lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])))
+    return df.withColumns({kind: _let(c, lambda found: F.when(F.size(found) > 0, apart(found)).otherwise(found)) for kind, c in added.items()})
 
 
 def _listed(kinds: tuple[str, ...]) -> Column:
     """``kind:start:end`` of all spans, by kind and start, joined by commas."""
-    return F.array_join(F.concat(*(F.transform(f"__pii_{kind}", _written(kind)) for kind in kinds)), ",")
+    return F.array_join(F.concat(*(F.transform(kind, _written(kind)) for kind in kinds)), ",")
 
 
 def _written(kind: str):
@@ -238,24 +265,51 @@ def _named(kind: str):
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``df``: counts of base kinds, the digest of their spans, and all spans."""
-    found = _with_spans(id_and_text(df, id_col, text_col), "text")
-    return found.select(F.col("id").alias(id_col), *(F.size(f"__pii_{kind}").cast("bigint").alias(f"n_{kind}") for kind in BASE_KINDS), F.sha2(_listed(BASE_KINDS), 256).alias("base_sha256"), _listed((*BASE_KINDS, *GENERATORS)).alias("spans"))
-
-
-def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with every span replaced by its kind in angle brackets; overlapping spans become one."""
-    columns = df.columns
-    found = _with_spans(df.withColumn("__pii_text", text_of(text_col)), "__pii_text")
-    kinds = (*BASE_KINDS, *GENERATORS)
-    every = F.array_sort(F.concat(*(F.transform(f"__pii_{kind}", _named(kind)) for kind in kinds)))
-    found = found.withColumn("__pii_all", every)
-    text = F.col("__pii_text")
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(gap, F.concat(F.lit("<"), x["kind"], F.lit(">"))))).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate("__pii_all", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("__pii_all") > 0, done).otherwise(F.col(text_col))).select(*columns)
+    found = _with_spans(id_and_text(df, id_col, text_col))
+    return found.select(F.col("id").alias(id_col), *(F.size(kind).cast("bigint").alias(f"n_{kind}") for kind in BASE_KINDS), F.sha2(_listed(BASE_KINDS), 256).alias("base_sha256"), _listed((*BASE_KINDS, *GENERATORS)).alias("spans"))
+
+
+_BLOCK = 4096
+
+
+def _replaced(text: Column, every: Column) -> Column:
+    """The text with each span of ``every``, which is not empty, replaced by its kind; overlapping spans become one.
+
+    A substring counts characters from the start of its text, so the text is cut into blocks first and gaps are taken from those.
+    """
+
+    def of(blocks: Column) -> Column:
+        ends = _running(F.transform(every, lambda x: x["end"]), F.lit(0).cast("bigint"), F.greatest)
+        spaced = F.arrays_zip(every.alias("span"), F.slice(ends, 1, F.size(every)).alias("at"))
+        fresh = F.filter(spaced, lambda x: x["span"]["start"] >= x["at"])
+        pieces = F.transform(fresh, lambda x: F.concat(_between(blocks, x["at"], x["span"]["start"]), F.lit("<"), x["span"]["kind"], F.lit(">")))
+        return F.concat(F.array_join(pieces, ""), _between(blocks, F.element_at(ends, -1), F.length(text).cast("bigint")))
+
+    return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0)), of)
+
+
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """Characters from ``start`` up to ``end`` of the text that ``blocks`` make."""
+    size = F.lit(_BLOCK)
+    first, last = (F.floor(start / size).cast("int"), F.floor((end - 1) / size).cast("int"))
+    at = (start % size).cast("int")
+    head = F.substring(F.element_at(blocks, first + 1), at + 1, size)
+    tail = F.substring(F.element_at(blocks, last + 1), F.lit(1), ((end - 1) % size + 1).cast("int"))
+    inner = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    one = F.substring(F.element_at(blocks, first + 1), at + 1, (end - start).cast("int"))
+    return F.when(end <= start, F.lit("")).when(first == last, one).otherwise(F.concat(head, inner, tail))
+
+
+def redact(df: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """``df`` with every span replaced by its kind in angle brackets; overlapping spans become one.
+
+    ``length_col`` names a column that holds the length of the text and follows where the text changed.
+    """
+    whole = df.select(F.struct("*").alias("row"), text_of(text_col).alias("text"))
+    found = _with_spans(whole)
+    every = F.array_sort(F.concat(*(F.transform(kind, _named(kind)) for kind in (*BASE_KINDS, *GENERATORS))))
+    found = found.select("row", "text", every.alias("every"))
+    found = found.select("row", F.when(F.size("every") > 0, _replaced(F.col("text"), F.col("every"))).alias("text"))
+    fresh = {text_col: F.col("text")} | ({length_col: F.length("text").cast(df.schema[length_col].dataType)} if length_col else {})
+    own = lambda name: F.col("row").getField(name)
+    return found.select(*((F.when(F.col("text").isNotNull(), fresh[name]).otherwise(own(name)) if name in fresh else own(name)).alias(name) for name in df.columns))

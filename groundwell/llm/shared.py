@@ -52,6 +52,21 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(_quoted(id_col)).alias("id"), text_of(text_col).alias("text"))
 
 
+def without_copies(df: DataFrame, marks: DataFrame, id_col: str, sha: Column) -> DataFrame:
+    """The rows of ``df`` but for those that ``marks`` (``id``, ``sha``, ``kept``, ``n``) does not keep; of ``n`` equal rows that it keeps, one.
+
+    Rows are named by id, null-safe, and by ``sha``, an expression over ``df``. They travel as one struct, so no name of theirs can clash.
+    """
+    copies = stored(marks.where("not kept or n > 1"), "copies").alias("copies")
+    own = df.select(F.struct("*").alias("row"), F.col(_quoted(id_col)).alias("id"), sha.alias("sha")).alias("own")
+    same = F.col("own.id").eqNullSafe(F.col("copies.id")) & (F.col("own.sha") == F.col("copies.sha"))
+    kept = own.join(copies, same, "left_anti").select("row.*")
+    if not copies.where("kept").limit(1).count():
+        return kept
+    again = own.join(copies.where("kept"), same, "left_semi").dropDuplicates(["id", "sha"])
+    return kept.union(again.select("row.*"))
+
+
 def text_of(text_col: str) -> Column:
     return F.coalesce(F.col(_quoted(text_col)).cast("string"), F.lit(""))
 
