@@ -1,14 +1,15 @@
 """License scan by an exact set-similarity join of text blocks with notice templates.
 
-Words are lower-cased (A-Z) runs of digits, letters and characters beyond ASCII. Blocks are overlapping windows of words,
-twice as long as the longest template and starting every template length, so any notice lies whole in one block. A template is
-contained in a block to the share of its distinct words that the block holds; every block that holds at least
-``threshold`` of a template is found:
+Words are lower-cased (A-Z) runs of digits, letters and characters beyond ASCII. The blocks of a template are overlapping windows of
+words, twice as long as the template and starting every template length, so any place of its notice lies whole in one block. A template
+is contained in a block to the share of its distinct words that the block holds; every block that holds at least
+``threshold`` of its template is found:
 
 - tokens are ordered by their count in all documents, rarest first;
 - prefix filter: a block that misses all of the first ``n - need + 1`` tokens of a template cannot hold ``need`` of its ``n``;
-- positional filter: a first common token at place ``k`` leaves at most ``n - k`` common ones;
-- length filter: a block with fewer than ``need`` distinct template words cannot hold them;
+- length filter: a block with fewer than ``need`` distinct words of any template cannot hold them;
+- positional filter: after a first common token at place ``k`` of the template and ``j`` of the block's ordered tokens, at most
+  ``n - k - 1`` and ``m - j - 1`` others are common;
 - what is left is compared exactly.
 
 The templates and their words are fixed and few, so the index on their prefixes is broadcast; texts are only read, twice (once
@@ -20,6 +21,7 @@ are ordered by the word; an empty table gives an empty result; columns other tha
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,17 +33,31 @@ from pyspark.sql import functions as F
 from groundwell.llm.blocks import Words, buffer_of, slices
 from groundwell.llm.shared import id_and_text, schema_with_id
 
-# Phrases and their labels, and notices in common use.
+# Phrases and their labels, and notices in common use as they are published, whole or as a short reference.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+_AS_IS = "including but not limited to procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."
+_BSD_START = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (' + _AS_IS
+_GPL = "as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version. This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."
 TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("mit", "released under the MIT License"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("apache", "licensed under the Apache License, Version 2.0"),
+    ("apache", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("gpl", "this work is licensed under the GNU General Public License version 3"),
+    ("gpl", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    ("gpl", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License " + _GPL.format(version="2", work="program", name="General Public License")),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License " + _GPL.format(version="3", work="program", name="General Public License")),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License " + _GPL.format(version="2.1", work="library", name="Lesser General Public License")),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", _BSD_START + _BSD_END),
+    ("bsd", _BSD_START + _BSD_NAMES + _BSD_END),
+    ("isc", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("cc-by-nc", "licensed under CC BY-NC 4.0"),
+    ("cc-by-sa", "licensed under CC BY-SA 4.0"),
 )
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -50,15 +66,21 @@ _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
+def template_words(text: str) -> list[str]:
+    """The words of a phrase or template, by the rule for texts."""
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
 class Vocabulary:
     """Numbers of the words of phrases and templates."""
 
     def __init__(self, phrases: dict[str, str], templates: tuple[tuple[str, str], ...]):
-        self.words = sorted({w for x in [*phrases, *(t for _, t in templates)] for w in x.split()})
+        split = [(label, template_words(x)) for label, x in templates]
+        self.words = sorted({w for x in phrases for w in template_words(x)} | {w for _, x in split for w in x})
         self.number = {w: k for k, w in enumerate(self.words)}
-        self.phrases = [([self.number[w] for w in x.split()], label) for x, label in phrases.items()]
-        self.templates = [(label, sorted({self.number[w] for w in x.split()})) for label, x in templates]
-        self.longest = max((len(x.split()) for _, x in templates), default=1)
+        self.phrases = [([self.number[w] for w in template_words(x)], label) for x, label in phrases.items()]
+        #: Label, distinct words and length in words of each template.
+        self.templates = [(label, sorted({self.number[w] for w in x}), len(x)) for label, x in split]
 
     def numbers(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Of every word its number, -1 if it has none; and the bounds of each row's words."""
@@ -90,40 +112,43 @@ class PrefixIndex:
 
     def __init__(self, vocabulary: Vocabulary, counts: list[int], threshold: float):
         order = sorted(range(len(counts)), key=lambda w: (counts[w], vocabulary.words[w]))
-        self.place = {w: k for k, w in enumerate(order)}
-        self.stride = vocabulary.longest
-        self.labels, self.tokens, self.need = [], [], []
+        self.place = np.empty(len(counts), np.int64)
+        self.place[order] = np.arange(len(counts))
+        self.labels, self.tokens, self.lengths, self.need = [], [], [], []
         #: Word -> (template, place in its rarest-first tokens), only for words in the prefix.
         self.prefix: dict[int, list[tuple[int, int]]] = {}
-        for label, words in vocabulary.templates:
-            tokens = sorted(words, key=self.place.get)
+        for label, words, length in vocabulary.templates:
+            tokens = np.array(sorted(words, key=self.place.__getitem__))
             need = int(np.ceil(threshold * len(tokens) - 1e-9))
-            for k, w in enumerate(tokens[: len(tokens) - need + 1]):
+            for k, w in enumerate(tokens[: len(tokens) - need + 1].tolist()):
                 self.prefix.setdefault(w, []).append((len(self.labels), k))
             self.labels.append(label)
             self.tokens.append(tokens)
+            self.lengths.append(length)
             self.need.append(need)
         self.in_prefix = np.zeros(len(counts) + 1, bool)
         self.in_prefix[list(self.prefix)] = True
 
     def matches(self, numbers: np.ndarray) -> Iterator[tuple[str, int, float]]:
-        """(label, block, containment) of one document; blocks are numbered by their start."""
-        places = np.flatnonzero(self.in_prefix[numbers])
-        blocks = sorted({max(p // self.stride - back, 0) for p in places.tolist() for back in (0, 1)})
-        for block in blocks:
-            held = numbers[block * self.stride : (block + 2) * self.stride]
-            known = set(held[held >= 0].tolist())
-            first: dict[int, int] = {}
-            for w in known:
-                for template, k in self.prefix.get(w, ()):
-                    first[template] = min(k, first.get(template, k))
-            for template, k in sorted(first.items()):
-                tokens, need = self.tokens[template], self.need[template]
-                if len(known) < need or len(tokens) - k < need:
-                    continue
-                common = sum(w in known for w in tokens)
-                if common >= need:
-                    yield self.labels[template], block, common / len(tokens)
+        """(label, first word of the block, containment) of one document."""
+        first: dict[tuple[int, int], int] = {}
+        for p in np.flatnonzero(self.in_prefix[numbers]).tolist():
+            for template, k in self.prefix[int(numbers[p])]:
+                block = p // self.lengths[template]
+                for at in (block - 1, block) if block else (block,):
+                    first[template, at] = min(k, first.get((template, at), k))
+        for (template, block), k in sorted(first.items()):
+            tokens, need, length = self.tokens[template], self.need[template], self.lengths[template]
+            held = numbers[block * length : (block + 2) * length]
+            known = np.unique(held[held >= 0])
+            if len(known) < need:
+                continue
+            later = int((self.place[known] > self.place[tokens[k]]).sum())
+            if 1 + min(len(tokens) - k - 1, later) < need:
+                continue
+            common = int(np.isin(tokens, known, assume_unique=True).sum())
+            if common >= need:
+                yield self.labels[template], block * length, common / len(tokens)
 
 
 def _phrase_places(numbers: np.ndarray, rows: np.ndarray, phrase: list[int]) -> np.ndarray:
@@ -168,7 +193,7 @@ def scan(df: DataFrame, threshold: float = 0.9, phrases: dict[str, str] | None =
                 places, matched = base.get(row, []), found.get(row, [])
                 own = {x[1] for x in places}
                 starts = [x[0] for x in places]
-                values = (len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(own | {x[0] for x in matched})), 1.0 if places else max((x[2] for x in matched), default=0.0), [{"label": a, "block_start": b * index.stride, "containment": c} for a, b, c in matched])
+                values = (len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(own | {x[0] for x in matched})), 1.0 if places else max((x[2] for x in matched), default=0.0), [{"label": a, "block_start": b, "containment": c} for a, b, c in matched])
                 for column, value in zip(columns, values, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(rows).astype(np.int64)), *(pa.array(x, f.type) for x, f in zip(columns, list(schema)[2:], strict=True))], schema=schema)

@@ -123,7 +123,7 @@ def tier_groups(windows: list, group_size: int) -> list[int]:
     return groups
 
 
-def pack(df: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0, group_size: int = 64, batch_tokens: int = 2_000_000, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0, group_size: int = 64, batch_tokens: int = 1_000_000, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: the document, its place there and in its sequence, and optionally the ids themselves.
 
     ``tier`` is the window size of the sequence, ``step_group`` the training step it was dealt to. Sequence and group

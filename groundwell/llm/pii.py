@@ -133,7 +133,7 @@ def features(x: Column, kind: str) -> list[Column]:
         flag(before.rlike(_CONTEXT["number"])),
         flag(before.rlike(_CONTEXT["phone"])),
         flag(x["after"].rlike(r"^[\"']")),
-        flag(F.lit(kind == "masked_email")),
+        *(flag(F.lit(kind == k)) for k in list(GENERATORS)[1:]),
     ]
 
 
@@ -216,7 +216,7 @@ class BoostedTrees:
 
 
 def train(spark: SparkSession, precision: float = 0.99) -> tuple[BoostedTrees, dict[str, float]]:
-    """Trees from half of the generated examples; of the others, the lowest bound of each kind with that precision."""
+    """Trees from half of the generated examples; of the others, the bound of each kind below which the precision would be less, half way to the next."""
     rows = examples()
     made = spark.createDataFrame(rows, "kind string, label int, value string, before string, after string")
     x = F.struct("value", "before", "after")
@@ -231,7 +231,8 @@ def train(spark: SparkSession, precision: float = 0.99) -> tuple[BoostedTrees, d
         order = np.argsort(-scores[own], kind="stable")
         right = np.cumsum(labels[own][order]) / np.arange(1, own.sum() + 1)
         good = np.flatnonzero(right >= precision)
-        bounds[kind] = max(float(scores[own][order][good[-1]]), 0.0) if len(good) else float("inf")
+        ranked = np.append(scores[own][order], 0.0)
+        bounds[kind] = max(float(ranked[good[-1] : good[-1] + 2].mean()), 0.0) if len(good) else float("inf")
     return trees, bounds
 
 

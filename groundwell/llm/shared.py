@@ -56,8 +56,9 @@ def without_copies(df: DataFrame, marks: DataFrame, id_col: str, sha: Column) ->
     """The rows of ``df`` but for those that ``marks`` (``id``, ``sha``, ``kept``, ``n``) does not keep; of ``n`` equal rows that it keeps, one.
 
     Rows are named by id, null-safe, and by ``sha``, an expression over ``df``. They travel as one struct, so no name of theirs can clash.
+    The copies have no bound that would allow a broadcast, so both sides are sorted and merged at every size.
     """
-    copies = stored(marks.where("not kept or n > 1"), "copies").alias("copies")
+    copies = stored(marks.where("not kept or n > 1"), "copies").alias("copies").hint("merge")
     own = df.select(F.struct("*").alias("row"), F.col(_quoted(id_col)).alias("id"), sha.alias("sha")).alias("own")
     same = F.col("own.id").eqNullSafe(F.col("copies.id")) & (F.col("own.sha") == F.col("copies.sha"))
     kept = own.join(copies, same, "left_anti").select("row.*")

@@ -413,7 +413,7 @@ def keep_one(df: DataFrame, shingle: int = 5, similarity: float = 0.8, tile_size
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("label"), *words_of(distinct, size), pa.ListArray.from_arrays(pa.array(ends), pa.array(distinct.view(np.int64)))], ["node", "label", "size", *_NAMES, "shingles"])
 
     named = units.select("node", "least.id", "least.sha").join(proposed, "node")
-    texts = docs.join(named, ["id", "sha"]).dropDuplicates(["id", "sha"]).select("node", "label", "text")
+    texts = docs.join(named.hint("merge"), ["id", "sha"]).dropDuplicates(["id", "sha"]).select("node", "label", "text")
     members = stored(texts.mapInArrow(with_sets, f"node bigint, label bigint, {fields}, shingles array<bigint>"), "proposed")
     labels = connected(decided(members, similarity, block_rows, block_shingles))
     linked = units.join(labels, "node", "left").where("label is not null or n_rows > 1").select("label", "least", *key)

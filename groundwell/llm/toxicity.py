@@ -1,17 +1,17 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 A text is its words (runs of characters outside space and the controls 9 to 13, ASCII capitals lowered); each word,
-with a space before and behind, gives its byte n-grams of 2 to 5 bytes, hashed into ``dims`` features. A feature's value is
+with a space before and behind, gives its n-grams of 2 to 5 characters (code points), hashed into ``dims`` features. A feature's value is
 its count divided by the number of words, times the log ratio of its smoothed mean in toxic and in other training
 texts. Logistic regression on these gives the weights. Values add up over words, so a distinct word's share of the score is
 computed once and whole texts of any length are scored by a gather and a sum.
 
-Training takes at most ``max_rows`` labelled texts, those with the smallest hash of their id; the sample's features go to
-the driver as at most ``dims`` pairs of 6 bytes a text. Everything else covers all rows.
+Training takes at most ``max_rows`` labelled texts, those with the smallest hash of their id, and of these the first whose
+features, at most ``dims`` pairs of 6 bytes a text, make at most ``max_bytes``: those go to the driver. Everything else covers all rows.
 
 Defined results: null or empty text scores as the bias alone; null ids and repeated rows are scored like any other; with no labelled
 rows, or of one class only, every score is the smoothed share of toxic labels; a null label does not count; an empty
-table gives an empty result; columns other than id and text are ignored.
+table gives an empty result; columns other than id and text are ignored. Bytes that are no UTF-8 count as replacement characters.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwell.llm.blocks import IS_SPACE, Words, buffer_of, slices
-from groundwell.llm.shared import id_and_text, schema_with_id
+from groundwell.llm.shared import id_and_text, schema_with_id, stored
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -40,14 +40,25 @@ class ToxicModel:
     bias: float
 
 
+def _characters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the words, each between two spaces, end to end, and how many each word has."""
+    joined = b"".join(b" " + x + b" " for x in words)
+    try:
+        text = joined.decode()
+    except UnicodeDecodeError:
+        return _characters([x.decode(errors="replace").encode() for x in words])
+    begins = np.cumsum((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80)
+    ends = begins[np.cumsum([len(x) + 2 for x in words]) - 1] if words else np.zeros(0, np.int64)
+    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64), np.diff(ends, prepend=0)
+
+
 def gram_features(words: list[bytes], dims: int) -> tuple[np.ndarray, np.ndarray]:
     """The features of each word's n-grams, word after word, and the bounds of each word."""
-    lengths = np.array([len(x) + 2 for x in words], np.int64)
-    text = np.frombuffer(b"".join(b" " + x + b" " for x in words), np.uint8).astype(np.uint64) + np.uint64(1)
-    ends = np.cumsum(lengths)
-    begins = ends - lengths
+    text, lengths = _characters(words)
+    text += np.uint64(1)
+    begins = np.cumsum(lengths) - lengths
     place = np.arange(len(text)) - np.repeat(begins, lengths)
-    left = np.repeat(lengths, lengths) - place  # bytes from here to the word's end
+    left = np.repeat(lengths, lengths) - place  # characters from here to the word's end
     counts = sum(np.maximum(lengths - n + 1, 0) for n in _GRAMS)
     bounds = np.concatenate([[0], np.cumsum(counts)])
     out = np.empty(bounds[-1], np.int32)
@@ -76,7 +87,7 @@ def _blocks(batch: pa.RecordBatch) -> tuple[Words, np.ndarray, list[bytes]]:
 
 
 def text_features(docs: DataFrame, dims: int) -> DataFrame:
-    """``toxic`` with the features of each text and their values, as bytes of 16-bit numbers and 32-bit floats."""
+    """``place`` and ``toxic`` with the features of each text and their values, as bytes of 16-bit numbers and 32-bit floats."""
     assert dims <= 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,9 +103,9 @@ def text_features(docs: DataFrame, dims: int) -> DataFrame:
                 found = np.flatnonzero(count)
                 features.append(found.astype("<u2").tobytes())
                 values.append((count[found] / (b - a + _PRIOR_WORDS)).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(features, pa.binary()), pa.array(values, pa.binary())], ["toxic", "features", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("toxic"), pa.array(features, pa.binary()), pa.array(values, pa.binary())], ["place", "toxic", "features", "values"])
 
-    return docs.mapInArrow(run, "toxic int, features binary, values binary")
+    return docs.mapInArrow(run, "place bigint, toxic int, features binary, values binary")
 
 
 def fit(rows: list, dims: int, ridge: float = 1e-5, steps: int = 120) -> ToxicModel:
@@ -138,12 +149,15 @@ def in_fold(id_column: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(folds))
 
 
-def train(df: DataFrame, labels: DataFrame, max_rows: int = 3000, dims: int = 1 << 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
-    """Learns from the labelled rows outside fold 0, at most ``max_rows`` of them."""
+def train(df: DataFrame, labels: DataFrame, max_rows: int = 3000, max_bytes: int = 64 << 20, dims: int = 1 << 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
+    """Learns from the labelled rows outside fold 0, at most ``max_rows`` of them and ``max_bytes`` of their features."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").where(in_fold(F.col("id")) != 0)
-    sample = known.orderBy(F.xxhash64("id"), "id", "toxic").limit(max_rows)
+    sample = known.select("id", "toxic", F.xxhash64("id").alias("place")).orderBy("place", "id", "toxic").limit(max_rows)
     docs = id_and_text(df, id_col, text_col).join(F.broadcast(sample), "id")  # a stated number of rows
-    return fit(text_features(docs.select("toxic", "text"), dims).collect(), dims)
+    made = stored(text_features(docs.select("place", "toxic", "text"), dims), "toxic-features").orderBy("place", "toxic", "features", "values").limit(max_rows)
+    sizes = made.select(F.octet_length("features") + F.octet_length("values")).collect()
+    fits = int(np.searchsorted(np.cumsum([r[0] for r in sizes]), max_bytes, "right"))
+    return fit(made.limit(fits).collect(), dims)
 
 
 class _Shares:

@@ -202,9 +202,72 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(odd, model).count() == odd.count() and toxicity.score(none, model).count() == 0
 
 
+def plain_grams(word, dims):
+    """Hashed n-grams of 2 to 5 characters, by plain arithmetic."""
+    text, mask = [ord(c) + 1 for c in f" {word} "], (1 << 64) - 1
+    for n in (2, 3, 4, 5):
+        for k in range(len(text) - n + 1):
+            h = 0
+            for c in text[k : k + n]:
+                h = (h * 0x100000001B3 + c) & mask
+            h ^= h >> 29
+            h = (h * 0xBF58476D1CE4E5B9) & mask
+            yield (h ^ (h >> 32)) % dims
+
+
+def test_toxicity_by_dictionaries(spark, odd, odd_texts):
+    """Features, the optimum of the fit, and scores against plain dictionaries."""
+    texts = [(k, f"{'böse wörter 坏话' if k % 3 == 0 else 'gute Worte и слова'} number{k} {'x' * (k % 5)}", int(k % 3 == 0)) for k in range(60)]
+    docs, labels = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string"), spark.createDataFrame([(t[0], t[2]) for t in texts], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, dims=512)
+
+    def features(text):
+        words = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        count = collections.Counter(g for w in words for g in plain_grams(w, 512))
+        return {g: n / (len(words) + 40) for g, n in count.items()}
+
+    for row in toxicity.score(docs, model).union(toxicity.score(odd.where("doc_id not in (6, 7, 8)"), model)).collect():
+        text = texts[row.doc_id][1] if row.doc_id is not None and row.doc_id < 60 else None
+        if text is not None and row.doc_id > 9:
+            assert abs(row.score - 1 / (1 + np.exp(-model.bias - sum(model.weights[g] * x for g, x in features(text).items())))) < 1e-5
+    seen = [(features(t), y) for k, t, y in texts if zlib.crc32(str(k).encode()) % 5]
+    mean = []
+    for y in (0, 1):
+        own = [f for f, label in seen if label == y]
+        total = collections.Counter()
+        for f in own:
+            total.update(f)
+        m = np.array([total[g] / len(own) + 1e-4 for g in range(512)])
+        mean.append(m / m.sum())
+    ratio = np.log(mean[1] / mean[0])
+    x = np.zeros((len(seen), 512))
+    for row, (f, _) in enumerate(seen):
+        for g, v in f.items():
+            x[row, g] = v * ratio[g]
+    y, scale = np.array([label for _, label in seen], float), 1 / np.sqrt((x**2).sum() / len(seen))
+    w = np.divide(model.weights, ratio * scale, where=ratio != 0, out=np.zeros(512))
+    error = 1 / (1 + np.exp(-(x * scale) @ w - model.bias)) - y
+    start = abs((x * scale).T @ (0.5 - y)).max() / len(seen)
+    assert abs((x * scale).T @ error / len(seen) + 1e-5 * w).max() < 0.02 * start
+    assert (((x * scale) @ w + model.bias > 0) == (y == 1)).all()
+
+
+def test_training_is_bounded(spark, data):
+    """No more bytes of features than allowed reach the driver, and null ids are not held out."""
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    few = toxicity.train(docs, labels, max_bytes=200_000)
+    assert not np.array_equal(few.weights, toxicity.train(docs, labels).weights)
+    none = toxicity.train(docs, labels, max_bytes=10)
+    assert none.bias == 0 and not none.weights.any()
+
+
 def test_gram_features_count():
     grams, bounds = toxicity.gram_features([b"ab", b"", b"abc"], 1 << 15)
     assert np.diff(bounds).tolist() == [3 + 2 + 1, 1, 4 + 3 + 2 + 1] and bounds[-1] == len(grams)
+    words = ["naïve", "坏", "", "😀x"]
+    grams, bounds = toxicity.gram_features([w.encode() for w in words], 1 << 15)
+    assert [sorted(grams[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [sorted(plain_grams(w, 1 << 15)) for w in words]
+    assert len(toxicity.gram_features([b"\xff"], 8)[0]) == 3
 
 
 # 6
@@ -263,15 +326,13 @@ def license_base(text):
     return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places})), words
 
 
-def license_labels(words, counts, threshold):
-    """Every window against every template, without filters."""
-    vocabulary = license_scan.Vocabulary(license_scan.PHRASES, license_scan.TEMPLATES)
-    stride, best, labels = vocabulary.longest, 0.0, set()
-    for start in range(0, max(len(words), 1), stride):
-        held = set(words[start : start + 2 * stride])
-        for label, template in license_scan.TEMPLATES:
-            tokens = set(template.split())
-            share = len(tokens & held) / len(tokens)
+def license_labels(words, threshold):
+    """Every window of every template, twice its length, without filters."""
+    best, labels = 0.0, set()
+    for label, template in license_scan.TEMPLATES:
+        inside = license_base(template)[-1]
+        for start in range(0, max(len(words), 1), len(inside)):
+            share = len(set(inside) & set(words[start : start + 2 * len(inside)])) / len(set(inside))
             if share >= threshold - 1e-9:
                 labels.add(label)
                 best = max(best, share)
@@ -285,7 +346,7 @@ def check_licenses(rows, texts, threshold):
     expected = collections.Counter()
     for key, text in texts:
         *base, words = license_base(text)
-        labels, best = license_labels(words, None, threshold)
+        labels, best = license_labels(words, threshold)
         own = set(base[4].split(",")) - {""} | labels
         expected[(key, *base, ",".join(sorted(own)), 1.0 if base[1] else round(best, 9))] += 1
     assert found == expected
@@ -300,6 +361,25 @@ def test_license_scan(spark, data, documents, odd, odd_texts, none):
     check_licenses(license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string"), threshold=0.85).collect(), texts, 0.85)
 
 
+def test_notices_with_edits_at_the_threshold(spark):
+    """Each notice is found with as many words changed as the threshold allows, wherever it stands, and not with one more."""
+    rng, texts, allowed = np.random.default_rng(6), [], []
+    for label, template in license_scan.TEMPLATES:
+        words = license_base(template)[-1]
+        distinct = list(dict.fromkeys(words))
+        spare = len(distinct) - int(np.ceil(0.9 * len(distinct) - 1e-9))
+        for gone in (spare, spare + 1):
+            lost = set(rng.choice(distinct, gone, replace=False).tolist())
+            before = [f"u{k}" for k in range(int(rng.integers(0, 300)))]
+            texts.append((len(texts), " ".join(before + [f"q{k}" if w in lost else w.upper() for k, w in enumerate(words)] + before[:50])))
+            allowed.append((label, gone == spare))
+    rows = license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    check_licenses(rows, texts, 0.9)
+    for r in rows:
+        label, whole = allowed[r.doc_id]
+        assert not whole or label in r.labels.split(",")
+
+
 # 8
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
