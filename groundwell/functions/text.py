@@ -76,7 +76,7 @@ def tokens(text: Column | str) -> Column:
 
 def query_terms(query: Column | str) -> Column:
     """White-space separated terms without quotes; terms that are then empty go."""
-    return F.filter(F.split(strip(F.translate(_col(query), '"', "")), r"\s+"), lambda t: t != "")
+    return F.filter(F.split(strip(F.translate(_col(query), "\"'", "")), r"(?U)\s+"), lambda t: t != "")
 
 
 def context_header(title: Column | str, uri: Column | str, loc: Column | str) -> Column:
@@ -92,6 +92,14 @@ def content_hash(summary: Column | str, entities: Column | str) -> Column:
     return F.sha2(F.concat_ws("::", _col(summary), F.array_join(F.array_sort(_col(entities)), ",")), 256)
 
 
+def yaml_scalar(x: Column | str) -> Column:
+    """A value as a YAML scalar: plain where that reads back as the same text, else in double quotes."""
+    value = _col(x)
+    plain = value.rlike(r"^[\p{L}][\p{L}\p{N} _./,()-]*$") & ~value.endswith(" ") & ~F.lower(value).isin("true", "false", "yes", "no", "on", "off", "null", "y", "n")
+    quoted = F.replace(F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    return F.when(plain, value).otherwise(F.concat(F.lit('"'), quoted, F.lit('"')))
+
+
 def source_block(path: Column | str, hint: Column | str, loc: Column | str) -> Column:
     """An address as an item of a page's list of sources."""
     has_loc = F.coalesce(_col(loc), F.lit("")) != ""
@@ -117,3 +125,8 @@ def merge_maps(first: Column, second: Column) -> Column:
     """Both maps; where they share a key, the second's value."""
     keys = F.map_keys(second)
     return F.map_concat(F.map_filter(first, lambda k, _: ~F.array_contains(keys, k)), second)
+
+
+def tokens_per_second(completion: Column, latency_ms: Column) -> Column:
+    """The generated column of telemetry: tokens by seconds, 0 without a latency, to two places as a decimal."""
+    return F.when(latency_ms > 0, F.round(completion / (latency_ms / 1000), 2)).otherwise(0).cast("decimal(10,2)")

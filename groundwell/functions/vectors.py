@@ -78,6 +78,18 @@ def hash_embed(text: Column | str, dims: int = 64) -> Column:
     return _let(marks, counts)
 
 
+def hash_embeddings(df: DataFrame, id_col: str, text: Column, dims: int = 64) -> DataFrame:
+    """``id`` and the ``embedding`` that :func:`hash_embed` gives, for a whole table.
+
+    Words are rows here, hashed in generated code and counted by bucket before anything is shuffled; an id must name one row.
+    """
+    words = df.select(F.col(id_col).alias("id"), F.explode_outer(F.split(F.lower(text), r"\s+")).alias("word"))
+    bucket = F.when(F.coalesce("word", F.lit("")) != "", hash_bucket(F.col("word"), dims)).otherwise(-1)
+    counts = words.groupBy("id", bucket.alias("bucket")).agg(F.count("*").cast("double").alias("n"))
+    held = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("held"))
+    return held.select("id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.coalesce(F.col("held")[k], F.lit(0.0))).alias("embedding"))
+
+
 def char_embed(text: Column | str, dims: int = 1024) -> Column:
     """``(code point * 31 + place) mod 100 / 100`` of the first ``dims`` characters, scaled to unit length; zeros beyond the text."""
     text = F.col(text) if isinstance(text, str) else text
@@ -119,6 +131,10 @@ def embed(df: DataFrame, text_col: str, embedder: Embedder | None = None, dims:
     return out.withColumn("embedding", F.coalesce("embedding", char_embed(F.coalesce(F.col(text_col), F.lit("")), dims)))
 
 
+def in_order(vectors: Column | str) -> Column:
+    """The vectors of a response (structs of ``index`` and ``embedding``) in the order of what was sent."""
+    return F.transform(F.array_sort(F.col(vectors) if isinstance(vectors, str) else vectors, lambda a, b: F.when(a["index"] < b["index"], -1).when(a["index"] > b["index"], 1).otherwise(0)), lambda x: x["embedding"])
+
 
 def rrf(rank: Column | str, k: int = 60, missing: float = 0.0) -> Column:
     """``1 / (k + rank)`` in double precision; ``missing`` where there is no rank."""

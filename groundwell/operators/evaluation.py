@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundwell.functions.vectors import cosine
+
 
 def first_ranks(questions: DataFrame, hits: DataFrame) -> DataFrame:
     """``qid`` and the best 1-based rank among acceptable targets, null if none is ranked."""
@@ -16,6 +20,51 @@ def recall_at(ranks: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     return ranks.agg(*(F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 3).alias(f"recall_at_{k}") for k in ks), F.round(F.avg(F.coalesce(F.lit(1.0) / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
 
 
+def questions_of(spark: SparkSession, text: str) -> DataFrame:
+    """A test set in YAML (``questions`` of ``q``, ``target``, perhaps ``also_acceptable`` and ``paraphrase``) as ``qid``, ``hint``, ``targets``, ``paraphrase``."""
+    import yaml
+
+    rows = [(k, x["q"], list(dict.fromkeys([x["target"], *(x.get("also_acceptable") or [])])), bool(x.get("paraphrase")), x["target"]) for k, x in enumerate(yaml.safe_load(text)["questions"])]
+    return spark.createDataFrame(rows, "qid int, hint string, targets array<string>, paraphrase boolean, target string")
+
+
+def unknown_targets(questions: DataFrame, pages: DataFrame) -> DataFrame:
+    """Targets that are no page: a test set that has any must not be used."""
+    return questions.select("target").distinct().join(pages.select(F.col("slug").alias("target")), "target", "left_anti")
+
+
+def ranked_pages(pages: DataFrame, questions: DataFrame, vector: str = "embedding", query_vector: str = "query_vector") -> DataFrame:
+    """``qid``, ``id``, ``rank`` of the acceptable pages of each question among all pages by similarity, ties by slug descending."""
+    wanted = questions.select("qid", F.explode("targets").alias("id"))
+    at = questions.select("qid", F.col(query_vector).alias("__q"))
+    targets = wanted.join(pages.select(F.col("slug").alias("id"), F.col(vector).alias("__t")), "id").join(at, "qid").select("qid", "id", F.round(cosine("__t", "__q"), 9).alias("__at"))
+    best = targets.groupBy("qid").agg(F.max(F.struct("__at", "id")).alias("best"))
+    scored = pages.select("slug", F.col(vector).alias("__v")).crossJoin(F.broadcast(best.join(at, "qid")))  # a test set is written by hand
+    before = F.struct(F.round(cosine("__v", "__q"), 9).alias("__at"), F.col("slug").alias("id")) > F.col("best")
+    return scored.groupBy("qid", F.col("best.id").alias("id")).agg((F.count(F.when(before, 1)) + 1).alias("rank"))
+
+
+def recall_by_paraphrase(questions: DataFrame, ranks: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """Recall of all questions and of the paraphrases alone (null if there are none), to three places."""
+    both = questions.select("qid", "paraphrase").join(ranks.select("qid", "rank"), "qid", "left")
+    hit = lambda k: F.when(F.col("rank") <= k, 1.0).otherwise(0.0)
+    return both.agg(
+        F.count("*").alias("n_questions"),
+        F.count(F.when(F.col("paraphrase"), 1)).alias("n_paraphrase"),
+        *(F.round(F.avg(hit(k)), 3).alias(f"recall_at_{k}") for k in ks),
+        *(F.round(F.avg(F.when(F.col("paraphrase"), hit(k))), 3).alias(f"paraphrase_recall_at_{k}") for k in ks),
+    )
+
+
+def write_transcript(rows: DataFrame, path: str) -> bool:
+    """Writes rows as JSON; a place that cannot be written to is told by ``False``, not by an error."""
+    try:
+        rows.write.mode("overwrite").json(path)
+        return True
+    except (PySparkException, Py4JError):
+        return False
+
+
 def needle_found(hits: DataFrame, text: str, needle: str, by: str) -> DataFrame:
     return hits.groupBy(by).agg(F.bool_or(F.contains(F.col(text), F.col(needle))).alias("passed"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -12,11 +13,12 @@ from pyspark.sql.window import Window
 
 from groundwell.functions.text import link_target, normalize_path, title_case, wikilinks
 
-# Fields that a page must have, entries of its tree, pages that only navigate, and the order of kinds.
+# Fields that a page must have, entries of its tree, pages that only navigate, parts of a source, and kinds in order with their headings.
 REQUIRED = ("type", "title", "summary", "entities", "department", "sources", "last_compiled")
-TREE = ("index.md", "log.md", "concepts", "entities", "sources", "synthesis", "archive")
+TREE = ("index.md", "archive.md", "log.md", "techniques", "entities", "playbooks", "concepts")
 NAVIGATIONAL = ("index", "archive", "log")
-TYPE_ORDER = ("concept", "entity", "source", "synthesis")
+SOURCE_KEYS = ("path", "loc", "hint")
+TYPE_HEADING = {"technique": "Techniques", "playbook": "Playbooks", "concept": "Concepts", "entity": "Entities"}
 
 
 def edges(pages: DataFrame, body: str = "body") -> DataFrame:
@@ -61,22 +63,38 @@ def missing_sources(pages: DataFrame, files: DataFrame) -> DataFrame:
     return named.join(known, normalize_path("path") == F.col("__file"), "left_anti")
 
 
+def missing_entries(tree: DataFrame) -> DataFrame:
+    """Required entries of a page tree that are not among its ``entry`` values."""
+    return tree.sparkSession.createDataFrame([(x,) for x in TREE], "entry string").join(tree.select("entry"), "entry", "left_anti")
+
+
+def missing_source_keys(pages: DataFrame) -> DataFrame:
+    """``slug``, ``n`` (place in the list) and ``key`` for each part that a source lacks.
+
+    A key counts as present if ``source_keys`` (the keys of each source, as pages are loaded) has it, whatever its value; pages without that
+    column can only be judged by null values.
+    """
+    if "source_keys" in pages.columns:
+        lacking = pages.select("slug", F.posexplode("source_keys").alias("n", "keys")).select("slug", "n", F.explode(F.array_except(F.array(*map(F.lit, SOURCE_KEYS)), "keys")).alias("key"))
+    else:
+        place = pages.select("slug", F.posexplode("sources").alias("n", "s"))
+        lacking = place.select("slug", "n", F.explode(F.array_compact(F.array(*(F.when(F.col(f"s.{k}").isNull(), k) for k in ("path", "hint"))))).alias("key"))
+    return lacking
+
+
 def lint(pages: DataFrame, files: DataFrame, tree: DataFrame | None = None) -> DataFrame:
     """``severity``, ``page``, ``rule``, ``detail`` of all checks. Pages have ``slug``, ``body``, ``present`` and ``sources``."""
     links = edges(pages)
-    place = pages.select("slug", F.posexplode("sources").alias("n", "s"))
-    parts = place.select("slug", "n", F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.col(f"s.{k}").isNull().alias("missing")) for k in ("path", "loc", "hint")))).alias("p")).where("p.missing and p.key <> 'loc'")
     found = [
         missing_fields(pages, F.col("present")).select(F.lit("error"), "slug", F.lit("missing_field"), "field"),
         pages.where(F.array_contains("present", "related")).select(F.lit("error"), "slug", F.lit("forbidden_field"), F.lit("related")),
-        parts.select(F.lit("error"), "slug", F.lit("source_field"), F.concat_ws(".", "n", "p.key")),
+        missing_source_keys(pages).select(F.lit("error"), "slug", F.lit("source_field"), F.concat_ws(".", "n", "key")),
         missing_sources(pages, files).select(F.lit("error"), "slug", F.lit("source_file"), "path"),
         unresolved(links, pages).select(F.lit("warning"), "src", F.lit("unresolved_link"), "dst"),
         orphans(links, pages).select(F.lit("warning"), "slug", F.lit("orphan"), F.lit("")),
     ]
     if tree is not None:
-        wanted = tree.sparkSession.createDataFrame([(x,) for x in TREE], "entry string")
-        found.append(wanted.join(tree.select("entry"), "entry", "left_anti").select(F.lit("error"), F.lit(""), F.lit("tree"), "entry"))
+        found.append(missing_entries(tree).select(F.lit("error"), F.lit(""), F.lit("tree"), "entry"))
     return reduce(DataFrame.union, found).toDF("severity", "page", "rule", "detail")
 
 
@@ -121,15 +139,24 @@ def heal_edit(df: DataFrame, text: str, old: str, new: str, out: str = "healed")
     return df.withColumn(out, edit(text, old, new))
 
 
-def render_index(pages: DataFrame) -> DataFrame:
-    """One row: the index of all pages by kind (known kinds first, then the others by name) and title, free of dates."""
-    kinds = F.array(*map(F.lit, TYPE_ORDER))
+def by_kind(pages: DataFrame) -> DataFrame:
+    """``type`` (``concept`` where there is none), its ``place`` and ``heading``, ``n`` pages and their sorted ``lines``, but for navigation.
+
+    Known kinds come first in their order, the others by name; pages are sorted by title, whatever its case, then by ``rel``.
+    """
+    kinds = F.array(*map(F.lit, TYPE_HEADING))
+    heading = F.create_map(*(F.lit(x) for pair in TYPE_HEADING.items() for x in pair))
     rows = pages.where(~F.col("slug").isin(*NAVIGATIONAL)).select(F.coalesce("type", F.lit("concept")).alias("type"), F.coalesce("title", "slug").alias("title"), F.trim(F.coalesce("summary", F.lit(""))).alias("summary"), "rel")
     line = F.concat(F.lit("- ["), "title", F.lit("]("), "rel", F.lit(") — "), "summary")
-    place = F.when(F.array_contains(kinds, F.col("type")), F.array_position(kinds, F.col("type"))).otherwise(1000)
     grouped = rows.groupBy("type").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.lower("title"), "rel", line.alias("line")))).alias("lines"))
-    block = F.concat(F.lit("## "), title_case("type"), F.lit("\n\n"), F.array_join(F.col("lines.line"), "\n"))
-    blocks = grouped.select("n", F.struct(place.alias("place"), "type", block.alias("block")).alias("b"))
+    known = F.array_contains(kinds, F.col("type"))
+    return grouped.select("type", F.when(known, F.array_position(kinds, F.col("type"))).otherwise(1000).cast("int").alias("place"), F.when(known, heading[F.col("type")]).otherwise(title_case("type")).alias("heading"), "n", F.col("lines.line").alias("lines"))
+
+
+def render_index(pages: DataFrame) -> DataFrame:
+    """One row: the index of all pages by kind and title, free of dates. A page of text for people: it is put together in one task."""
+    block = F.concat(F.lit("## "), "heading", F.lit("\n\n"), F.array_join("lines", "\n"))
+    blocks = by_kind(pages).select("n", F.struct("place", "type", block.alias("block")).alias("b"))
     whole = blocks.agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("b")).alias("b"))
     return whole.select(F.concat(F.lit("# Index\n\n_"), F.coalesce("n", F.lit(0)), F.lit(" pages_\n\n"), F.array_join(F.col("b.block"), "\n\n"), F.lit("\n")).alias("content"))
 
@@ -146,6 +173,36 @@ def first_source_page(addresses: DataFrame) -> DataFrame:
     return addresses.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
 
 
+def broken(reports: DataFrame) -> DataFrame:
+    """Reports that ask for a new hint."""
+    return reports.where(F.col("status").isin("drift", "fail"))
+
+
+def verify_and_heal(pages: DataFrame, retrieve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``slug``, ``path``, ``old``, ``new``, ``loc`` and ``trigger`` of every heal that is proposed; nothing is changed.
+
+    Every address of every page is verified; a broken one takes the place of the first address with its path and hint, and the page
+    that names this last gives the hints to try. ``retrieve`` gives hits for rows of ``ord`` and ``hint`` without looking at paths; it is asked
+    twice in all, once for the addresses and once for all candidates together. The proposal is the first candidate that passes.
+    """
+    from groundwell.operators.fetch import addresses_of
+
+    named = addresses_of(pages).withColumnRenamed("ord", "place").withColumn("loc", F.nullif("loc", F.lit("")))
+    order = Window.partitionBy("path", "hint").orderBy("slug", "place")
+    first = named.withColumn("__n", F.row_number().over(order)).where("__n = 1").select("path", "hint", "loc")
+    # the page that holds the very same address (place included) last
+    holder = named.withColumnRenamed("loc", "own_loc").join(first, ["path", "hint"]).where(F.col("own_loc").eqNullSafe(F.col("loc"))).groupBy("path", "hint").agg(F.max("slug").alias("slug"))
+    addresses = first.join(holder, ["path", "hint"]).withColumn("ord", F.sha2(F.concat_ws("\0", "path", "hint"), 256))
+    reports = broken(verify(addresses.select("ord", "path", "hint"), retrieve(addresses.select("ord", "hint")))).select("ord", "status")
+    asked = addresses.join(reports.withColumnRenamed("status", "trigger"), "ord").withColumnRenamed("ord", "address").withColumnRenamed("hint", "old")
+    tries = asked.join(heal_candidates(pages), "slug").withColumn("tried", F.concat_ws("#", "address", "ord"))
+    tested = verify(tries.select(F.col("tried").alias("ord"), "path", "hint"), retrieve(tries.select(F.col("tried").alias("ord"), "hint")))
+    passed = tested.where("status = 'pass'").select(F.col("ord").alias("tried"))
+    best = Window.partitionBy("address").orderBy("ord")
+    good = tries.join(passed, "tried").withColumn("__n", F.row_number().over(best)).where("__n = 1")
+    return good.select("slug", "path", "old", F.col("hint").alias("new"), "loc", "trigger")
+
+
 def index_is_stale(rendered: DataFrame, stored: str | None) -> bool:
     """Whether a stored index differs from the rendered one."""
     return rendered.first()["content"] != stored
@@ -153,9 +210,9 @@ def index_is_stale(rendered: DataFrame, stored: str | None) -> bool:
 
 def compile_page(notes: DataFrame, today: str) -> DataFrame:
     """``rel`` and ``text`` of a page for each note (``title``, ``category``, ``summary``, ``path``, ``hint``); the summary comes from the caller, the date is given."""
-    from groundwell.functions.text import note_file_name, source_block
+    from groundwell.functions.text import note_file_name, source_block, yaml_scalar
 
-    front = F.format_string("---\ntype: %s\ntitle: %s\nsummary: %s\nentities: []\ndepartment: all\nlast_compiled: %s\nsources:\n", F.col("category"), F.col("title"), F.col("summary"), F.lit(today))
+    front = F.format_string("---\ntype: %s\ntitle: %s\nsummary: %s\nentities: []\ndepartment: all\nlast_compiled: %s\nsources:\n", yaml_scalar("category"), yaml_scalar("title"), yaml_scalar("summary"), F.lit(today))
     body = F.concat(F.lit("---\n\n# "), "title", F.lit("\n\n## Summary\n\n"), "summary", F.lit("\n"))
     return notes.select(F.concat("category", F.lit("/"), note_file_name("title")).alias("rel"), F.concat(front, source_block("path", "hint", F.lit("")), body).alias("text"))
 

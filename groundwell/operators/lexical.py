@@ -1,4 +1,4 @@
-"""Keyword search: postings, AND match, BM25 and a cover-distance rank."""
+"""Keyword search: postings, AND match, BM25, stemmed match with a rank by distances, and phrases."""
 
 from __future__ import annotations
 
@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from groundwell.functions.text import tokens
+from groundwell.functions.text import query_terms, tokens
 
 # The usual parameters of BM25, and English stop words.
 K1, B = 1.2, 0.75
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "had", "has", "have", "he", "her", "his", "i", "in", "is", "it", "its", "not", "of", "on", "or", "our", "she", "so", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "to", "was", "we", "were", "which", "who", "will", "with", "you", "your")
 
 
+#: Stands for a document among its words; no word can be it.
+_MARK = "\0"
+
+
 def stem(token: Column) -> Column:
     """A light English stemmer: plural and verb endings of words that stay three letters or longer."""
     rules = ((r"^(.{2,})sses$", "$1ss"), (r"^(.{2,})ies$", "$1y"), (r"^(.{3,})ing$", "$1"), (r"^(.{3,})ed$", "$1"), (r"^(.{2,}[^su])s$", "$1"))
@@ -42,16 +46,17 @@ def query_rows(queries: DataFrame, words: Column, qid: str = "qid") -> DataFrame
 def bm25(df: DataFrame, queries: DataFrame, id_col: str, doc_words: Column, query_words: Column, match_all: bool = True, floor_idf: float = 1e-6) -> DataFrame:
     """``qid``, ``id`` and ``score`` of every match; with ``match_all`` a match holds every term of its query.
 
-    Only postings of asked terms are exploded: documents keep the words that some query names before anything is
-    counted, and counts are partial before they are shuffled by term. (An outer explode keeps Catalyst from testing the size of the
-    words first, which would extract them twice.)
+    Texts are read and cut into words once. Only postings of asked terms go on, and one mark for each document, from which the totals
+    come: counts are partial before they are shuffled, and document counts and totals read the exchange of the postings.
     """
     asked = query_rows(queries, query_words)
-    rows = df.select(F.col(id_col).alias("id"), doc_words.alias("words")).select("id", F.size("words").alias("len"), "words")
-    corpus = rows.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    found = rows.select("id", "len", F.explode_outer("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    rows = df.select(F.col(id_col).alias("id"), doc_words.alias("words")).select("id", F.size("words").alias("len"), F.array_append("words", F.lit(_MARK)).alias("words"))
+    wanted = asked.select("term").distinct().union(asked.sparkSession.createDataFrame([(_MARK,)], "term string"))
+    found = rows.select("id", "len", F.explode("words").alias("term")).join(wanted, "term", "left_semi")
     found = found.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    # counts rows through tf, so that both aggregations read one exchange
+    # counts rows through tf, so that all aggregations read one exchange
+    mark = (F.col("term") == _MARK) & (F.col("tf") > 0)
+    corpus = found.agg(F.count(F.when(mark, 1)).alias("n_docs"), F.avg(F.when(mark, F.col("len"))).alias("avg_len"))
     df_of = found.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(floor_idf))
     weighted = asked.join(df_of, "term").crossJoin(F.broadcast(corpus)).withColumn("idf", idf)  # one row of totals
@@ -60,6 +65,63 @@ def bm25(df: DataFrame, queries: DataFrame, id_col: str, doc_words: Column, quer
     return (scored.where("matched = n_terms") if match_all else scored).select("qid", "id", "score")
 
 
+def positions(text: Column | str) -> Column:
+    """Stemmed words that are no stop words, with their places (from 1) among all words: an array of (term, pos)."""
+    words = F.transform(tokens(text), lambda t, k: F.struct(t.alias("term"), (k + 1).alias("pos")))
+    return F.transform(F.filter(words, lambda w: ~w["term"].isin(*STOP_WORDS)), lambda w: F.struct(stem(w["term"]).alias("term"), w["pos"].alias("pos")))
+
+
+def cover_rank(positions_a: Column, positions_b: Column, weight: float = 0.1) -> Column:
+    """:func:`places_rank` of two terms."""
+    return places_rank(F.array(positions_a, positions_b), weight)
+
+
+def places_rank(places: Column, weight: float = 0.1) -> Column:
+    """Rank of a match by the places of its terms (an array of arrays, one for each term of the query).
+
+    Every pair of places of two different terms adds, as ``1 - product(1 - w)``, with ``w`` falling with their distance; a single term
+    ranks by how often it stands. All words weigh the same.
+    """
+    falls = lambda d: F.when(d > 100, 1e-30).otherwise(1 / (1.005 + 0.05 * F.exp(d / 1.5 - 2)))
+    one = lambda a, b: F.lit(weight) * F.sqrt(falls(F.when(a == b, 16383).otherwise(F.abs(a - b)).cast("double")))
+    pair = lambda xs, ys: F.aggregate(xs, F.lit(1.0), lambda acc, a: acc * F.aggregate(ys, F.lit(1.0), lambda inner, b: inner * (1 - one(a, b))))
+    n = F.size(places)
+    rest = F.aggregate(
+        F.sequence(F.lit(1), n - 1),
+        F.lit(1.0),
+        lambda acc, i: acc * F.aggregate(F.slice(places, 1, i), F.lit(1.0), lambda inner, xs: inner * pair(F.element_at(places, i + 1), xs)),
+    )
+    often = F.aggregate(F.sequence(F.lit(1), F.size(places[0])), F.lit(0.0), lambda acc, j: acc + F.lit(weight) / (j * j))
+    return F.when(n == 1, often / 1.64493406685).when(n > 1, F.lit(1.0) - rest).otherwise(0.0)
+
+
+def text_rank(df: DataFrame, queries: DataFrame, id_col: str, text: Column | str, hint: Column | str = "hint", path_col: str | None = None) -> DataFrame:
+    """``qid``, ``id`` and ``score`` of the rows that hold every stemmed word of a query, ranked by :func:`places_rank`.
+
+    Only places of asked words are kept, gathered within each row; rows and queries meet by word. With ``path_col`` (in both tables)
+    they must agree in it too. A query of stop words alone matches nothing.
+    """
+    on = ["term"] + ([path_col] if path_col else [])
+    asked = queries.select("qid", *on[1:], F.array_distinct(F.transform(positions(hint), lambda w: w["term"])).alias("terms"))
+    asked = asked.select("qid", *on[1:], F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    rows = df.select(F.col(id_col).alias("id"), *on[1:], F.explode(positions(text)).alias("w")).select("id", *on[1:], "w.term", "w.pos")
+    found = rows.join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", *on).agg(F.array_sort(F.collect_list("pos")).alias("places"))
+    both = found.join(asked, on).groupBy("qid", "id", "n_terms").agg(F.count("*").alias("matched"), F.array_sort(F.collect_list(F.struct("term", "places"))).alias("held"))
+    return both.where("matched = n_terms").select("qid", "id", places_rank(F.col("held.places")).alias("score"))
+
+
+def phrases(query: Column | str) -> Column:
+    """Terms of a query that are several words, as one text each: those words must stand one after another."""
+    split = F.transform(query_terms(query), lambda t: F.array_join(tokens(t), " "))
+    return F.filter(split, lambda t: F.contains(t, F.lit(" ")))
+
+
+def holds_phrases(words: Column, wanted: Column) -> Column:
+    """Whether words in order hold every one of the phrases."""
+    text = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    return F.forall(wanted, lambda p: F.contains(text, F.concat(F.lit(" "), p, F.lit(" "))))
+
+
 def and_match(df: DataFrame, queries: DataFrame, id_col: str, doc_words: Column, query_words: Column) -> DataFrame:
     """``qid`` and ``id`` where the document holds every term of the query."""
     asked = query_rows(queries, query_words)
@@ -67,13 +129,6 @@ def and_match(df: DataFrame, queries: DataFrame, id_col: str, doc_words: Column,
     return held.join(asked, "term").groupBy("qid", "id", "n_terms").agg(F.count("*").alias("matched")).where("matched = n_terms").select("qid", "id")
 
 
-def cover_rank(positions_a: Column, positions_b: Column, weight: float = 0.1) -> Column:
-    """Rank of two terms by the distances of their places: nearer pairs weigh more, and every pair adds."""
-    pairs = F.flatten(F.transform(positions_a, lambda a: F.transform(positions_b, lambda b: F.abs(a - b))))
-    one = lambda d: F.sqrt(F.lit(weight * weight) / (1.005 + 0.05 * F.exp(d / 1.5 - 2)))
-    return F.lit(1.0) - F.aggregate(pairs, F.lit(1.0), lambda acc, d: acc * (1 - F.when(d > 0, one(d)).otherwise(F.lit(0.0))))
-
-
 def ranked(scored: DataFrame, limit: int, digits: int = 9, first: int = 1, by: str = "score") -> DataFrame:
     """Adds ``rank`` within each query, best first, ties by id; scores that agree to ``digits`` places are ties."""
     order = Window.partitionBy("qid").orderBy(F.round(by, digits).desc(), "id")

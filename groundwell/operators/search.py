@@ -2,32 +2,84 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from groundwell.functions.vectors import rrf, unit, unit_cosine
-from groundwell.operators.lexical import bm25, ranked
+from groundwell.functions.text import normalize_path
+from groundwell.functions.vectors import cosine, rrf, unit, unit_cosine
+from groundwell.operators.lexical import bm25, holds_phrases, phrases, ranked, text_rank
+from groundwell.operators.security import Scope, secured
+
+
+_SCORES = 1 << 21
+
+
+def _matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of unit length as one matrix, padded with zeros, and how long each row was; null counts as empty."""
+    vectors = vectors.cast(pa.list_(pa.float64()))
+    length = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(length), max(length.max(initial=0), 1)))
+    flat = np.nan_to_num(vectors.flatten().to_numpy(zero_copy_only=False))
+    row = np.repeat(np.arange(len(length)), length)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)] = flat
+    norm = np.sqrt((out * out).sum(axis=1))
+    return out / np.where(norm > 0, norm, 1.0)[:, None], length
 
 
 def vector_topk(df: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str = "embedding", query_vector: str = "query_vector", where: Column | None = None, min_similarity: float | None = None, max_queries: int | None = None, block: int = 10_000) -> DataFrame:
-    """``qid``, ``id``, ``score`` (cosine) and ``rank`` of the k best rows of each query.
+    """``qid``, ``id``, ``score`` (cosine; 0 for vectors that are null, zero or of another length) and ``rank`` of the k best rows of each query.
 
-    Queries are broadcast to the rows in blocks of about ``block``, whole queries by the hash of ``qid``; each task keeps only its k
-    best rows of a query before anything is shuffled. ``where`` is applied before ranking. More than ``max_queries``, if given, are refused.
+    Queries go to the rows in blocks of about ``block``, whole queries by the hash of ``qid``: products are matrix products over Arrow
+    batches, and of each batch only the k best rows of a query are shuffled. ``where`` is applied before ranking. More than
+    ``max_queries``, if given, are refused.
     """
     n = queries.count()
     if max_queries is not None and n > max_queries:
         raise ValueError(f"more than {max_queries} queries in a batch")
-    rows = (df if where is None else df.where(where)).select(F.col(id_col).alias("id"), unit(vector).alias("__v"))
-    asked, blocks = queries.select("qid", unit(query_vector).alias("__q")), max(1, -(-n // block))
+    rows = (df if where is None else df.where(where)).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    asked, blocks = queries.select("qid", F.col(query_vector).cast("array<double>").alias("v")), max(1, -(-n // block))
+    out = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("score", T.DoubleType())])
 
     def best(own: DataFrame) -> DataFrame:
-        scored = rows.crossJoin(F.broadcast(own)).select("qid", "id", unit_cosine("__v", "__q").alias("score"))
-        return ranked(scored if min_similarity is None else scored.where(F.col("score") >= min_similarity), k)
+        held = own.toArrow()  # a block of queries
+        names, (wanted, wanted_length) = held.column("qid").combine_chunks(), _matrix(held.column("v").combine_chunks())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                strip = max(1, _SCORES // max(len(names), 1))
+                for at in range(0, batch.num_rows if len(names) else 0, strip):
+                    part = batch.slice(at, strip)
+                    vectors, length = _matrix(part.column("v"))
+                    width = min(vectors.shape[1], wanted.shape[1])
+                    scores = np.where(length[:, None] == wanted_length[None, :], vectors[:, :width] @ wanted[:, :width].T, 0.0)
+                    order = np.round(scores, 9)
+                    if len(order) > k:  # all ties of the k-th best go on
+                        keep = order >= np.partition(order, len(order) - k, axis=0)[len(order) - k]
+                    else:
+                        keep = np.ones(order.shape, bool)
+                    if min_similarity is not None:
+                        keep &= scores >= min_similarity
+                    i, j = np.nonzero(keep)
+                    if len(i) > 4 * k * len(names):  # many ties: of these the smallest ids
+                        rank_of = pc.rank(part.column("id"), tiebreaker="first", null_placement="at_start").to_numpy()
+                        turn = np.lexsort((rank_of[i], -order[i, j], j))
+                        i, j = i[turn], j[turn]
+                        first = np.arange(len(j)) - np.searchsorted(j, j) < k
+                        i, j = i[first], j[first]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), part.column("id").take(pa.array(i)), pa.array(scores[i, j])], ["qid", "id", "score"])
+
+        return ranked(rows.mapInArrow(run, out), k)
 
+    if k <= 0:
+        return df.sparkSession.createDataFrame([], out).withColumn("rank", F.lit(0))
     if blocks == 1:
         return best(asked)
     of = F.pmod(F.xxhash64("qid"), F.lit(blocks))
@@ -52,15 +104,92 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int, id_col: str, do
     return fuse(v, t, k)
 
 
+def retrieve(chunks: DataFrame, docs: DataFrame, queries: DataFrame, k: int, scope: Scope | None, vector: str = "embedding", query_vector: str = "query_vector") -> DataFrame:
+    """Secured hybrid retrieval: ``qid``, the chunk, ``file_path``, ``loc``, ``score`` and ``rank`` of the k best chunks of each query.
+
+    ``chunks`` have ``chunk_id``, ``doc_id``, ``chunk_text``, ``context_prefix``, ``metadata`` and a vector; ``docs`` have ``doc_id``, ``source_uri`` and
+    ``allowed_depts``. What the scope may not see is gone before anything is ranked. A query (``qid``, ``hint``, a vector, and perhaps a
+    ``path``) with a path meets only the chunks of that file, by an equi-join; the others meet all chunks. Candidates by vector and by words
+    (all stemmed words, in the chunk or its context), ``max(20, 2k)`` of each, are fused by rank. Blank hints find nothing.
+    """
+    candidates = max(20, 2 * k)
+    own = chunks if "source_uri" in chunks.columns else chunks.join(docs.select("doc_id", "source_uri"), "doc_id")
+    own = secured(own, docs, scope).withColumn("__path", normalize_path("source_uri"))
+    asked = queries.where(F.trim("hint") != "")
+    has_path = F.col("path").isNotNull() if "path" in queries.columns else F.lit(False)
+    searched = F.concat_ws(" ", F.coalesce("context_prefix", F.lit("")), "chunk_text")
+    legs = []
+    if "path" in queries.columns:
+        addressed = asked.where(has_path).withColumn("__path", normalize_path("path"))
+        within = own.join(addressed.select("__path").distinct(), "__path", "left_semi")
+        scored = within.select(F.col("chunk_id").alias("id"), "__path", unit(vector).alias("__v")).join(addressed.select("qid", "__path", unit(query_vector).alias("__q")), "__path")
+        legs.append((scored.select("qid", "id", unit_cosine("__v", "__q").alias("score")), text_rank(within, addressed, "chunk_id", searched, path_col="__path")))
+    free = asked.where(~has_path)
+    v = vector_topk(own, free, candidates, "chunk_id", vector, query_vector)
+    t = ranked(text_rank(own, free, "chunk_id", searched), candidates)
+    for by_vector, by_text in legs:
+        v, t = v.unionByName(ranked(by_vector, candidates)), t.unionByName(ranked(by_text, candidates))
+    top = fuse(v, t, k).select("qid", F.col("id").alias("chunk_id"), "score", "rank")
+    return top.join(own, "chunk_id").select("qid", "chunk_id", F.col("chunk_text").alias("text"), F.col("source_uri").alias("file_path"), F.col("metadata")["loc"].alias("loc"), "metadata", "score", "rank")
+
+
+def vector_ranks(df: DataFrame, queries: DataFrame, targets: DataFrame, id_col: str, vector: str = "embedding", query_vector: str = "query_vector", block: int = 10_000) -> DataFrame:
+    """``qid``, ``id`` and the 0-based ``v_rank`` of each row of ``targets`` (``qid``, ``id``; a few for each query) among all rows.
+
+    A rank is the number of rows before: each Arrow batch counts its own, and counts are added up, so no pair of a row and a query
+    is ever written. Targets go to the rows in blocks of queries.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    asked = queries.select("qid", F.col(query_vector).alias("q"))
+    known = targets.select("qid", "id").join(rows, "id").join(asked, "qid").select("qid", "id", F.round(cosine("v", "q"), 9).alias("at"), F.col("q").cast("array<double>").alias("q"))
+    blocks = max(1, -(-queries.count() // block))
+    out = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("before", T.LongType())])
+
+    def counted(own: DataFrame) -> DataFrame:
+        held = own.orderBy("qid").toArrow()  # some targets for each query of a block
+        qid, target, at = (held.column(x).combine_chunks() for x in ("qid", "id", "at"))
+        place = qid.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(qid) else np.zeros(0, np.int64)
+        begins = np.searchsorted(place, np.arange(place.max(initial=-1) + 2))
+        wanted, wanted_length = _matrix(held.column("q").combine_chunks().take(pa.array(begins[:-1])))
+        target_ids, target_at = np.array(target.to_pylist(), object), at.to_numpy(zero_copy_only=False)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(target_ids), np.int64)
+            for batch in batches:
+                ids = np.array(batch.column("id").to_pylist(), object)
+                vectors, length = _matrix(batch.column("v"))
+                width = min(vectors.shape[1], wanted.shape[1])
+                for j in range(len(begins) - 1):
+                    order = np.round(np.where(length == wanted_length[j], vectors[:, :width] @ wanted[j, :width], 0.0), 9)
+                    for h in range(begins[j], begins[j + 1]):
+                        tied = np.flatnonzero(order == target_at[h])
+                        total[h] += int((order > target_at[h]).sum()) + int((ids[tied] < target_ids[h]).sum())
+            yield pa.RecordBatch.from_arrays([qid, target, pa.array(total)], ["qid", "id", "before"])
+
+        return rows.mapInArrow(run, out)
+
+    of = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    parts = [counted(known if blocks == 1 else known.where(of == b)) for b in range(blocks)]
+    return reduce(DataFrame.unionAll, parts).groupBy("qid", "id").agg(F.sum("before").alias("v_rank"))
+
+
 def wiki_search(pages: DataFrame, queries: DataFrame, k: int, id_col: str, doc_words: Column, query_words: Column, vector: str = "embedding", query_vector: str = "query_vector", rrf_k: int = 60, miss: int = 1000, keyword_limit: int = 50) -> DataFrame:
-    """Pages by 0-based vector rank over all pages and 0-based keyword rank; a page without one counts as rank ``miss``."""
+    """Pages by 0-based vector rank over all pages and 0-based keyword rank; a page without one counts as rank ``miss``.
+
+    Of the pages without a keyword rank only the k best by vector can be among the k best at all, so ranks are needed of those and of
+    the keyword hits alone (see :func:`vector_ranks`).
+    """
     if k <= 0:
         return pages.select(F.lit(0).alias("qid"), F.col(id_col).alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where(F.lit(False))
-    scored = pages.select(F.col(id_col).alias("id"), unit(vector).alias("__v")).crossJoin(F.broadcast(queries.select("qid", unit(query_vector).alias("__q")))).select("qid", "id", unit_cosine("__v", "__q").alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "id")
-    v = scored.withColumn("v_rank", F.row_number().over(order) - 1).select("qid", "id", "v_rank")
-    t = ranked(bm25(pages, queries, id_col, doc_words, query_words), keyword_limit, first=0).select("qid", "id", F.col("rank").alias("t_rank"))
-    both = v.join(t, ["qid", "id"], "left").withColumn("score", rrf("v_rank", rrf_k) + rrf(F.coalesce("t_rank", F.lit(miss)), rrf_k))
+    found = bm25(pages, queries, id_col, doc_words, query_words)
+    if "hint" in queries.columns:  # a term of several words must stand in the page as it is
+        strict = queries.select("qid", phrases("hint").alias("phrases")).where("size(phrases) > 0")
+        broken = found.join(strict, "qid").join(pages.select(F.col(id_col).alias("id"), doc_words.alias("words")), "id").where(~holds_phrases(F.col("words"), F.col("phrases")))
+        found = found.join(broken.select("qid", "id"), ["qid", "id"], "left_anti")
+    t = ranked(found, keyword_limit, first=0).select("qid", "id", F.col("rank").alias("t_rank"))
+    best = vector_topk(pages, queries, k + keyword_limit, id_col, vector, query_vector).select("qid", "id", (F.col("rank") - 1).cast("bigint").alias("v_rank"))
+    deep = vector_ranks(pages, queries, t.join(best, ["qid", "id"], "left_anti"), id_col, vector, query_vector)
+    both = best.unionByName(deep).join(t, ["qid", "id"], "left").withColumn("score", rrf("v_rank", rrf_k) + rrf(F.coalesce("t_rank", F.lit(miss)), rrf_k))
     return ranked(both, k)
 
 

@@ -21,12 +21,12 @@ from groundwell.functions.text import file_name, stem, strip, suffix, title_case
 # Type objects, since type strings need a session when this module is imported.
 FIELDS = T.MapType(T.StringType(), T.StringType())
 SECTIONS = T.ArrayType(T.StructType([T.StructField("loc", T.StringType()), T.StructField("text", T.StringType()), T.StructField("metadata", FIELDS)]))
-# Suffixes by format.
-MARKDOWN = (".md", ".txt")
+# Suffixes by format, and those that a directory scan takes.
+MARKDOWN = (".md", ".txt", ".markdown")
 TABULAR = (".csv", ".tsv")
-IMAGES = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg")
-CODE = (".py", ".js", ".ts", ".go", ".rs", ".java", ".sql", ".sh", ".json", ".yaml", ".yml", ".toml")
-LISTED = (*MARKDOWN, ".pdf", *TABULAR, *IMAGES, *CODE)
+CODE = (".py", ".sh", ".json", ".yaml", ".yml", ".sql", ".js", ".ts")
+IMAGES = (".png", ".jpg", ".jpeg", ".webp", ".svg", ".gif")
+LISTED = (".md", ".txt", ".markdown", ".pdf", ".csv", ".tsv", ".py", ".sh", ".json", ".yaml", ".yml", ".sql", ".png", ".jpg", ".jpeg", ".webp", ".svg")
 ROWS_PER_SECTION = 20
 
 
@@ -70,34 +70,34 @@ def yaml_fields(blocks: pd.Series) -> pd.Series:
 
 
 def load_pages(df: DataFrame) -> DataFrame:
-    """``rel``, ``slug``, ``present`` (field names), the fields, ``sources`` and ``body`` of scanned pages; pages without frontmatter are left out."""
+    """``rel``, ``slug``, ``present`` (field names), ``source_keys`` (those of each source), the fields, ``sources`` and ``body`` of scanned pages; pages without frontmatter are left out."""
     block, body = split_frontmatter("text")
     rows = df.select("rel", "slug", body.alias("body"), yaml_fields(block).alias("f")).where("f is not null")
     get = lambda name: F.col("f")[name]
     entities = F.coalesce(F.from_json(get("entities"), "array<string>"), F.array().cast("array<string>"))
     sources = F.coalesce(F.from_json(get("sources"), "array<struct<path: string, loc: string, hint: string>>"), F.array().cast("array<struct<path: string, loc: string, hint: string>>"))
-    return rows.select("rel", "slug", F.map_keys("f").alias("present"), *(get(n).alias(n) for n in ("type", "title", "summary", "department", "last_compiled")), entities.alias("entities"), sources.alias("sources"), "body")
+    keys = F.transform(F.coalesce(F.from_json(get("sources"), "array<map<string,string>>"), F.array().cast("array<map<string,string>>")), F.map_keys)
+    return rows.select("rel", "slug", F.map_keys("f").alias("present"), keys.alias("source_keys"), *(get(n).alias(n) for n in ("type", "title", "summary", "department", "last_compiled")), entities.alias("entities"), sources.alias("sources"), "body")
 
 
 def markdown_sections(body: Column, respect_fences: bool = False) -> Column:
-    """Sections begin at lines that start with ``#``, also within code fences unless these are respected; text before is ``Intro``."""
-    lines = F.split(F.regexp_replace(body, r"\r\n?", "\n"), "\n")
-
-    def add(acc: Column, line: Column) -> Column:
-        fence = F.when(F.lit(respect_fences) & line.startswith("```"), ~acc["fenced"]).otherwise(acc["fenced"])
-        head = line.startswith("#") & ~(F.lit(respect_fences) & acc["fenced"])
-        name = strip(F.regexp_replace(line, "^#+", ""))
-        heading = F.when(head, F.when(name == "", "Section").otherwise(name)).otherwise(acc["heading"])
-        closed = F.when(head & (strip(acc["text"]) != ""), F.concat(acc["out"], F.array(_section(acc["heading"], acc["text"])))).otherwise(acc["out"])
-        text = F.when(head, line).otherwise(F.concat(acc["text"], F.lit("\n"), line))
-        return F.struct(closed.alias("out"), heading.alias("heading"), text.alias("text"), fence.alias("fenced"))
-
-    start = F.struct(F.array().cast(SECTIONS).alias("out"), F.lit("Intro").alias("heading"), F.lit("").alias("text"), F.lit(False).alias("fenced"))
-
-    def finish(acc: Column) -> Column:
-        return F.when(strip(acc["text"]) != "", F.concat(acc["out"], F.array(_section(acc["heading"], acc["text"])))).otherwise(acc["out"])
-
-    found = F.aggregate(lines, start, add, finish)
+    """Sections begin at lines that start with ``#``, also within code fences unless these are respected; text before is ``Intro``.
+
+    One regular expression cuts the body before every heading, so time is linear in lines and sections.
+    """
+    text = F.regexp_replace(body, r"\r\n?", "\n")
+    if respect_fences:  # a heading is no cut while an odd number of fences stands before it: fenced blocks are taken whole
+        piece = r"(?s)(?:\A|(?<=\n)(?=#))(?:```[^\n]*(?:\n(?!```)[^\n]*)*+(?:\n```[^\n]*)?+|[^\n]*)(?:\n(?:```[^\n]*(?:\n(?!```)[^\n]*)*+(?:\n```[^\n]*)?+|(?!#)[^\n]*))*+\n?"
+    else:
+        piece = r"[^\n]*(?:\n(?!#)[^\n]*)*+(?:\n|\z)"
+    pieces = F.filter(F.regexp_extract_all(text, F.lit(piece), F.lit(0)), lambda t: strip(t) != "")
+
+    def section(t: Column) -> Column:
+        head = F.regexp_extract(t, r"\A#+([^\n]*)", 1)
+        name = F.when(~t.startswith("#"), "Intro").when(strip(head) == "", "Section").otherwise(strip(head))
+        return _section(name, t)
+
+    found = F.transform(pieces, section)
     return F.when(F.size(found) > 0, found).otherwise(F.array(_plain(F.lit("Full Document"), strip(body))))
 
 
@@ -165,5 +165,5 @@ def parse(files: DataFrame, respect_fences: bool = False) -> DataFrame:
     fenced = F.concat(F.lit("```"), F.substring("ext", 2, 16), F.lit("\n"), strip(text), F.lit("\n```"))
     parts.append(code.select("source_uri", file_name("source_uri").alias("title"), F.array(_plain(F.lit("Full Source Code"), fenced)).alias("sections"), none.alias("metadata")))
     other = rows.where(~F.col("ext").isin(*MARKDOWN, *TABULAR, ".pdf", *IMAGES, *CODE))
-    parts.append(other.select("source_uri", file_name("source_uri").alias("title"), F.array(_plain(F.lit("Full Document"), F.when(F.length("content") > 0, strip(text)).otherwise("Binary file asset"))).alias("sections"), none.alias("metadata")))
+    parts.append(other.select("source_uri", stem("source_uri").alias("title"), F.array(_plain(F.lit("Full Document"), F.when(F.length("content") > 0, strip(text)).otherwise("Binary file asset"))).alias("sections"), none.alias("metadata")))
     return reduce(DataFrame.unionByName, parts)

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def upsert(current: DataFrame, new: DataFrame, key: str = "source_uri") -> DataFrame:
-    """Rows of ``new`` in place of those with the same key."""
-    return current.join(new.select(key), key, "left_anti").unionByName(new)
+    """Rows of ``new`` in place of those with the same key; of new rows that share one, one stays (the least of them)."""
+    others = [c for c in new.columns if c != key]
+    one = new.groupBy(key).agg(F.min(F.struct(*others)).alias("row")).select(key, "row.*").select(*new.columns) if others else new.distinct()
+    return current.join(one.select(key), key, "left_anti").unionByName(one)
 
 
 def replace_chunks(current: DataFrame, new: DataFrame, ingested: DataFrame) -> DataFrame:
@@ -48,8 +51,11 @@ def ingest_status(docs: DataFrame, chunks: DataFrame, dry_run: bool = False) ->
     return out.withColumn("status", F.when(F.col("chunks_count") == 0, "skipped_empty").otherwise("dry_run" if dry_run else "ingested"))
 
 
-class VersionedTable:
-    """A Parquet table whose writes are new versions: readers see the last version with its marker, never half of one."""
+class VersionedTables:
+    """Parquet tables that change together: a version is one folder with all of them, which counts once its marker is there.
+
+    Readers see the last version that is whole, never one table of it without the others, also where a rename is not one step.
+    """
 
     def __init__(self, spark: SparkSession, path: str, protected: bool = False):
         self.spark, self.path, self.protected = spark, path.rstrip("/"), protected
@@ -58,41 +64,73 @@ class VersionedTable:
         jvm = self.spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        found = [x.getPath() for x in fs.listStatus(root) if x.getPath().getName().startswith("v")]
-        return sorted(int(p.getName()[1:]) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        found = [x.getPath() for x in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(p.getName()[1:]) for p in found if p.getName()[:1] == "v" and p.getName()[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_WHOLE")))
 
-    def read(self, schema) -> DataFrame:
+    def read(self, name: str, schema) -> DataFrame:
         versions = self._versions()
-        return self.spark.read.schema(schema).parquet(f"{self.path}/v{versions[-1]}") if versions else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/v{versions[-1]}/{name}") if versions else self.spark.createDataFrame([], schema)
 
-    def write(self, df: DataFrame) -> int:
+    def write(self, **tables: DataFrame) -> int:
         if self.protected:
             raise PermissionError(f"{self.path} is protected; write to a copy")
         jvm = self.spark._jvm
         version = (self._versions() or [0])[-1] + 1
         staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
-        df.write.parquet(staged)
-        path = jvm.org.apache.hadoop.fs.Path(staged)
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).rename(path, jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{version}")):
+        for name, df in tables.items():
+            df.write.parquet(f"{staged}/{name}")
+        path, target = (jvm.org.apache.hadoop.fs.Path(x) for x in (staged, f"{self.path}/v{version}"))
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.exists(target) or not fs.rename(path, target):
             raise OSError(f"version {version} of {self.path} could not be put in place")
+        fs.create(jvm.org.apache.hadoop.fs.Path(target, "_WHOLE")).close()
         return version
 
 
-def ingest(files: DataFrame, docs: VersionedTable, chunks: VersionedTable, allowed_depts: list[str], dry_run: bool = False, max_chars: int = 1500, overlap: int = 200) -> DataFrame:
-    """Parses and chunks files and replaces their documents and chunks; the status of each is returned. Running it again changes nothing."""
+class VersionedTable:
+    """One table of its own that is written in whole versions."""
+
+    def __init__(self, spark: SparkSession, path: str, protected: bool = False):
+        self.spark, self._tables = spark, VersionedTables(spark, path, protected)
+
+    def _versions(self) -> list[int]:
+        return self._tables._versions()
+
+    def read(self, schema) -> DataFrame:
+        return self._tables.read("rows", schema)
+
+    def write(self, df: DataFrame) -> int:
+        return self._tables.write(rows=df)
+
+
+def ingest(files: DataFrame, store: VersionedTables, allowed_depts: list[str], dry_run: bool = False, max_chars: int = 1500, overlap: int = 200, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Parses and chunks files and replaces their ``documents`` and ``chunks`` in one version; the status of each is returned.
+
+    Files are read and parsed once. Running it again changes nothing; a file that gives no chunk keeps what it had. ``embed``, if given,
+    adds a vector to each chunk.
+    """
     from groundwell.operators.chunking import chunk_documents
     from groundwell.sources.parse import parse
 
-    parsed = parse(files)
-    new_docs = parsed.select(F.sha2("source_uri", 256).alias("doc_id"), "source_uri", F.array(*map(F.lit, allowed_depts)).alias("allowed_depts"), "title")
-    new_chunks = chunk_documents(parsed, max_chars, overlap)
-    status = ingest_status(new_docs, new_chunks, dry_run)
+    def made(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        docs = parsed.select(F.sha2("source_uri", 256).alias("doc_id"), "source_uri", F.array(*map(F.lit, allowed_depts)).alias("allowed_depts"), "title")
+        return docs, chunk_documents(parsed, max_chars, overlap)
+
+    parsed = parse(files).select("source_uri", "title", "sections")
     if dry_run:
-        return status
+        return ingest_status(*made(parsed), True)
+    # what was parsed goes into a table of its own, from which the next version and the status are made
+    staged = VersionedTable(store.spark, f"{store.path}/_parsed-{uuid.uuid4().hex}")
+    staged.write(parsed)
+    new_docs, new_chunks = made(staged.read(parsed.schema))
+    new_chunks = embed(new_chunks) if embed else new_chunks
+    status = ingest_status(new_docs, new_chunks)
     kept = new_docs.join(status.where("status = 'ingested'").select("doc_id"), "doc_id", "left_semi")
-    old_docs, old_chunks = docs.read(new_docs.schema), chunks.read(new_chunks.schema)
-    docs.write(upsert(old_docs, kept))
-    chunks.write(replace_chunks(old_chunks, new_chunks, kept))
+    store.write(documents=upsert(store.read("documents", new_docs.schema), kept), chunks=replace_chunks(store.read("chunks", new_chunks.schema), new_chunks, kept))
     return status
+
+
+def purge(store: VersionedTables, gone: DataFrame, docs_schema, chunks_schema) -> int:
+    """A version without the documents of ``gone`` (``source_uri``) and their chunks."""
+    docs = store.read("documents", docs_schema).join(gone.select("source_uri"), "source_uri", "left_anti").select(*[f.split()[0] for f in docs_schema.split(", ")] if isinstance(docs_schema, str) else docs_schema.names)
+    return store.write(documents=docs, chunks=cascade(store.read("chunks", chunks_schema), docs))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from groundwell.functions import vectors as vx
 from groundwell.functions.text import tokens
-from groundwell.operators import chunking, evaluation, fetch, governance, lexical, search, security
-from groundwell.sources import parse, store
+from groundwell.operators import chunking, evaluation, fetch, governance, index, lexical, search, security
+from groundwell.sources import parse, store, tables
 from groundwell.streaming import events
 
 PAGE = "slug string, title string, summary string, type string, rel string, body string, entities array<string>, present array<string>, sources array<struct<path: string, loc: string, hint: string>>"
@@ -114,7 +114,7 @@ def test_lint_and_links(spark, pages):
 def test_index_is_deterministic(pages):
     content = governance.render_index(pages).first().content
     assert content == governance.render_index(pages.repartition(3)).first().content
-    assert content == "# Index\n\n_2 pages_\n\n## Concept\n\n- [Paged cache](concepts/cache.md) — How attention keys are cached\n\n## Zebra\n\n- [Firewall rules](concepts/firewall.md) — Which ports are open\n"
+    assert content == "# Index\n\n_2 pages_\n\n## Concepts\n\n- [Paged cache](concepts/cache.md) — How attention keys are cached\n\n## Zebra\n\n- [Firewall rules](concepts/firewall.md) — Which ports are open\n"
 
 
 def test_verify_mint_heal(spark, pages):
@@ -148,6 +148,8 @@ def test_parsers(spark):
     files = [
         ("a/my-doc.md", b"---\ntitle: Own\ndepartment: net\n---\nlead\n# One\nx\n```\n# not code\n```\n##\ny\n"),
         ("a/plain-text.txt", b"no heading"),
+        ("a/long.markdown", b"# A\n# B\n\n#\n"),
+        ("a/prog.go", b"package x"),
         ("a/t-able.csv", table.encode()),
         ("a/t.tsv", b"a\tb\n1\t2\n"),
         ("a/empty.csv", b""),
@@ -165,6 +167,8 @@ def test_parsers(spark):
     assert [s.loc for s in doc.sections] == ["Section Intro", "Section One", "Section not code", "Section Section"] and doc.sections[1].text == "# One\nx\n```"
     fenced = {r.source_uri: r for r in parse.parse(df, respect_fences=True).collect()}["a/my-doc.md"]
     assert [s.loc for s in fenced.sections] == ["Section Intro", "Section One", "Section Section"]
+    assert [s.loc for s in found["a/long.markdown"].sections] == ["Section A", "Section B", "Section Section"] and found["a/long.markdown"].title == "Long"
+    assert found["a/prog.go"].sections[0].text == "package x" and found["a/prog.go"].title == "prog"
     assert found["a/plain-text.txt"].title == "Plain Text" and found["a/plain-text.txt"].sections[0].loc == "Section Intro"
     rows = found["a/t-able.csv"].sections
     assert [s.loc for s in rows] == ["Rows 1-20", "Rows 21-25"] and rows[0].text.split("\n")[:2] == ["Columns: name, score", "Row 1: name: n, 0 | score: 0"]
@@ -181,29 +185,37 @@ def test_scan_and_pages(spark, tmp_path):
     (tmp_path / "index.md").write_text("---\ntitle: I\n---\n")
     (tmp_path / "bad.md").write_text("no frontmatter")
     (tmp_path / "x.exe").write_bytes(b"0")
+    (tmp_path / "x.gif").write_bytes(b"0")
+    (tmp_path / "z.markdown").write_text("z")
     (tmp_path / "Y.CSV").write_text("a\n1\n")
     names = {r.source_uri for r in parse.scan_directory(spark, str(tmp_path)).collect()}
-    assert names == {"sub/p.md", "index.md", "bad.md", "Y.CSV"}
+    assert names == {"sub/p.md", "index.md", "bad.md", "Y.CSV", "z.markdown"}
     (row,) = parse.load_pages(parse.scan_pages(spark, str(tmp_path))).collect()
     assert (row.slug, row.rel, row.title, row.entities) == ("p", "sub/p.md", "T", ["a", "b"]) and row.sources[0].path == "raw/x" and row.body == "body [[q]]\n"
 
 
 def test_store_is_idempotent(spark, tmp_path):
-    docs, chunks = (store.VersionedTable(spark, f"{tmp_path}/{x}") for x in ("docs", "chunks"))
+    vault = store.VersionedTables(spark, str(tmp_path / "vault"))
+    docs, chunks = "doc_id string, source_uri string, allowed_depts array<string>, title string", "doc_id string, chunk_id string"
     files = lambda body: spark.createDataFrame([("raw/a.md", bytearray(body)), ("raw/b.md", bytearray(b"other"))], "source_uri string, content binary")
-    assert store.ingest(files(b"x"), docs, chunks, ["all"], dry_run=True).select("status").distinct().first()[0] == "dry_run" and docs._versions() == []
+    assert store.ingest(files(b"x"), vault, ["all"], dry_run=True).select("status").distinct().first()[0] == "dry_run" and vault._versions() == []
     for depts in (["all"], ["security"]):
-        store.ingest(files(b"# one\ntwo"), docs, chunks, depts)
-    schema = "doc_id string, source_uri string, allowed_depts array<string>, title string"
-    assert {(r.source_uri, tuple(r.allowed_depts)) for r in docs.read(schema).collect()} == {("raw/a.md", ("security",)), ("raw/b.md", ("security",))}
-    n = chunks.read("doc_id string, chunk_id string").count()
+        assert {r.status for r in store.ingest(files(b"# one\ntwo"), vault, depts).collect()} == {"ingested"}
+    assert {(r.source_uri, tuple(r.allowed_depts)) for r in vault.read("documents", docs).collect()} == {("raw/a.md", ("security",)), ("raw/b.md", ("security",))}
+    n = vault.read("chunks", chunks).count()
     assert n == 2
-    store.ingest(files(b"  "), docs, chunks, ["all"])  # an empty file keeps what it had
-    assert chunks.read("doc_id string, chunk_id string").count() == n
-    gone = store.missing_on_disk(docs.read(schema), spark.createDataFrame([("raw/a.md",)], "source_uri string"), "raw/")
+    store.ingest(files(b"  "), vault, ["all"])  # an empty file keeps what it had
+    assert vault.read("chunks", chunks).count() == n
+    gone = store.missing_on_disk(vault.read("documents", docs), spark.createDataFrame([("raw/a.md",)], "source_uri string"), "raw/")
     assert [r.source_uri for r in gone.collect()] == ["raw/b.md"]
+    store.purge(vault, gone, docs, chunks)
+    assert [r.source_uri for r in vault.read("documents", docs).collect()] == ["raw/a.md"] and vault.read("chunks", chunks).count() == 1
+    (tmp_path / "vault" / "v99" / "documents").mkdir(parents=True)  # a version without its marker is not there
+    assert vault.read("documents", docs).count() == 1
     with pytest.raises(PermissionError):
-        store.VersionedTable(spark, f"{tmp_path}/docs", protected=True).write(spark.range(1))
+        store.VersionedTables(spark, str(tmp_path / "vault"), protected=True).write(chunks=spark.range(1))
+    twice = spark.createDataFrame([("u", 2), ("u", 1), ("w", 3)], "source_uri string, n int")
+    assert sorted(map(tuple, store.upsert(twice.limit(0), twice).collect())) == [("u", 1), ("w", 3)]
     bad = store.violations(spark.createDataFrame([("a", "u", ["x"]), ("b", "u", [])], "doc_id string, source_uri string, allowed_depts array<string>"), spark.createDataFrame([("z", "z#0")], "doc_id string, chunk_id string"))
     assert {r.rule for r in bad.collect()} == {"unique_source_uri", "allowed_depts", "chunk_document"}
 
@@ -260,3 +272,164 @@ def test_pages_logs_and_tools(spark, pages):
     hits = spark.createDataFrame([(1, "raw/x-y.md", 0.5, "z" * 300)], "qid int, file_path string, score double, text string")
     row = search.fallback_hits(hits).first()
     assert row.id == "x-y" and row.summary == "z" * 200 + "..."
+
+
+def test_retrieval_with_path_and_scope(spark):
+    docs = spark.createDataFrame([("a", "raw/a.md", ["all", "networking"]), ("b", "raw/b.md", ["all", "security"]), ("c", "raw/c.md", None)], "doc_id string, source_uri string, allowed_depts array<string>")
+    rows = [("a#0", "a", "firewall rules for ports"), ("a#1", "a", "nothing of interest"), ("b#0", "b", "firewall rules and rules of ports"), ("c#0", "c", "firewall rules secret")]
+    chunks = spark.createDataFrame([(*r, "[Document: X]", {"loc": f"p. {r[0]}"}) for r in rows], "chunk_id string, doc_id string, chunk_text string, context_prefix string, metadata map<string,string>").withColumn("embedding", vx.hash_embed("chunk_text"))
+    asked = lambda *rows: spark.createDataFrame(rows, "qid int, hint string, path string").withColumn("query_vector", vx.hash_embed("hint"))
+    everyone = security.Scope(frozenset({"all"}))
+    found = lambda q, scope, k=10: {(r.qid, r.chunk_id) for r in search.retrieve(chunks, docs, q, k, scope).collect()}
+    both = asked((1, "firewall rule", None), (2, "firewall rules", "./raw/a.md"), (3, " ", None), (4, "x", "raw/none.md"), (5, "firewall", "raw/c.md"))
+    assert found(both, everyone) == {(1, "a#0"), (1, "a#1"), (1, "b#0"), (2, "a#0"), (2, "a#1")}
+    for scope in (None, security.Scope(), security.Scope(frozenset({"finance"}))):
+        assert found(both, scope) == set()
+    assert found(both, security.Scope(team="security")) == {(1, "b#0")}
+    best = search.retrieve(chunks, docs, both, 1, everyone).where("qid = 2").first()
+    assert (best.chunk_id, best.file_path, best["loc"], best.text) == ("a#0", "raw/a.md", "p. a#0", "firewall rules for ports") and best.score == pytest.approx(2 / 61)
+    assert {q for q, _ in found(both.drop("path"), everyone, 1)} == {1, 2, 4, 5}
+    # a file far down the ranking of the whole corpus is found by its path
+    many = spark.range(60).select(F.concat(F.lit("m#"), "id").alias("chunk_id"), F.lit("b").alias("doc_id"), F.lit("firewall rules").alias("chunk_text"), F.lit("").alias("context_prefix"), F.create_map(F.lit("loc"), F.lit("x")).alias("metadata")).withColumn("embedding", vx.hash_embed("chunk_text"))
+    deep = search.retrieve(chunks.unionByName(many), docs, asked((1, "firewall rules", "raw/a.md"), (2, "firewall rules", None)), 3, everyone)
+    assert {(r.qid, r.file_path) for r in deep.collect()} == {(1, "raw/a.md"), (2, "raw/b.md")}
+
+
+def plain_rank(places):
+    import math
+
+    if len(places) == 1:
+        return sum(0.1 / j**2 for j in range(1, len(places[0]) + 1)) / 1.64493406685
+    rest = 1.0
+    for i, xs in enumerate(places):
+        for ys in places[:i]:
+            for a in xs:
+                for b in ys:
+                    d = abs(a - b)
+                    rest *= 1 - 0.1 * math.sqrt(1e-30 if d > 100 else 1 / (1.005 + 0.05 * math.exp(d / 1.5 - 2)))
+    return 1 - rest
+
+
+def test_text_rank(spark):
+    texts = [(1, "The cats are running to the cat"), (2, "a cat, and far away a runner; running"), (3, "running " * 3 + "cats " + "x " * 200 + "cat"), (4, "dogs"), (5, None)]
+    df = spark.createDataFrame(texts, "id int, text string")
+    asked = spark.createDataFrame([(0, "cat running"), (1, "the running"), (2, "of the"), (3, "running cats dogs")], "qid int, hint string")
+    found = {(r.qid, r.id): r.score for r in lexical.text_rank(df, asked, "id", "text").collect()}
+    places = {1: [[2, 7], [4]], 2: [[2], [8]], 3: [[4, 205], [1, 2, 3]]}
+    expected = {(0, k): plain_rank(v) for k, v in places.items()} | {(1, k): plain_rank([v[1]]) for k, v in places.items()}
+    assert found == pytest.approx(expected)
+
+
+def test_phrases_in_page_search(spark, pages):
+    rows = pages.union(pages.where("slug = 'cache'").withColumns({"slug": F.lit("other"), "summary": F.lit("How keys are attention cached")})).withColumn("embedding", vx.hash_embed("title"))
+    asked = spark.createDataFrame([(0, "attention-keys \"cached'"), (1, "attention keys cached")], "qid int, hint string").withColumn("query_vector", vx.hash_embed("hint"))
+    found = {(r.qid, r.id): r.score for r in search.wiki_search(rows, asked, 10, "slug", tokens("summary"), tokens("hint")).collect()}
+    assert len(found) == 8 and found[0, "cache"] > 0.02 > found[0, "other"] and min(found[1, "cache"], found[1, "other"]) > 0.02
+
+
+def test_vector_ranks_are_those_of_a_full_sort(spark):
+    rows = spark.range(300).select("id", F.array(F.cos(F.col("id") % 40), F.sin(F.col("id") % 40), F.lit(0.2)).alias("embedding")).union(spark.createDataFrame([(900, None), (901, []), (902, [0.0, 0.0, 0.0]), (903, [1.0])], "id long, embedding array<double>"))
+    asked = spark.range(5).select(F.col("id").alias("qid"), F.array(F.cos("id"), F.sin("id"), F.lit(0.1)).alias("query_vector"))
+    scored = rows.crossJoin(asked).select("qid", "id", vx.cosine("embedding", "query_vector").alias("score"))
+    whole = {(r.qid, r.id): r["rank"] for r in lexical.ranked(scored, 10_000, first=0).collect()}
+    top = {(r.qid, r.id): r["rank"] - 1 for r in search.vector_topk(rows, asked, 12, "id").collect()}
+    assert top == {k: v for k, v in whole.items() if v < 12}
+    targets = spark.createDataFrame([(q, i) for q in range(5) for i in (3, 77, 299, 900, 903)], "qid long, id long")
+    assert {(r.qid, r.id): r.v_rank for r in search.vector_ranks(rows, asked, targets, "id", block=2).collect()} == {(q, i): whole[q, i] for q in range(5) for i in (3, 77, 299, 900, 903)}
+    assert search.vector_topk(rows, asked, 0, "id").count() == 0 and search.vector_ranks(rows, asked, targets.limit(0), "id").count() == 0
+
+
+def test_verify_and_heal(spark):
+    pages = spark.createDataFrame(
+        [
+            ("p", "Good title", "Summary of p", ["entity"], [("raw/a", "old", None), ("raw/a", "fine", None), ("raw/x", "lost", "p. 1")]),
+            ("q", "Bad", "Second", [], [("raw/a", "old", None), ("", "no path", None)]),
+            ("r", "Title r", "S", ["raw entity"], [("raw/b", "stale", "p. 9")]),
+        ],
+        "slug string, title string, summary string, entities array<string>, sources array<struct<path: string, hint: string, loc: string>>",
+    )
+    asked, where = [], {"fine": ["raw/a"], "old": ["raw/b"], "lost": [], "stale": ["raw/a"], "Second": ["raw/a", "raw/c"], "raw entity": ["./raw/b"], "Title r": ["raw/z"]}
+
+    def retrieve(rows):
+        asked.append(rows.count())
+        table = spark.createDataFrame([(h, f) for h, fs in where.items() for f in fs], "hint string, file_path string")
+        return rows.join(table, "hint").select("ord", "file_path")
+
+    found = {tuple(r) for r in governance.verify_and_heal(pages, retrieve).collect()}
+    # the last page that names the address gives the hints; nothing heals raw/x
+    assert found == {("q", "raw/a", "old", "Second", None, "drift"), ("r", "raw/b", "stale", "raw entity", "p. 9", "drift")}
+    assert len(asked) == 2
+
+
+def test_source_keys_are_judged_by_presence(spark, tmp_path):
+    (tmp_path / "a.md").write_text("---\ntitle: T\nsources:\n  - {path: raw/x, hint: h, loc: null}\n  - {path: raw/x, hint: h}\n  - {loc: l}\n---\nbody\n")
+    pages = parse.load_pages(parse.scan_pages(spark, str(tmp_path)))
+    assert sorted((r.n, r.key) for r in governance.missing_source_keys(pages).collect()) == [(1, "loc"), (2, "hint"), (2, "path")]
+    tree = spark.createDataFrame([("index.md",), ("concepts",)], "entry string")
+    assert {r.entry for r in governance.missing_entries(tree).collect()} == {"archive.md", "log.md", "techniques", "entities", "playbooks"}
+
+
+def test_known_kinds_come_first(spark):
+    rows = [(k, t, k.upper(), f"{k}.md", "s") for k, t in (("z", "zone"), ("e", "entity"), ("c", None), ("p", "playbook"), ("t", "technique"), ("a", "ad hoc"), ("b", "technique"))]
+    content = governance.render_index(spark.createDataFrame(rows, "slug string, type string, title string, rel string, summary string")).first().content
+    assert [line for line in content.split("\n") if line.startswith(("#", "-"))] == ["# Index", "## Techniques", "- [B](b.md) — s", "- [T](t.md) — s", "## Playbooks", "- [P](p.md) — s", "## Concepts", "- [C](c.md) — s", "## Entities", "- [E](e.md) — s", "## Ad Hoc", "- [A](a.md) — s", "## Zone", "- [Z](z.md) — s"]
+
+
+def test_index_is_built_from_the_cache(spark, tmp_path):
+    cache, calls = store.VersionedTable(spark, str(tmp_path / "cache")), []
+
+    def embed(rows):
+        calls.append(sorted(r.text for r in rows.collect()))
+        return rows.withColumn("embedding", vx.hash_embed("text"))
+
+    pages = lambda *rows: spark.createDataFrame(rows, "slug string, summary string, entities array<string>")
+    first = index.build_index(pages(("p1", "one", ["b", "a"]), ("p2", "two", ["c"]), ("p3", "one", ["a", "b"])), cache, embed)
+    assert calls == [["one", "two"]] and {r.slug: sum(r.embedding) for r in first.collect()} == {"p1": 1.0, "p2": 1.0, "p3": 1.0}
+    index.build_index(pages(("p1", "one", ["a", "b"]), ("p4", "three", [])), cache, embed)
+    index.build_index(pages(("p4", "three", None)), cache, embed)
+    assert calls == [["one", "two"], ["three"]]
+    (tmp_path / "cache" / "v2" / "rows" / "broken.parquet").write_bytes(b"no parquet")
+    assert index.read_cache(cache).count() == 0
+    held = {(r.id, r.term): r.tf for r in index.index_postings(pages(("p", "one ONE", ["two"])).withColumn("title", F.lit("T")), "slug").collect()}
+    assert held == {("p", "one"): 2, ("p", "two"): 1, ("p", "t"): 1}
+
+
+def test_test_sets(spark, tmp_path):
+    text = "questions:\n  - {q: ports open, target: firewall}\n  - {q: cached keys, target: cache, also_acceptable: [index], paraphrase: true}\n  - {q: nothing, target: ghost, paraphrase: true}\n"
+    questions = evaluation.questions_of(spark, text).withColumn("query_vector", vx.hash_embed("hint"))
+    rows = spark.createDataFrame([("firewall", "ports are open"), ("cache", "cached keys"), ("index", "cached keys"), ("zoo", "cached keys")], "slug string, summary string").withColumn("embedding", vx.hash_embed("summary"))
+    assert [r.target for r in evaluation.unknown_targets(questions, rows).collect()] == ["ghost"]
+    ranks = evaluation.ranked_pages(rows, questions)
+    # zoo ties with index and cache and comes first, as ties go by name downwards
+    assert {(r.qid, r.id, r["rank"]) for r in ranks.collect()} == {(0, "firewall", 1), (1, "index", 2)}
+    row = evaluation.recall_by_paraphrase(questions, ranks).first()
+    assert (row.n_questions, row.n_paraphrase, row.recall_at_1, row.recall_at_3, row.paraphrase_recall_at_1, row.paraphrase_recall_at_3) == (3, 2, 0.333, 0.667, 0.0, 0.5)
+    assert evaluation.recall_by_paraphrase(questions.where("not paraphrase"), ranks).first().paraphrase_recall_at_1 is None
+    assert evaluation.write_transcript(ranks, str(tmp_path / "t")) and spark.read.json(str(tmp_path / "t")).count() == 2
+    (tmp_path / "file").write_text("")
+    assert not evaluation.write_transcript(ranks, str(tmp_path / "file" / "below"))
+
+
+def test_rows_in_memory_and_suppliers(spark):
+    made = tables.memory_chunks(spark, [{"chunk_text": "x", "source_uri": "raw/a"}, {"chunk_text": "y", "chunk_id": "own", "metadata": {"loc": "1"}}])
+    assert [(r.chunk_id, r.doc_id, r.chunk_text) for r in made.collect()] == [("0", "raw/a", "x"), ("own", None, "y")]
+    calls = []
+    supplier = tables.PageSupplier(lambda: calls.append(1) or made)
+    assert supplier() is supplier() is made and calls == [1] and tables.PageSupplier(made)() is made
+    assert spark.range(1).select(vx.in_order(F.expr("array(named_struct('index', 1, 'embedding', array(2.0)), named_struct('index', 0, 'embedding', array(1.0)))")).alias("v")).first().v == [[1.0], [2.0]]
+
+
+def test_compiled_pages_read_back(spark):
+    titles = ["Plain", "a: b # c", 'say "hi"\\', "- list", "yes", "line\ntwo", "été", "[x]"]
+    notes = spark.createDataFrame([(t, "concept", t, "raw/a.md", "keys") for t in titles], "title string, category string, summary string, path string, hint string")
+    import yaml
+
+    found = [yaml.safe_load(r.text.split("---\n")[1])["title"] for r in governance.compile_page(notes, "2026-01-01").collect()]
+    assert found == titles
+
+
+def test_word_vectors_of_a_table_are_those_of_a_row(spark):
+    df = spark.createDataFrame([(1, "a b A\tc"), (2, ""), (3, None), (4, " x  y ")], "id int, text string")
+    table = {r.id: list(r.embedding) for r in vx.hash_embeddings(df, "id", F.col("text")).collect()}
+    rows = {r.id: r.v for r in df.select("id", vx.hash_embed(F.coalesce("text", F.lit(""))).alias("v")).collect()}
+    assert table == rows
