@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from groundwell.functions.text import link_target, normalize_path, title_case, wikilinks
+from groundwell.sources.tables import stored
 
 # Fields that a page must have, entries of its tree, pages that only navigate, parts of a source, and kinds in order with their headings.
 REQUIRED = ("type", "title", "summary", "entities", "department", "sources", "last_compiled")
@@ -192,10 +193,10 @@ def verify_and_heal(pages: DataFrame, retrieve: Callable[[DataFrame], DataFrame]
     first = named.withColumn("__n", F.row_number().over(order)).where("__n = 1").select("path", "hint", "loc")
     # the page that holds the very same address (place included) last
     holder = named.withColumnRenamed("loc", "own_loc").join(first, ["path", "hint"]).where(F.col("own_loc").eqNullSafe(F.col("loc"))).groupBy("path", "hint").agg(F.max("slug").alias("slug"))
-    addresses = first.join(holder, ["path", "hint"]).withColumn("ord", F.sha2(F.concat_ws("\0", "path", "hint"), 256))
+    addresses = stored(first.join(holder, ["path", "hint"]).withColumn("ord", F.sha2(F.concat_ws("\0", "path", "hint"), 256)), "addresses")
     reports = broken(verify(addresses.select("ord", "path", "hint"), retrieve(addresses.select("ord", "hint")))).select("ord", "status")
     asked = addresses.join(reports.withColumnRenamed("status", "trigger"), "ord").withColumnRenamed("ord", "address").withColumnRenamed("hint", "old")
-    tries = asked.join(heal_candidates(pages), "slug").withColumn("tried", F.concat_ws("#", "address", "ord"))
+    tries = stored(asked.join(heal_candidates(pages), "slug").withColumn("tried", F.concat_ws("#", "address", "ord")), "heal-candidates")
     tested = verify(tries.select(F.col("tried").alias("ord"), "path", "hint"), retrieve(tries.select(F.col("tried").alias("ord"), "hint")))
     passed = tested.where("status = 'pass'").select(F.col("ord").alias("tried"))
     best = Window.partitionBy("address").orderBy("ord")

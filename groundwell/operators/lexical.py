@@ -19,11 +19,17 @@ _MARK = "\0"
 
 def stem(token: Column) -> Column:
     """A light English stemmer: plural and verb endings of words that stay three letters or longer."""
-    rules = ((r"^(.{2,})sses$", "$1ss"), (r"^(.{2,})ies$", "$1y"), (r"^(.{3,})ing$", "$1"), (r"^(.{3,})ed$", "$1"), (r"^(.{2,}[^su])s$", "$1"))
-    out = None
-    for pattern, by in rules:
-        out = F.when(token.rlike(pattern), F.regexp_replace(token, pattern, by)) if out is None else out.when(token.rlike(pattern), F.regexp_replace(token, pattern, by))
-    return out.otherwise(token)
+    long = lambda n: F.length(token) >= n
+    cut = lambda n: F.left(token, F.length(token) - n)
+    plural = token.endswith("s") & long(4) & ~F.substring(token, -2, 2).isin("ss", "us")
+    return (
+        F.when(token.endswith("sses") & long(6), cut(2))
+        .when(token.endswith("ies") & long(5), F.concat(cut(3), F.lit("y")))
+        .when(token.endswith("ing") & long(6), cut(3))
+        .when(token.endswith("ed") & long(5), cut(2))
+        .when(plural, cut(1))
+        .otherwise(token)
+    )
 
 
 def lexemes(text: Column | str) -> Column:
@@ -61,14 +67,21 @@ def bm25(df: DataFrame, queries: DataFrame, id_col: str, doc_words: Column, quer
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(floor_idf))
     weighted = asked.join(df_of, "term").crossJoin(F.broadcast(corpus)).withColumn("idf", idf)  # one row of totals
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = found.join(weighted, "term").groupBy("qid", "id", "n_terms").agg(F.count("*").alias("matched"), F.sum(part).alias("score"))
+    both = holding_rarest(found, weighted, ["term"]) if match_all else found.join(weighted, "term")
+    scored = both.groupBy("qid", "id", "n_terms").agg(F.count("*").alias("matched"), F.sum(part).alias("score"))
     return (scored.where("matched = n_terms") if match_all else scored).select("qid", "id", "score")
 
 
-def positions(text: Column | str) -> Column:
-    """Stemmed words that are no stop words, with their places (from 1) among all words: an array of (term, pos)."""
-    words = F.transform(tokens(text), lambda t, k: F.struct(t.alias("term"), (k + 1).alias("pos")))
-    return F.transform(F.filter(words, lambda w: ~w["term"].isin(*STOP_WORDS)), lambda w: F.struct(stem(w["term"]).alias("term"), w["pos"].alias("pos")))
+def holding_rarest(found: DataFrame, asked: DataFrame, on: list[str]) -> DataFrame:
+    """``found`` (``id`` and the columns ``on``, of which ``term`` is one) joined with the queries that may be matched whole.
+
+    A row that lacks a query's rarest term (``df`` of ``asked``) cannot hold all its terms, so only rows with that one meet the others.
+    Queries of which a term stands nowhere are left out.
+    """
+    rarest = asked.groupBy("qid", *[c for c in on if c != "term"]).agg(F.count("*").alias("n_found"), F.first("n_terms").alias("n"), F.min(F.struct("df", "term")).alias("least")).where("n_found = n")
+    first = rarest.select("qid", F.col("least.term").alias("term"), *[c for c in on if c != "term"])
+    near = found.select("id", *on).join(first, on).select("qid", "id")
+    return near.join(asked, "qid").join(found, ["id", *on])
 
 
 def cover_rank(positions_a: Column, positions_b: Column, weight: float = 0.1) -> Column:
@@ -98,15 +111,18 @@ def places_rank(places: Column, weight: float = 0.1) -> Column:
 def text_rank(df: DataFrame, queries: DataFrame, id_col: str, text: Column | str, hint: Column | str = "hint", path_col: str | None = None) -> DataFrame:
     """``qid``, ``id`` and ``score`` of the rows that hold every stemmed word of a query, ranked by :func:`places_rank`.
 
-    Only places of asked words are kept, gathered within each row; rows and queries meet by word. With ``path_col`` (in both tables)
+    Only places of asked words are kept, gathered within each row; rows and queries meet by word, the rarest first. With ``path_col`` (in both tables)
     they must agree in it too. A query of stop words alone matches nothing.
     """
     on = ["term"] + ([path_col] if path_col else [])
-    asked = queries.select("qid", *on[1:], F.array_distinct(F.transform(positions(hint), lambda w: w["term"])).alias("terms"))
+    asked = queries.select("qid", *on[1:], F.array_distinct(lexemes(hint)).alias("terms"))
     asked = asked.select("qid", *on[1:], F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    rows = df.select(F.col(id_col).alias("id"), *on[1:], F.explode(positions(text)).alias("w")).select("id", *on[1:], "w.term", "w.pos")
-    found = rows.join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", *on).agg(F.array_sort(F.collect_list("pos")).alias("places"))
-    both = found.join(asked, on).groupBy("qid", "id", "n_terms").agg(F.count("*").alias("matched"), F.array_sort(F.collect_list(F.struct("term", "places"))).alias("held"))
+    # words are rows before they are stemmed, which keeps that in generated code
+    rows = df.select(F.col(id_col).alias("id"), *on[1:], F.posexplode(tokens(text)).alias("pos", "word")).where(~F.col("word").isin(*STOP_WORDS))
+    rows = rows.select("id", *on[1:], (F.col("pos") + 1).alias("pos"), stem(F.col("word")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    found = rows.groupBy("id", *on).agg(F.array_sort(F.collect_list("pos")).alias("places"))
+    counted = asked.join(found.groupBy(*on).agg(F.sum(F.when(F.size("places") > 0, 1)).alias("df")), on)
+    both = holding_rarest(found, counted, on).groupBy("qid", "id", "n_terms").agg(F.count("*").alias("matched"), F.array_sort(F.collect_list(F.struct("term", "places"))).alias("held"))
     return both.where("matched = n_terms").select("qid", "id", places_rank(F.col("held.places")).alias("score"))
 
 

@@ -191,8 +191,8 @@ _NUMBERED = """numbered AS (SELECT sha256('raw/' || source || '/' || doc_id || '
   doc_id, 'raw/' || source || '/' || doc_id || '.txt' AS source_uri, lang, source, '[Document: ' || source || ' | Source: raw/' || source || '/' || doc_id || '.txt | Context: ' || lang || ']' AS context_prefix, chunk_text FROM chunks)"""
 
 
-def _located_chunks(spark, sf):
-    docs = corpus(spark, sf).select("source_uri", "title", F.array(F.struct(F.col("lang").alias("loc"), "text", F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))).alias("sections"))
+def _located_chunks(spark, sf, docs=None):
+    docs = (corpus(spark, sf) if docs is None else docs).select("source_uri", "title", F.array(F.struct(F.col("lang").alias("loc"), "text", F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))).alias("sections"))
     return chunking.chunk_documents(docs)
 
 
@@ -307,9 +307,9 @@ fu AS (SELECT coalesce(vr.qid, tr.qid) AS qid, coalesce(vr.id, tr.id) AS id, coa
 hits AS (SELECT f.qid, f.id, f.s, f.rank, v.chunk_text, v.source_uri FROM (SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, id) AS rank FROM fu QUALIFY rank <= {k}) f JOIN vis v ON v.chunk_id = f.id)"""
 
 
-def _store(spark, sf):
-    """Chunks with vectors of their text in its context, and their documents."""
-    chunks = _located_chunks(spark, sf)
+def _store(spark, sf, docs=None):
+    """Chunks of documents with vectors of their text in its context, and the registry of all documents."""
+    chunks = _located_chunks(spark, sf, docs)
     vectors = vx.hash_embeddings(chunks, "chunk_id", F.col("contextual_text")).withColumnRenamed("id", "chunk_id")
     docs = corpus(spark, sf).select(F.sha2("source_uri", 256).alias("doc_id"), "source_uri", "allowed_depts")
     return chunks.join(vectors, "chunk_id"), docs
@@ -323,9 +323,9 @@ _SCOPE = ("all", "de", "src1")
 _BASE = f"{_CHUNKS}, {_CORPUS}, {_NUMBERED}"
 
 
-def _retrieve(spark, sf, asked, k):
+def _retrieve(spark, sf, asked, k, docs=None):
     """What a caller with the scope of :data:`_SCOPE` finds."""
-    return search.retrieve(*_store(spark, sf), _asked(asked), k, security.Scope(frozenset({"all", "de"}), team="src1"))
+    return search.retrieve(*_store(spark, sf, docs), _asked(asked), k, security.Scope(frozenset({"all", "de"}), team="src1"))
 
 
 @query(f"WITH {_BASE}, asked AS (SELECT item_id AS qid, text AS hint FROM benchmark), {_retrieval_sql(_SCOPE, 10)} SELECT qid, id AS chunk_id, round(s, 6) AS score, rank, source_uri AS file_path FROM hits")
@@ -352,7 +352,9 @@ _PATHED = f"WITH {_WORDS}, {_BASE}, {_ADDRESS}, asked AS (SELECT ord AS qid, hin
 @query(f"{_PATHED} SELECT ad.ord, ad.path, CASE WHEN count(h.id) > 0 THEN 'ok' ELSE 'no_source' END AS status, count(h.id) AS n_context, sha256(coalesce(string_agg(h.chunk_text, chr(10) ORDER BY round(h.s, 9) DESC, h.id), '')) AS context_sha256, max(round(h.s, 6)) AS best FROM ad LEFT JOIN hits h ON h.qid = ad.ord GROUP BY 1, 2")
 def fetch_many(spark, sf):
     addresses = stored(_addresses(spark, sf), "addresses")
-    found = fetch.fetch_many(addresses, _retrieve(spark, sf, addresses.withColumnRenamed("ord", "qid"), 10).withColumnRenamed("qid", "ord"))
+    named = corpus(spark, sf).join(addresses.select(F.col("path").alias("source_uri")), "source_uri", "left_semi")  # only addressed files are cut and embedded
+    hits = _retrieve(spark, sf, addresses.withColumnRenamed("ord", "qid"), 10, named)
+    found = fetch.fetch_many(addresses, hits.withColumnRenamed("qid", "ord"))
     return found.select("ord", "path", "status", F.size("context").cast("bigint").alias("n_context"), F.sha2(F.array_join("context.text", "\n"), 256).alias("context_sha256"), F.array_max("citations.score").alias("best"))
 
 
