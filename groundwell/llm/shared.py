@@ -1,38 +1,14 @@
-"""Folders that the driver and all executors share, and a schema helper."""
+"""What the corpus operators share: inputs by id and text, bounded batches, removal of copies, schemas."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from groundwell.sources.tables import shared_folder, stored
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the session (``spark.checkpoint.dir``).
-
-    Only a session without that setting, as in tests, gets a temporary folder of this machine.
-    """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        known = context._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else None
-    if not base:
-        base = tempfile.mkdtemp(prefix="groundwell-")
-        context.setCheckpointDir(base)
-    elif not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/groundwell/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: its lineage ends there and survives lost executors."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["bound_batches", "id_and_text", "schema_with_id", "shared_folder", "stored", "text_of", "without_copies"]
 
 
 #: Bytes of an Arrow batch between the JVM and Python; both sides hold a few at a time in each task.

@@ -127,7 +127,7 @@ def tile_pairs(keyed: DataFrame, offsets: list[int], tile_size: int) -> DataFram
     """Pairs of tiles whose keys differ by one of ``offsets``: ``fps`` and ``other_fps``, arrays of ``fp``.
 
     ``keyed`` has ``tile`` and distinct ``fp``. Tile keys must be few whatever the input (counts of bits: at most 17 to the
-    power of ``_QUARTERS``): their sizes and neighbours are broadcast, and arrays go only to neighbours that exist.
+    power of ``_QUARTERS``): their sizes are broadcast. Neighbours are found by key first, and arrays go only to those that exist.
     """
     sizes = stored(keyed.groupBy("tile").agg(F.count("*").alias("n")), "tile-sizes")
     parts = F.ceil(F.col("n") / tile_size).cast("int")
@@ -135,7 +135,7 @@ def tile_pairs(keyed: DataFrame, offsets: list[int], tile_size: int) -> DataFram
     tiles = stored(tiles, "tiles")
     beside = sizes.select(F.col("tile").alias("own"), F.explode(F.array(*map(F.lit, offsets))).alias("offset")).selectExpr("own", "own + offset AS tile")
     beside = stored(beside.join(F.broadcast(sizes.select("tile")), "tile", "left_semi"), "tile-neighbours")
-    other = tiles.select(F.col("tile").alias("own"), F.col("part").alias("other_part"), F.col("fps").alias("other_fps")).join(F.broadcast(beside), "own")
+    other = tiles.select(F.col("tile").alias("own"), F.col("part").alias("other_part"), F.col("fps").alias("other_fps")).join(beside, "own")
     return tiles.join(other, "tile").where("tile <> own or part <= other_part").select("fps", "other_fps")
 
 

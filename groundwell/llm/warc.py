@@ -23,6 +23,7 @@ import hashlib
 import posixpath
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -30,11 +31,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundwell.llm.shared import bound_batches
+
 _MANIFEST = "shard bigint, file int, path string, n_records bigint, n_bytes bigint"
 _ORIGIN = "urn:x-page:"
 
 
-def _record(page: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str) -> bytes:
+def _urn(page: object) -> str:
+    """The record id of a row's id: nothing for null, numbers as they are, other text percent-encoded (a bare ``%`` if it is empty)."""
+    return f"<{_ORIGIN}{'' if page is None else quote(str(page), safe='') or '%'}>"
+
+
+def _id_of(urn: str) -> str | None:
+    tail = urn.strip("<>").removeprefix(_ORIGIN)
+    return None if not tail else "" if tail == "%" else unquote(tail)
+
+
+def _record(page: object, url: str | None, payload: bytes, refers_to: object, revisit: bool, date: str) -> bytes:
     """One WARC/1.1 record; the block of a revisit is the HTTP header alone."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -42,14 +55,14 @@ def _record(page: int | None, url: str | None, payload: bytes, refers_to: int |
     target = "".join(c if "!" <= c <= "~" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "urn:unknown")
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<{_ORIGIN}{'' if page is None else page}>"),
+        ("WARC-Record-ID", _urn(page)),
         ("WARC-Date", date),
         ("WARC-Target-URI", target),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Block-Digest", f"sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}"),
     ]
     if revisit:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{_ORIGIN}{'' if refers_to is None else refers_to}>")]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _urn(refers_to))]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -98,11 +111,12 @@ def revisits(pages: DataFrame, min_revisit_bytes: int, salts: int) -> DataFrame:
 
 
 def write_warc(df: DataFrame, folder: str, roll_bytes: int = 64 << 20, min_revisit_bytes: int = 1000, level: int = 6, date: str = "2026-01-01T00:00:00Z", salts: int = 32, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Writes all rows below ``folder`` and returns the manifest."""
-    pages = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
+    """Writes all rows below ``folder`` and returns the manifest. Ids may be of any type that has an order and a text form."""
+    bound_batches(df.sparkSession)
+    pages = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     decided = revisits(pages, min_revisit_bytes, salts)
     # decisions sort before the record of the same id and payload, so one shuffle brings both to the writer
-    both = pages.select("id", F.lit(1).alias("kind"), F.sha1("payload").alias("sha1"), "url", "payload", F.lit(None).cast("bigint").alias("refers_to")).unionByName(decided.select("id", F.lit(0).alias("kind"), "sha1", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to"))
+    both = pages.select("id", F.lit(1).alias("kind"), F.sha1("payload").alias("sha1"), "url", "payload", F.lit(None).cast(pages.schema["id"].dataType).alias("refers_to")).unionByName(decided.select("id", F.lit(0).alias("kind"), "sha1", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to"))
     both = both.repartitionByRange("id").sortWithinPartitions("id", "sha1", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +156,7 @@ def records(stream, chunk: int = 1 << 20) -> Iterator[tuple[dict[str, str], byte
             inflate, text = zlib.decompressobj(31), bytearray()
 
 
-def read_warc(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
+def read_warc(spark: SparkSession, folder: str, with_payload: bool = False, id_type: str = "bigint") -> DataFrame:
     """One row for each record of the manifest's files.
 
     ``payload_bytes`` and ``payload_digest`` are of the full payload: recomputed for responses, from the headers for revisits.
@@ -151,10 +165,6 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = False) -> D
     manifest = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
     n = max(1, manifest.count())
 
-    def number(urn: str) -> int | None:
-        tail = urn.strip("<>").removeprefix(_ORIGIN)
-        return int(tail) if tail else None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
@@ -168,7 +178,7 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = False) -> D
                         revisit = fields["WARC-Type"] == "revisit"
                         length = int(http.rpartition(b"Content-Length: ")[2]) if revisit else len(payload)
                         digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex() if revisit else hashlib.sha1(payload).hexdigest()
-                        rows.append((number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], length, digest, fields["WARC-Type"], number(fields["WARC-Refers-To"]) if revisit else None, payload if with_payload and not revisit else None))
+                        rows.append((_id_of(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], length, digest, fields["WARC-Type"], _id_of(fields["WARC-Refers-To"]) if revisit else None, payload if with_payload and not revisit else None))
                         held += len(payload) if with_payload else 100
                         if held > 8 << 20:
                             yield out(rows)
@@ -177,9 +187,10 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = False) -> D
                     yield out(rows)
 
     def out(rows: list) -> pa.RecordBatch:
-        types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+        types = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
         names = ("id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
         k = 7 if with_payload else 6
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows, strict=True))[:k], types[:k], strict=True)], list(names[:k]))
 
-    return manifest.select("shard", "file", "path").repartitionByRange(n, "shard", "file").mapInArrow(run, "id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * with_payload)
+    found = manifest.select("shard", "file", "path").repartitionByRange(n, "shard", "file").mapInArrow(run, "id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string" + ", payload binary" * with_payload)
+    return found.withColumns({"id": F.col("id").cast(id_type), "refers_to": F.col("refers_to").cast(id_type)})

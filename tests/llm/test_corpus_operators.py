@@ -302,6 +302,15 @@ def test_warc(spark, data):
     check_warc(rows, [(r["page_id"], r["url"], r["html"]) for r in pq.read_table(f"{data}/pages.parquet").to_pylist()])
 
 
+def test_warc_of_text_ids(spark):
+    big = "z" * 2000
+    pages = [("a/b c", "u", big), ("", "u", big), (None, "u", big), ("é%", "u", "x"), ("zz", "u", big)]
+    df = spark.createDataFrame(pages, "page_id string, url string, html string")
+    folder = shared.shared_folder(spark, "w")
+    warc.write_warc(df, folder)
+    check_warc(warc.read_warc(spark, folder, id_type="string").collect(), pages)
+
+
 def test_warc_bytes_do_not_depend_on_the_run(spark):
     import pyarrow.fs as pafs
 
