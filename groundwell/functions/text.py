@@ -1,7 +1,10 @@
-"""Text expressions: paths, slugs, links, titles, snippets and query terms, all as Catalyst expressions."""
+"""Text expressions: paths, slugs, links, titles, snippets and query terms; Catalyst expressions but for an injected tokenizer."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -130,3 +133,15 @@ def merge_maps(first: Column, second: Column) -> Column:
 def tokens_per_second(completion: Column, latency_ms: Column) -> Column:
     """The generated column of telemetry: tokens by seconds, 0 without a latency, to two places as a decimal."""
     return F.when(latency_ms > 0, F.round(completion / (latency_ms / 1000), 2)).otherwise(0).cast("decimal(10,2)")
+
+
+def token_count(text: Column | str, encode: Callable[[str], list[int]] | None = None) -> Column:
+    """Number of tokens: words between white space, or what ``encode`` (a tokenizer's function) makes of each text."""
+    if encode is None:
+        return F.size(F.filter(F.split(_col(text), r"\s+"), lambda x: x != "")).cast("bigint")
+
+    @F.pandas_udf("bigint")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(encode(t or "")))
+
+    return count(_col(text))

@@ -131,15 +131,37 @@ def heal_edit(df: DataFrame, text: str, old: str, new: str, out: str = "healed")
 
     @F.pandas_udf("string")
     def edit(texts: pd.Series, olds: pd.Series, news: pd.Series) -> pd.Series:
-        def one(t: str, a: str, b: str) -> str:
-            quoted = '"' + b.replace('"', '\\"') + '"'
-            return re.sub(rf"(hint:\s*)(['\"]?){re.escape(a)}\2", lambda m: m[1] + quoted, t, count=1)
-
-        return pd.Series([None if t is None else one(t, a, b) for t, a, b in zip(texts, olds, news, strict=True)])
+        return pd.Series([None if t is None else _first_hint(t, a, b) or t for t, a, b in zip(texts, olds, news, strict=True)])
 
     return df.withColumn(out, edit(text, old, new))
 
 
+def apply_heals(pages: DataFrame, heals: DataFrame, text: str = "text") -> DataFrame:
+    """``slug``, the ``text`` after all its heals (``old``, ``new``) in order of the old hints, and how many of them found their hint."""
+    listed = heals.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("old", "new"))).alias("heals"))
+
+    @F.pandas_udf("text string, applied int")
+    def edit(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, own in zip(texts, lists, strict=True):
+            applied = 0
+            for heal in own:
+                healed = _first_hint(t, heal["old"], heal["new"])
+                applied += healed is not None
+                t = t if healed is None else healed
+            out.append((t, applied))
+        return pd.DataFrame(out, columns=["text", "applied"])
+
+    return pages.join(listed, "slug").withColumn("h", edit(F.coalesce(text, F.lit("")), "heals")).select("slug", F.col("h.text").alias("text"), F.col("h.applied").alias("applied"))
+
+
+def _first_hint(text: str, old: str, new: str) -> str | None:
+    """The text with its first ``hint:`` of the old hint, quoted or not, set to the new one in double quotes; ``None`` without any."""
+    quoted = '"' + new.replace('"', '\\"') + '"'
+    healed, n = re.subn(rf"(hint:\s*)(['\"]?){re.escape(old)}\2", lambda m: m[1] + quoted, text, count=1)
+    return healed if n else None
+
+
 def by_kind(pages: DataFrame) -> DataFrame:
     """``type`` (``concept`` where there is none), its ``place`` and ``heading``, ``n`` pages and their sorted ``lines``, but for navigation.
 

@@ -570,7 +570,7 @@ def constraint_violations(spark, sf):
 @query(r"""WITH t AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n, CASE WHEN lang = 'de' THEN len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) ELSE 0 END AS c FROM documents)
 SELECT count(*) AS n_docs, sum(n)::BIGINT AS naive_tokens, sum(c)::BIGINT AS context_tokens, max(c) AS max_context, round(1 - sum(c) / sum(n), 6) AS saved, round_even(sum(n) / count(*) * 300, 0)::BIGINT AS projected FROM t""")
 def token_economy(spark, sf):
-    n = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).cast("bigint")
+    n = tx.token_count("text")
     return evaluation.token_economy(_t(spark, sf, "documents"), n, F.when(F.col("lang") == "de", n).otherwise(F.lit(0).cast("bigint")))
 
 

@@ -4,12 +4,66 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import json
+import urllib.request
 from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Protocol
 
 import pandas as pd
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundwell.sources.store import VersionedTables, ingest
+
+
+@dataclass(frozen=True)
+class IndexOutcome:
+    ok: bool
+    status: str
+
+
+class Indexer(Protocol):
+    """Indexes a batch of changed files (``source_uri`` or ``path``, ``content``) and tells how it went."""
+
+    def __call__(self, batch: DataFrame) -> IndexOutcome: ...
+
+
+def store_indexer(store: VersionedTables, allowed_depts: list[str]) -> Indexer:
+    """Parses a batch into the store; a failure is an outcome, not an error."""
+
+    def index(batch: DataFrame) -> IndexOutcome:
+        files = batch if "source_uri" in batch.columns else batch.withColumnRenamed("path", "source_uri")
+        try:
+            n = ingest(files, store, allowed_depts).count()
+        except (PySparkException, Py4JError, OSError) as error:
+            return IndexOutcome(False, f"error: {error}")
+        return IndexOutcome(True, f"ingested_{n}_files")
+
+    return index
+
+
+def http_indexer(base_url: str, timeout: float = 3600.0) -> Indexer:
+    """Asks a service to index all its files: a POST of ``{}`` to ``/index``, whose ``status`` is ``indexed`` if it did."""
+
+    def index(batch: DataFrame) -> IndexOutcome:
+        request = urllib.request.Request(f"{base_url}/index", data=b"{}", headers={"Content-Type": "application/json"}, method="POST")
+        with urllib.request.urlopen(request, timeout=timeout) as answer:
+            status = str(json.load(answer).get("status", ""))
+        return IndexOutcome(status == "indexed", status)
+
+    return index
+
+
+def sync_once(indexer: Indexer, batch: DataFrame, after: Callable[[], None] | None = None) -> IndexOutcome:
+    """Indexes a batch; ``after`` follows only if that went well."""
+    outcome = indexer(batch)
+    if outcome.ok and after:
+        after()
+    return outcome
+
 
 def watch(spark: SparkSession, on_batch: Callable[[DataFrame], bool], checkpoint: str, changes: DataFrame | None = None, path: str | None = None, after: Callable[[], None] | None = None) -> int:
     """One call of ``on_batch`` for each batch of changes that is there; ``after`` follows only those that succeed. Returns the number of batches."""

@@ -433,3 +433,63 @@ def test_word_vectors_of_a_table_are_those_of_a_row(spark):
     table = {r.id: list(r.embedding) for r in vx.hash_embeddings(df, "id", F.col("text")).collect()}
     rows = {r.id: r.v for r in df.select("id", vx.hash_embed(F.coalesce("text", F.lit(""))).alias("v")).collect()}
     assert table == rows
+
+
+def test_heals_are_applied(spark):
+    pages = spark.createDataFrame([("p", "  - hint: old\n  - hint: 'two'\n  - hint: old\n"), ("q", "nothing"), ("r", "hint: old")], "slug string, text string")
+    heals = spark.createDataFrame([("p", "old", 'new "x"'), ("p", "two", "2"), ("q", "old", "n")], "slug string, old string, new string")
+    found = {r.slug: (r.text, r.applied) for r in governance.apply_heals(pages, heals).collect()}
+    assert found == {"p": ('  - hint: "new \\"x\\""\n  - hint: "2"\n  - hint: old\n', 2), "q": ("nothing", 0)}
+
+
+def test_indexers(spark, tmp_path):
+    import http.server
+    import threading
+
+    vault, after = store.VersionedTables(spark, str(tmp_path / "vault")), []
+    files = spark.createDataFrame([("raw/a.md", bytearray(b"# x"))], "path string, content binary")
+    assert events.sync_once(events.store_indexer(vault, ["all"]), files, lambda: after.append(1)) == events.IndexOutcome(True, "ingested_1_files")
+    closed = store.VersionedTables(spark, str(tmp_path / "vault"), protected=True)
+    outcome = events.sync_once(events.store_indexer(closed, ["all"]), files, lambda: after.append(2))
+    assert not outcome.ok and outcome.status.startswith("error") and after == [1]
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = b'{"status": "indexed"}' if self.path == "/index" else b"{}"
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    assert events.http_indexer(url)(files).ok and events.http_indexer(url + "/x")(files) == events.IndexOutcome(False, "")
+    server.shutdown()
+
+
+def test_token_counts(spark):
+    from groundwell.functions.text import token_count
+
+    df = spark.createDataFrame([("a  b c",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.where("t is not null").select(token_count("t")).collect()] == [3, 0]
+    assert [r[0] for r in df.select(token_count("t", lambda t: list(t))).collect()] == [6, 0, 0]
+
+
+def test_protocols(spark):
+    from groundwell.operators.protocols import Backend, PageEngine
+
+    class Own:
+        def retrieve(self, queries, k, scope):
+            return queries
+
+        def search(self, queries, k):
+            return queries
+
+        def read(self, path):
+            return path
+
+    assert isinstance(Own(), Backend) and isinstance(Own(), PageEngine) and not isinstance(object(), Backend)
