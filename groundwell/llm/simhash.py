@@ -368,7 +368,7 @@ def decided(members: DataFrame, similarity: float, block_rows: int, block_shingl
     return by_head.union(rows.mapInArrow(decide, "a bigint, b bigint"))
 
 
-def keep_one(df: DataFrame, shingle: int = 5, similarity: float = 0.8, tile_size: int = 512, block_rows: int = 1024, block_shingles: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, shingle: int = 5, similarity: float = 0.8, tile_size: int = 512, block_rows: int = 256, block_shingles: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` but for near copies: of each group linked by word-shingle similarity, the row with the smallest id stays.
 
     Two texts are linked if the Jaccard similarity of their sets of shingles (by 64-bit hash) is ``similarity`` or more. Pairs are
