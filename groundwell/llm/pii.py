@@ -3,9 +3,9 @@
 Base kinds are regular expressions with a check of each match (``email``, ``ip``, ``card``, ``phone``); their spans always stay.
 The method adds ``secret``, ``id_number``, ``local_phone`` and ``masked_email``: generators of high recall propose spans, which may overlap each
 other and the base ones, with the characters before and after them; boosted trees score each by features of its format and
-context; a threshold for each kind, calibrated on examples held out from the trees, selects the redactions. The trees are
-trained here on generated examples (there are no labelled spans) and become one expression of nested conditions, so whole
-texts stay in the JVM. A span that lies wholly inside a base span is dropped, as that is redacted anyhow; one that only overlaps it
+context; a threshold for each kind, calibrated on examples held out from the trees, selects the redactions. There are no labelled spans:
+the trees are trained here on generated examples and, as weak negatives, on a bounded number of candidates of the texts
+themselves (see :func:`harvest`), and become one expression of nested conditions, so whole texts stay in the JVM. A span that lies wholly inside a base span is dropped, as that is redacted anyhow; one that only overlaps it
 stays, and the union of overlapping spans is redacted.
 
 Spans have code-point offsets, end exclusive. A regular expression runs over a text for the matches and, where there are any, once
@@ -215,13 +215,35 @@ class BoostedTrees:
         return reduce(lambda a, b: a + b, (node(t) for t in self.trees), F.lit(self.start))
 
 
-def train(spark: SparkSession, precision: float = 0.99) -> tuple[BoostedTrees, dict[str, float]]:
-    """Trees from half of the generated examples; of the others, the bound of each kind below which the precision would be less, half way to the next."""
-    rows = examples()
-    made = spark.createDataFrame(rows, "kind string, label int, value string, before string, after string")
+_FIELDS = "kind string, label int, value string, before string, after string"
+
+
+def harvest(texts: DataFrame, sample_rows: int = 2000, per_kind: int = 300) -> list[tuple[str, int, str, str, str]]:
+    """Candidates of real texts as weak negatives: those that have no context word of their kind, nor stand behind an equals sign, a colon or the start of a telephone number.
+
+    About ``sample_rows`` texts are looked at, by the hash of the text, and of each kind the ``per_kind`` candidates with the smallest hash are
+    taken, so the same texts give the same examples, however they are stored.
+    """
+    every = max(1, -(-texts.count() // sample_rows))
+    own = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    context = {"secret": "secret", "id_number": "number", "local_phone": "phone"}
+    parts = []
+    for kind, pattern in GENERATORS.items():
+        if kind in context:  # what looks like a masked address is one
+            found = own.select(F.explode(spans(F.col("text"), pattern)).alias("x")).select("x.value", "x.before", "x.after").distinct()
+            known = F.col("before").rlike(_CONTEXT[context[kind]]) | F.col("before").rlike(r"[=:]\s*[\"']?$") | F.col("before").rlike(r"\+[0-9][\x20().0-9-]*$")
+            plain = found.where(~known)
+            parts.append(plain.orderBy(F.xxhash64("value", "before"), "value", "before", "after").limit(per_kind).select(F.lit(kind).alias("kind"), F.lit(0).alias("label"), "value", "before", "after"))
+    return sorted(tuple(r) for r in reduce(DataFrame.unionAll, parts).collect())
+
+
+def train(spark: SparkSession, precision: float = 0.99, texts: DataFrame | None = None) -> tuple[BoostedTrees, dict[str, float]]:
+    """Trees from half of the examples, generated ones and those that ``texts`` (``text``) give; of the others, the bound of each kind below which the precision would be less, half way to the next."""
+    rows = examples() + (harvest(texts) if texts is not None else [])
+    made = spark.createDataFrame(rows, _FIELDS)
     x = F.struct("value", "before", "after")
     by_kind = [made.where(F.col("kind") == kind).select("kind", "label", "value", F.array(*(c.cast("double") for c in features(x, kind))).alias("x")) for kind in GENERATORS]
-    found = sorted((tuple(r) for r in reduce(DataFrame.unionAll, by_kind).collect()), key=lambda r: r[:3])  # as many as examples() makes
+    found = sorted((tuple(r) for r in reduce(DataFrame.unionAll, by_kind).collect()), key=lambda r: (r[:3], tuple(r[3])))  # as many as examples
     values, labels = np.array([r[3] for r in found]), np.array([r[1] for r in found])
     half = np.arange(len(found)) % 2 == 0
     trees = BoostedTrees().fit(values[half], labels[half])
@@ -242,7 +264,7 @@ def _selected(text: Column, kind: str, trees: BoostedTrees, bound: float) -> Col
 
 def _with_spans(df: DataFrame) -> DataFrame:
     """Adds a column of spans for each kind, named as the kind, to a table with ``text``."""
-    trees, bounds = train(df.sparkSession)
+    trees, bounds = train(df.sparkSession, texts=df.select("text"))
     text = F.col("text")
     df = df.withColumns(base_spans(text))
     known = F.concat(*map(F.col, BASE_KINDS))
