@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import os
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -65,6 +67,8 @@ class ByteLevelEncoder:
 
     def _encode_many(self, chunks: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        if sys.byteorder == "little":  # twice as fast
+            return [array("I", x.ids).tobytes() for x in encoded]
         return [np.array(x.ids, self.width).tobytes() for x in encoded]
 
     def chunk_starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
