@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from groundwell.functions.text import normalize_path
+from groundwell.functions.text import normalize_path, strip
 from groundwell.functions.vectors import cosine, rrf, unit, unit_cosine
 from groundwell.operators.lexical import bm25, holds_phrases, phrases, ranked, text_rank
 from groundwell.operators.security import Scope, secured
@@ -115,7 +115,7 @@ def retrieve(chunks: DataFrame, docs: DataFrame, queries: DataFrame, k: int, sco
     candidates = max(20, 2 * k)
     own = chunks if "source_uri" in chunks.columns else chunks.join(docs.select("doc_id", "source_uri"), "doc_id")
     own = secured(own, docs, scope).withColumn("__path", normalize_path("source_uri"))
-    asked = queries.where(F.trim("hint") != "")
+    asked = queries.where(strip("hint") != "")
     has_path = F.col("path").isNotNull() if "path" in queries.columns else F.lit(False)
     searched = F.concat_ws(" ", F.coalesce("context_prefix", F.lit("")), "chunk_text")
     legs = []
@@ -125,10 +125,9 @@ def retrieve(chunks: DataFrame, docs: DataFrame, queries: DataFrame, k: int, sco
         scored = within.select(F.col("chunk_id").alias("id"), "__path", unit(vector).alias("__v")).join(addressed.select("qid", "__path", unit(query_vector).alias("__q")), "__path")
         legs.append((scored.select("qid", "id", unit_cosine("__v", "__q").alias("score")), text_rank(within, addressed, "chunk_id", searched, path_col="__path")))
     free = asked.where(~has_path)
-    v = vector_topk(own, free, candidates, "chunk_id", vector, query_vector)
-    t = ranked(text_rank(own, free, "chunk_id", searched), candidates)
-    for by_vector, by_text in legs:
-        v, t = v.unionByName(ranked(by_vector, candidates)), t.unionByName(ranked(by_text, candidates))
+    if not legs or free.limit(1).count():  # queries without a path meet every chunk: no pass over them for none
+        legs.append((vector_topk(own, free, candidates, "chunk_id", vector, query_vector).select("qid", "id", "score"), text_rank(own, free, "chunk_id", searched)))
+    v, t = (ranked(reduce(DataFrame.unionByName, side), candidates) for side in zip(*legs, strict=True))
     top = fuse(v, t, k).select("qid", F.col("id").alias("chunk_id"), "score", "rank")
     return top.join(own, "chunk_id").select("qid", "chunk_id", F.col("chunk_text").alias("text"), F.col("source_uri").alias("file_path"), F.col("metadata")["loc"].alias("loc"), "metadata", "score", "rank")
 
