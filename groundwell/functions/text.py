@@ -42,9 +42,10 @@ def suffix(path: Column | str) -> Column:
 
 
 def title_case(x: Column | str) -> Column:
-    """Each run of letters with a capital first and small letters after, whatever separates the runs."""
+    """Each run of letters with a capital first and small letters after, whatever separates the runs; a letter whose capital is two gives one and a small one."""
     pieces = F.regexp_extract_all(_col(x), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.lower(F.substring(p, 2, 1 << 30)))), "")
+    first = lambda p: F.upper(F.left(p, F.lit(1)))
+    return F.array_join(F.transform(pieces, lambda p: F.concat(F.left(first(p), F.lit(1)), F.lower(F.substring(first(p), 2, 8)), F.lower(F.substring(p, 2, 1 << 30)))), "")
 
 
 def slugify(title: Column | str) -> Column:

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from groundwell.functions import text as tx
 from groundwell.functions import vectors as vx
-from groundwell.operators import chunking, evaluation, fetch, governance, lexical, search, security
+from groundwell.operators import chunking, evaluation, fetch, governance, index, lexical, search, security
 from groundwell.sources import parse, store
-from groundwell.sources.tables import read_table, stored
+from groundwell.sources.tables import read_table, shared_folder, stored
 from groundwell.streaming import events as ev
 
 QUERIES: dict = {}
@@ -505,6 +505,29 @@ def lint_tree(spark, sf):
     return governance.missing_entries(wiki(spark, sf).select(there.alias("entry")))
 
 
+_LINT = """lp AS (SELECT *, list_concat(['type', 'title', 'summary', 'sources'], CASE WHEN page_id % 2 = 0 THEN ['entities', 'department', 'last_compiled'] ELSE ['related'] END) AS present,
+  CASE page_id % 3 WHEN 0 THEN ['path', 'loc', 'hint'] WHEN 1 THEN ['path', 'hint'] ELSE ['loc'] END AS keys FROM wiki)"""
+
+
+@query(f"""WITH {_WIKI}, {_LINT}
+SELECT 'error' AS severity, slug AS page, 'missing_field' AS rule, field AS detail FROM (SELECT slug, unnest(list_filter(['type', 'title', 'summary', 'entities', 'department', 'sources', 'last_compiled'], lambda f: NOT list_contains(present, f))) AS field FROM lp)
+UNION ALL SELECT 'error', slug, 'forbidden_field', 'related' FROM lp WHERE list_contains(present, 'related')
+UNION ALL SELECT 'error', slug, 'source_field', '0.' || k FROM (SELECT slug, unnest(list_filter(['path', 'loc', 'hint'], lambda k: NOT list_contains(keys, k))) AS k FROM lp)
+UNION ALL SELECT 'error', slug, 'source_file', 'raw/' || page_id FROM lp WHERE page_id % 4 = 3
+UNION ALL SELECT DISTINCT 'warning', src, 'unresolved_link', dst FROM links WHERE dst NOT IN (SELECT slug FROM wiki)
+UNION ALL SELECT 'warning', slug, 'orphan', '' FROM wiki WHERE slug NOT IN ('index', 'archive', 'log') AND slug NOT IN (SELECT dst FROM links WHERE src <> dst)
+UNION ALL SELECT 'error', '', 'tree', entry FROM (VALUES ('archive.md'), ('log.md'), ('techniques'), ('entities'), ('playbooks')) AS t(entry)""")
+def lint_report(spark, sf):
+    """Half of the pages lack three fields and have a forbidden one; sources lack keys by thirds; a quarter of the files is missing, another one a placeholder."""
+    names = lambda *xs: F.array(*map(F.lit, xs))
+    even, third, path = F.col("page_id") % 2 == 0, F.col("page_id") % 3, F.concat(F.lit("raw/"), "page_id")
+    present = F.concat(names("type", "title", "summary", "sources"), F.when(even, names("entities", "department", "last_compiled")).otherwise(names("related")))
+    keys = F.array(F.when(third == 0, names("path", "loc", "hint")).when(third == 1, names("path", "hint")).otherwise(names("loc")))
+    pages = wiki(spark, sf).withColumns({"present": present, "source_keys": keys, "sources": F.array(F.struct(path.alias("path"), F.lit(None).cast("string").alias("loc"), F.col("title").alias("hint")))})
+    files = pages.where("page_id % 4 <> 3").select(F.when(F.col("page_id") % 4 == 1, F.concat(F.lit("./"), path, F.lit(".placeholder.md"))).otherwise(path).alias("path"))
+    return governance.lint(pages, files, spark.createDataFrame([("index.md",), ("concepts",)], "entry string"))
+
+
 @query(f"WITH {_WIKI} SELECT slug, unnest(range(len(l))) AS ord, unnest(l) AS hint FROM (SELECT slug, list_filter([title, left(url, 50), url, lang, title], lambda x: trim(x) <> '') AS l FROM wiki)")
 def heal_candidates(spark, sf):
     pages = wiki(spark, sf).withColumns({"summary": F.col("url"), "entities": F.array("lang", F.lit(" "), F.col("title"))})
@@ -574,6 +597,195 @@ def token_economy(spark, sf):
     return evaluation.token_economy(_t(spark, sf, "documents"), n, F.when(F.col("lang") == "de", n).otherwise(F.lit(0).cast("bigint")))
 
 
+# Parts that larger queries do not show
+
+
+@query(r"""WITH n AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, 'raw/' || page_id || CASE page_id % 4 WHEN 0 THEN '.Tar.GZ' WHEN 1 THEN '/.hidden' WHEN 2 THEN '/x.MD' ELSE '/plain' END AS path FROM pages),
+f AS (SELECT *, list_last(string_split(path, '/')) AS name FROM n)
+SELECT page_id, array_to_string(list_transform(regexp_extract_all(title, '\p{L}+|[^\p{L}]+'), lambda x: CASE left(x, 1) WHEN 'ß' THEN 'Ss' ELSE upper(left(x, 1)) END || lower(substr(x, 2))), '') AS spoken, replace(lower(title), ' ', '-') || '.md' AS note,
+  name, CASE WHEN regexp_matches(name, '^.+\.[^.]+$') THEN regexp_extract(name, '^(.+)\.[^.]+$', 1) ELSE name END AS stem, lower(regexp_extract(name, '^.+(\.[^.]+)$', 1)) AS suffix,
+  array_to_string(list_filter(string_split_regex(trim(replace(replace(title, chr(34), ''), chr(39), '')), '\s+'), lambda x: x <> ''), '|') AS terms,
+  array_to_string(list_filter([title, ' ', path], lambda x: trim(x) <> ''), chr(10) || chr(10)) AS whole, CASE WHEN page_id % 3 = 0 THEN -1 ELSE 2 END AS n_depts,
+  'loc=' || path || ',title=' || CASE WHEN page_id % 2 = 0 THEN 'own' ELSE title END AS merged FROM f""")
+def text_parts(spark, sf):
+    pages = _t(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    end = F.when(F.col("page_id") % 4 == 0, ".Tar.GZ").when(F.col("page_id") % 4 == 1, "/.hidden").when(F.col("page_id") % 4 == 2, "/x.MD").otherwise("/plain")
+    pages = pages.withColumn("path", F.concat(F.lit("raw/"), "page_id", end))
+    sections = F.array(*(F.struct(x.alias("text")) for x in (F.col("title"), F.lit(" "), F.col("path"))))
+    depts = F.size(tx.departments(F.when(F.col("page_id") % 3 == 0, "").otherwise("a,b")))
+    own = F.when(F.col("page_id") % 2 == 0, F.create_map(F.lit("title"), F.lit("own"))).otherwise(F.create_map().cast("map<string,string>"))
+    merged = tx.merge_maps(F.create_map(F.lit("title"), F.col("title"), F.lit("loc"), F.col("path")), own)
+    merged = F.array_join(F.transform(F.array_sort(F.map_entries(merged)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return pages.select("page_id", tx.title_case("title").alias("spoken"), tx.note_file_name("title").alias("note"), tx.file_name("path").alias("name"), tx.stem("path").alias("stem"), tx.suffix("path").alias("suffix"), F.array_join(tx.query_terms("title"), "|").alias("terms"), tx.full_text(sections).alias("whole"), F.coalesce(depts, F.lit(-1)).alias("n_depts"), merged.alias("merged"))
+
+
+@query("SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS distance, 1.0::DOUBLE AS from_zero, 0.0::DOUBLE AS other_length, '[' || label || '.0,-1.5]' AS written FROM embeddings")
+def vector_parts(spark, sf):
+    rows = _t(spark, sf, "embeddings")
+    zero = F.array_repeat(F.lit(0.0), 64)
+    return rows.select("vec_id", F.round(vx.cosine_distance("embedding", F.reverse("embedding")), 6).alias("distance"), vx.cosine_distance("embedding", zero).alias("from_zero"), vx.cosine("embedding", F.slice("embedding", 1, 9)).alias("other_length"), vx.literal(F.array(F.col("label").cast("double"), F.lit(-1.5))).alias("written"))
+
+
+@query("SELECT * FROM (VALUES (0, ''), (1, ''), (2, 'all'), (3, 'a,all,b,z')) AS t(n, csv)")
+def scope_lists(spark, sf):
+    scopes = (None, security.Scope(), security.Scope(frozenset({"all"})), security.Scope(frozenset({"b", "all"}), team="z", clearance="a"))
+    return spark.createDataFrame([(n, security.departments_csv(s)) for n, s in enumerate(scopes)], "n int, csv string")
+
+
+_FILES = """fl AS (SELECT doc_id, text, doc_id % 7 AS k, 'a/my-doc_' || doc_id || ['.md', '.csv', '.py', '.PNG', '.bin', '.markdown', '.tsv'][doc_id % 7 + 1] AS uri FROM documents WHERE text <> '')"""
+
+
+@query(rf"""WITH {_FILES}, st AS (SELECT *, 'my-doc_' || doc_id AS stem FROM fl), tr AS (SELECT doc_id, '\t' AS d, unnest(range(1, doc_id % 45 + 1)) AS r FROM fl WHERE k IN (1, 6)),
+tb AS (SELECT doc_id, (r - 1) // 20 AS b, 'Columns: name, score' || chr(10) || string_agg('Row ' || r || ': name: n' || r || ' | score: ' || r * 2, chr(10) ORDER BY r) AS txt, 'Rows ' || min(r) || '-' || max(r) AS loc FROM tr GROUP BY 1, 2),
+ta AS (SELECT doc_id, count(*) AS n, string_agg(loc, '|' ORDER BY b) AS locs, string_agg(txt, chr(10) || chr(10) ORDER BY b) AS body FROM tb GROUP BY 1),
+m AS (SELECT doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS t FROM fl WHERE k IN (0, 5))
+SELECT uri AS source_uri, CASE WHEN k = 2 THEN stem || '.py' WHEN k = 3 THEN 'My Doc ' || doc_id WHEN k = 4 THEN stem ELSE 'My Doc_' || doc_id END AS title,
+  CASE WHEN k IN (1, 6) AND n IS NOT NULL THEN n ELSE 1 END AS n_sections,
+  CASE k WHEN 0 THEN 'Section Intro' WHEN 5 THEN 'Section Intro' WHEN 2 THEN 'Full Source Code' WHEN 3 THEN 'Image Asset' WHEN 4 THEN 'Full Document' ELSE coalesce(locs, 'All Rows') END AS locs,
+  sha256(CASE WHEN k IN (0, 5) THEN regexp_replace(t, '^\s+|\s+$', '', 'g') WHEN k = 2 THEN '```py' || chr(10) || regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10) || '```' WHEN k = 3 THEN 'Image: My Doc ' || doc_id || ' (my-doc_' || doc_id || '.PNG). Format: PNG, size: ' || octet_length(encode(text)) || ' bytes. Stored at ' || uri || '.'
+    WHEN k = 4 THEN regexp_replace(text, '^\s+|\s+$', '', 'g') ELSE coalesce(body, CASE k WHEN 1 THEN 'name,score' ELSE 'name' || chr(9) || 'score' END) END) AS text_sha256
+FROM st LEFT JOIN ta USING (doc_id) LEFT JOIN m USING (doc_id) WHERE k NOT IN (0, 5) OR NOT regexp_matches(text, '(^|\n|\r)#|^---')""")
+def parsed_files(spark, sf):
+    """Documents as files of seven suffixes; tables are made of numbers. Marked-up texts with headings of their own are left to ``markdown_sections``."""
+    docs = _t(spark, sf, "documents").where("text <> ''")
+    k = (F.col("doc_id") % 7).cast("int")
+    docs = docs.where(~k.isin(0, 5) | ~F.col("text").rlike(r"(^|\n|\r)#|^---"))
+    uri = F.concat(F.lit("a/my-doc_"), "doc_id", F.element_at(F.array(*map(F.lit, (".md", ".csv", ".py", ".PNG", ".bin", ".markdown", ".tsv"))), k + 1))
+    line = lambda d: F.concat(F.lit(f"name{d}score"), F.array_join(F.transform(F.filter(F.sequence(F.lit(0), (F.col("doc_id") % 45).cast("int")), lambda r: r > 0), lambda r: F.concat(F.lit("\nn"), r, F.lit(d), r * 2)), ""))
+    content = F.when(k == 1, line(",")).when(k == 6, line("\t")).otherwise(F.col("text"))
+    found = parse.parse(docs.select(uri.alias("source_uri"), F.encode(content, "UTF-8").alias("content")))
+    return found.select("source_uri", "title", F.size("sections").cast("bigint").alias("n_sections"), F.array_join("sections.loc", "|").alias("locs"), F.sha2(tx.full_text("sections"), 256).alias("text_sha256"))
+
+
+_LINES = r"""whole AS (SELECT regexp_replace(string_agg(item_id || ' ' || replace(replace(text, chr(10), ' '), '#', ''), chr(10) ORDER BY item_id), '^\s+|\s+$', '', 'g') AS t FROM benchmark)"""
+
+
+@query(rf"WITH {_LINES}, c AS (SELECT unnest(CASE WHEN length(t) <= 1500 THEN [0] ELSE range(0, length(t), 1300) END) AS start, t FROM whole), d AS (SELECT start, regexp_replace(substr(t, start + 1, 1500), '^\s+|\s+$', '', 'g') AS chunk_text FROM c) SELECT row_number() OVER (ORDER BY start) - 1 AS chunk_index, chunk_text, 'Section Intro' AS loc, 'ingested' AS status, 1::BIGINT AS n_documents FROM d WHERE chunk_text <> ''")
+def ingested_directory(spark, sf):
+    """A file is scanned, parsed, cut and stored, twice; the chunks of the last version."""
+    folder = shared_folder(spark, "files")
+    lines = _t(spark, sf, "benchmark").select("item_id", F.concat_ws(" ", "item_id", F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("#"), F.lit(""))).alias("line"))
+    lines.coalesce(1).sortWithinPartitions("item_id").select("line").write.text(folder)
+    vault = store.VersionedTables(spark, shared_folder(spark, "vault"))
+    for _ in range(2):
+        status = store.ingest(parse.scan_directory(spark, folder), vault, ["all"])
+    chunks = vault.read("chunks", "doc_id string, chunk_index int, chunk_text string, loc string")
+    docs = vault.read("documents", "doc_id string").agg(F.count("*").alias("n_documents"))
+    return chunks.join(status.select("doc_id", "status"), "doc_id").crossJoin(F.broadcast(docs)).select(F.col("chunk_index").cast("bigint").alias("chunk_index"), "chunk_text", "loc", "status", "n_documents")  # one row of totals
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, count(chunks.start) AS chunks_count, CASE WHEN count(chunks.start) = 0 THEN 'skipped_empty' ELSE 'dry_run' END AS status FROM documents LEFT JOIN chunks USING (doc_id) GROUP BY 1")
+def dry_run_status(spark, sf):
+    return store.ingest_status(_t(spark, sf, "documents").select("doc_id"), _chunks(spark, sf), dry_run=True)
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, CASE WHEN source = 'src2' AND lang <> 'de' THEN 'new' ELSE 'old' END AS version, count(*) AS n FROM chunks WHERE NOT (source = 'src2' AND lang <> 'de' AND start > 0) GROUP BY 1, 2")
+def replaced_chunks(spark, sf):
+    """Documents of one source are ingested anew and give their first chunk only; those in German give none and keep what they had."""
+    chunks = _chunks(spark, sf).select("doc_id", "start", "source", "lang", F.lit("old").alias("version"))
+    done = _t(spark, sf, "documents").where("source = 'src2'").select("doc_id")
+    new = chunks.where("source = 'src2' and lang <> 'de' and start = 0").withColumn("version", F.lit("new"))
+    return store.replace_chunks(chunks, new, done).groupBy("doc_id", "version").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_WIKI}, s AS (SELECT slug, rel, page_id FROM wiki) (SELECT 'first' AS how, slug, 0.1::DOUBLE AS score FROM s ORDER BY slug LIMIT 7) UNION ALL SELECT 'slug', slug, 1.0 FROM s WHERE slug = 'the' UNION ALL SELECT 'path', slug, 1.0 FROM s WHERE rel = 'wiki/the.md'")
+def pages_without_search(spark, sf):
+    """What an empty query finds, and pages by slug, by path, and by a name that is none."""
+    pages = wiki(spark, sf)
+    read = lambda how, path: search.read_page(pages, path).select(F.lit(how).alias("how"), "slug", F.lit(1.0).alias("score"))
+    first = search.first_pages(pages, 7, "slug").select(F.lit("first").alias("how"), F.col("id").alias("slug"), "score")
+    return first.union(read("slug", "the")).union(read("path", " .\\wiki\\the.md ")).union(read("none", "no such page"))
+
+
+@query("SELECT doc_id AS qid, 'f-' || doc_id AS id, 'raw/f-' || doc_id || '.txt' AS path, 0.5::DOUBLE AS score, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS summary FROM documents")
+def fallback_summaries(spark, sf):
+    hits = _t(spark, sf, "documents").select(F.col("doc_id").alias("qid"), F.concat(F.lit("raw/f-"), "doc_id", F.lit(".txt")).alias("file_path"), F.lit(0.5).alias("score"), "text")
+    return search.fallback_hits(hits)
+
+
+@query(r"""WITH t AS (SELECT item_id, replace(left(text, 30), chr(10), ' ') AS v FROM benchmark), n AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN regexp_replace(v, '[^\p{L} ]', '', 'g') || 'x' WHEN 1 THEN 'a: "' || v || '"' ELSE 'yes' END AS title FROM t),
+q AS (SELECT item_id, title, CASE WHEN regexp_matches(title, '^[\p{L}][\p{L}\p{N} _./,()-]*$') AND lower(title) <> 'yes' THEN title ELSE '"' || replace(title, '"', '\"') || '"' END AS quoted FROM n)
+SELECT item_id, 'concept/' || replace(lower(title), ' ', '-') || '.md' AS rel, '---' || chr(10) || 'type: concept' || chr(10) || 'title: ' || quoted || chr(10) || 'summary: ' || quoted || chr(10) || 'entities: []' || chr(10) || 'department: all' || chr(10) || 'last_compiled: 2026-01-01' || chr(10) || 'sources:' || chr(10) || '  - path: raw/' || item_id || chr(10) || '    hint: h' || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || title || chr(10) AS text FROM q""")
+def compiled_pages(spark, sf):
+    short = F.replace(F.left("text", F.lit(30)), F.lit("\n"), F.lit(" "))
+    title = F.when(F.col("item_id") % 3 == 0, F.concat(F.regexp_replace(short, r"[^\p{L} ]", ""), F.lit("x"))).when(F.col("item_id") % 3 == 1, F.concat(F.lit('a: "'), short, F.lit('"'))).otherwise("yes")
+    notes = _t(spark, sf, "benchmark").select(title.alias("title"), F.lit("concept").alias("category"), title.alias("summary"), F.concat(F.lit("raw/"), "item_id").alias("path"), F.lit("h").alias("hint"))
+    made = governance.compile_page(notes, "2026-01-01")
+    return made.select(F.regexp_extract("text", r"path: raw/(\d+)", 1).cast("bigint").alias("item_id"), "rel", "text")
+
+
+@query(r"""SELECT item_id, CASE WHEN item_id % 4 = 3 THEN 'nothing' ELSE '  - hint: "new ' || item_id || '"' || chr(10) || '  - hint: ' || CASE WHEN item_id % 2 = 0 THEN '"old (*)"' ELSE 'old (*)' END || chr(10) || '  - hint: "two"' END AS text, CASE WHEN item_id % 4 = 3 THEN 0 ELSE 2 END AS applied, '- [now] heal (drift): p' || item_id || ': old (*) -> new ' || item_id AS line FROM benchmark""")
+def applied_heals(spark, sf):
+    items = _t(spark, sf, "benchmark").select("item_id", F.concat(F.lit("p"), "item_id").alias("slug"), F.concat(F.lit("new "), "item_id").alias("new"))
+    hint = F.when(F.col("item_id") % 2 == 0, '"old (*)"').otherwise("old (*)")
+    pages = items.select("item_id", "slug", F.when(F.col("item_id") % 4 == 3, "nothing").otherwise(F.concat(F.lit("  - hint: "), hint, F.lit("\n  - hint: "), hint, F.lit("\n  - hint: 'zwei'"))).alias("text"))
+    heals = items.select("slug", F.lit("old (*)").alias("old"), "new").union(items.select("slug", F.lit("zwei"), F.lit("two")))
+    log = governance.heal_log(items.select("slug", F.lit("old (*)").alias("old"), "new", F.lit("drift").alias("trigger")), "now").select(F.regexp_extract("value", r": (p\d+):", 1).alias("slug"), F.col("value").alias("line"))
+    return governance.apply_heals(pages, heals).join(log, "slug").select(F.substring("slug", 2, 20).cast("bigint").alias("item_id"), "text", "applied", "line")
+
+
+@query("SELECT page_id % 2 = 0 AS same, count(*) AS n FROM pages GROUP BY 1")
+def source_round_trips(spark, sf):
+    """Lists of sources in another order are the same, with another place they are not."""
+    source = lambda hint, loc: F.struct(F.col("url").alias("path"), loc.alias("loc"), hint.alias("hint"))
+    pages = _t(spark, sf, "pages").withColumn("slug", F.col("page_id").cast("string"))
+    a, b = source(F.lit("a"), F.lit(None).cast("string")), source(F.lit("b"), F.lit("1"))
+    after = F.when(F.col("page_id") % 2 == 0, F.array(b, a)).otherwise(F.array(b, source(F.lit("a"), F.lit("2"))))
+    return governance.round_trips(pages.withColumn("sources", F.array(a, b)), pages.withColumn("sources", after)).groupBy("same").agg(F.count("*").alias("n"))
+
+
+@query("""WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v, vec_id % 100 = 0 AS paraphrase FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT 'v' || vec_id AS slug, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT qid, slug, round(list_cosine_similarity(q.v, p.v), 9) AS s FROM q, p), b AS (SELECT qid, max(row(s, slug)) AS best FROM s WHERE slug IN ('v' || (qid + 1), 'v' || (qid + 2), 'none') GROUP BY 1),
+r AS (SELECT qid, count(*) FILTER (WHERE row(s, slug) > best) + 1 AS rank FROM s JOIN b USING (qid) GROUP BY 1), w AS (SELECT paraphrase, rank FROM q LEFT JOIN r USING (qid))
+SELECT count(*) AS n_questions, count(*) FILTER (WHERE paraphrase) AS n_paraphrase, round(avg(CASE WHEN rank <= 50 THEN 1.0 ELSE 0.0 END), 3) AS recall_at_50, round(avg(CASE WHEN rank <= 500 THEN 1.0 ELSE 0.0 END), 3) AS recall_at_500,
+  round(avg(CASE WHEN rank <= 50 THEN 1.0 ELSE 0.0 END) FILTER (WHERE paraphrase), 3) AS paraphrase_recall_at_50, round(avg(CASE WHEN rank <= 500 THEN 1.0 ELSE 0.0 END) FILTER (WHERE paraphrase), 3) AS paraphrase_recall_at_500, (SELECT count(*) FROM q) AS n_unknown FROM w""")
+def paraphrase_recall(spark, sf):
+    """Each fiftieth vector asks for one of its two successors; a third target of each is unknown."""
+    rows = _t(spark, sf, "embeddings")
+    pages = rows.select(F.concat(F.lit("v"), "vec_id").alias("slug"), "embedding")
+    name = lambda d: F.concat(F.lit("v"), F.col("vec_id") + d)
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector"), (F.col("vec_id") % 100 == 0).alias("paraphrase"), F.array(name(1), name(2), F.lit("none")).alias("targets"), F.concat(F.lit("none"), "vec_id").alias("target"))
+    unknown = evaluation.unknown_targets(asked, pages).agg(F.count("*").alias("n_unknown"))
+    return evaluation.recall_by_paraphrase(asked, evaluation.ranked_pages(pages, asked), (50, 500)).crossJoin(F.broadcast(unknown))  # one row each
+
+
+@query("""WITH v AS (SELECT item_id, [((unicode(substr(text, i + 1, 1)) * 31 + i) % 100) / 100.0 for i in range(0, least(length(text), 32))] AS a FROM benchmark)
+SELECT item_id, 'characters' AS embedder_used, round(list_sum([a[i] * i for i in range(1, len(a) + 1)]) / sqrt(list_sum([x * x for x in a])), 4) AS weighted FROM v""")
+def embedder_falls_back(spark, sf):
+    def broken(texts):
+        raise ConnectionError("no service")
+
+    made = vx.embed(_t(spark, sf, "benchmark"), "text", broken, dims=32)
+    weighted = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return made.select("item_id", "embedder_used", F.round(weighted, 4).alias("weighted"))
+
+
+@query(r"SELECT item_id, sha256(text || '::') AS content_hash, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))::DOUBLE AS n_words, (SELECT count(DISTINCT text) FROM benchmark WHERE item_id % 2 = 1) AS n_embedded FROM benchmark")
+def cached_index(spark, sf):
+    """The index of half of the pages, then of all: the second build embeds only what the first did not."""
+    pages = _t(spark, sf, "benchmark").withColumns({"summary": F.col("text"), "entities": F.array().cast("array<string>")})
+    cache, seen = store.VersionedTable(spark, shared_folder(spark, "vector-cache")), []
+
+    def embed(rows):
+        seen.append(rows.count())
+        return vx.hash_embeddings(rows, "content_hash", F.col("text")).withColumnRenamed("id", "content_hash")
+
+    index.build_index(pages.where("item_id % 2 = 0"), cache, embed)
+    built = index.build_index(pages, cache, embed)
+    return built.select("item_id", "content_hash", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("n_words"), F.lit(seen[-1]).cast("bigint").alias("n_embedded"))
+
+
+@query("SELECT 1::BIGINT AS batches, count(*) AS n_rows, 1::BIGINT AS n_after FROM events")
+def watched_batches(spark, sf):
+    """The events as a stream of files: one batch of all, after which the hook runs, and none when it is started again."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    folder, rows, after = shared_folder(spark, "stream"), [], []
+    for _ in range(2):
+        changes = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+        ev.watch(spark, lambda batch: rows.append(batch.count()) or True, folder, changes=changes, after=lambda: after.append(1))
+    return spark.createDataFrame([(len(rows), sum(rows), len(after))], "batches bigint, n_rows bigint, n_after bigint")
+
+
 # Streams, as tables; the windows go beyond the original scope
 
 
