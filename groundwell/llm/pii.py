@@ -171,6 +171,7 @@ class BoostedTrees:
         self.rounds, self.depth, self.rate, self.trees, self.start = rounds, depth, rate, [], 0.0
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
+        self.width = x.shape[1]
         share = (y.sum() + 1) / (len(y) + 2)
         self.start = float(np.log(share / (1 - share)))
         f = np.full(len(y), self.start)
@@ -259,7 +260,9 @@ def train(spark: SparkSession, precision: float = 0.99, texts: DataFrame | None
 
 
 def _selected(text: Column, kind: str, trees: BoostedTrees, bound: float) -> Column:
-    return F.filter(spans(text, GENERATORS[kind]), lambda x: trees.column(features(x, kind)) >= bound)
+    # features are computed once for a candidate; in each node of the trees they would make an expression of thousands of parts
+    score = lambda x: _let(F.array(*(c.cast("double") for c in features(x, kind))), lambda v: trees.column([v[k] for k in range(trees.width)]))
+    return F.filter(spans(text, GENERATORS[kind]), lambda x: score(x) >= bound)
 
 
 def _with_spans(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ __all__ = ["bound_batches", "id_and_text", "schema_with_id", "shared_folder", "s
 
 
 #: Bytes of an Arrow batch between the JVM and Python; both sides hold a few at a time in each task.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
