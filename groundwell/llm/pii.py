@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwell.functions.vectors import _let
-from groundwell.llm.shared import id_and_text, text_of
+from groundwell.llm.shared import id_and_text, stored, text_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 _SPAN = "array<struct<start: bigint, end: bigint, value: string, before: string, after: string>>"
@@ -226,15 +226,15 @@ def harvest(texts: DataFrame, sample_rows: int = 2000, per_kind: int = 300) -> l
     taken, so the same texts give the same examples, however they are stored.
     """
     every = max(1, -(-texts.count() // sample_rows))
-    own = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    context = {"secret": "secret", "id_number": "number", "local_phone": "phone"}
+    context = {"secret": "secret", "id_number": "number", "local_phone": "phone"}  # what looks like a masked address is one
+    named = lambda kind: F.transform(spans(F.col("text"), GENERATORS[kind]), lambda x: F.struct(F.lit(kind).alias("kind"), x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after")))
+    found = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select(F.explode(F.concat(*map(named, context))).alias("x")).select("x.*").distinct()
+    found = stored(found, "pii-candidates")  # one pass over the texts
     parts = []
-    for kind, pattern in GENERATORS.items():
-        if kind in context:  # what looks like a masked address is one
-            found = own.select(F.explode(spans(F.col("text"), pattern)).alias("x")).select("x.value", "x.before", "x.after").distinct()
-            known = F.col("before").rlike(_CONTEXT[context[kind]]) | F.col("before").rlike(r"[=:]\s*[\"']?$") | F.col("before").rlike(r"\+[0-9][\x20().0-9-]*$")
-            plain = found.where(~known)
-            parts.append(plain.orderBy(F.xxhash64("value", "before"), "value", "before", "after").limit(per_kind).select(F.lit(kind).alias("kind"), F.lit(0).alias("label"), "value", "before", "after"))
+    for kind, words in context.items():
+        known = F.col("before").rlike(_CONTEXT[words]) | F.col("before").rlike(r"[=:]\s*[\"']?$") | F.col("before").rlike(r"\+[0-9][\x20().0-9-]*$")
+        plain = found.where((F.col("kind") == kind) & ~known)
+        parts.append(plain.orderBy(F.xxhash64("value", "before"), "value", "before", "after").limit(per_kind).select("kind", F.lit(0).alias("label"), "value", "before", "after"))
     return sorted(tuple(r) for r in reduce(DataFrame.unionAll, parts).collect())
 
 
