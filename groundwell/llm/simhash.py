@@ -173,7 +173,9 @@ def connected(edges: DataFrame) -> DataFrame:
     they are shuffled, and both sides of every join are tables in the shared folder: a node of very many edges, or a label of very many
     nodes, is a skewed partition that adaptive execution splits.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    # written before it is turned round: a spanning forest made twice may be another one each time, and links would be lost
+    once = stored(edges.select("a", "b"), "links")
+    both = stored(once.union(once.select("b", "a")).distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
     while True:
         offers = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("offer"))

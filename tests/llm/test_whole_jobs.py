@@ -152,6 +152,26 @@ def test_components_of_stars_chains_and_cliques(spark):
     assert simhash.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_edges_are_made_once(spark):
+    """Components of edges that come out otherwise each time they are made are those of one making."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    def make(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            turn = time.time_ns()
+            for k in batch.column("id").to_pylist():  # a tree over ten nodes with another centre each time
+                centre = (turn + k) % 10
+                yield pa.RecordBatch.from_pydict({"a": [10 * k + centre] * 9, "b": [10 * k + x for x in range(10) if x != centre]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    edges = spark.range(0, 200, 1, 8).mapInArrow(make, "a bigint, b bigint")
+    found = simhash.connected(edges)
+    assert found.count() == 2000 and found.where(F.col("label") != F.floor(F.col("node") / 10) * 10).count() == 0
+
+
 def test_every_added_kind(spark):
     """Secrets, identity numbers, local telephone numbers and masked addresses in four languages; look-alikes stay."""
     found = [
