@@ -30,16 +30,22 @@ LISTED = (".md", ".txt", ".markdown", ".pdf", ".csv", ".tsv", ".py", ".sh", ".js
 ROWS_PER_SECTION = 20
 
 
+def _root(path: str) -> str:
+    """How the paths of files below a folder begin, but for their scheme."""
+    local = f"/{path.removeprefix('file:').lstrip('/')}" if path.startswith("file:") else path
+    return local.rstrip("/") + "/"
+
+
 def scan_directory(spark: SparkSession, path: str, suffixes: tuple[str, ...] = LISTED) -> DataFrame:
     """``path``, ``source_uri`` (relative), ``content`` and ``size`` of the files below ``path`` with a listed suffix, whatever its case."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    root = path.removeprefix("file:").rstrip("/") + "/"
+    root = _root(path)
     return files.where(suffix("path").isin(*suffixes)).select("path", F.regexp_replace("path", f"^.*?\\Q{root}\\E", "").alias("source_uri"), "content", F.col("length").alias("size"))
 
 
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     """``rel``, ``slug`` and ``text`` of the Markdown pages below ``path`` but for ``index.md``."""
-    root = path.removeprefix("file:").rstrip("/") + "/"
+    root = _root(path)
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.regexp_replace(F.input_file_name(), f"^.*?\\Q{root}\\E", "").alias("rel"), F.col("value").alias("text"))
     return files.where(file_name("rel") != "index.md").select("rel", stem("rel").alias("slug"), "text")
 

@@ -190,6 +190,7 @@ def test_scan_and_pages(spark, tmp_path):
     (tmp_path / "Y.CSV").write_text("a\n1\n")
     names = {r.source_uri for r in parse.scan_directory(spark, str(tmp_path)).collect()}
     assert names == {"sub/p.md", "index.md", "bad.md", "Y.CSV", "z.markdown"}
+    assert names == {r.source_uri for r in parse.scan_directory(spark, f"file://{tmp_path}").collect()}
     (row,) = parse.load_pages(parse.scan_pages(spark, str(tmp_path))).collect()
     assert (row.slug, row.rel, row.title, row.entities) == ("p", "sub/p.md", "T", ["a", "b"]) and row.sources[0].path == "raw/x" and row.body == "body [[q]]\n"
 
