@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwell.llm.exact_dedup import duplicates
+from groundwell.llm.jaccard_join import components as jaccard_components
 from groundwell.llm.license_scan import scan
 from groundwell.llm.packing import pack
 from groundwell.llm.pii import find
@@ -70,6 +71,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_rules(table(spark, sf_dir, "documents"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_packing": op2_packing,
@@ -81,6 +86,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
+    "op12_jaccard_join": op12_jaccard_join,
 }
 
 #: What SQL can express whole; the other queries are held against brute force in tests/llm.

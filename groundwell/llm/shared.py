@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundwell.sources.tables import shared_folder, stored
 
-__all__ = ["bound_batches", "id_and_text", "schema_with_id", "shared_folder", "stored", "text_of", "without_copies"]
+__all__ = ["bitmap", "bound_batches", "id_and_text", "may_hold", "schema_with_id", "shared_folder", "stored", "text_of", "without_copies"]
 
 
 #: Bytes of an Arrow batch between the JVM and Python; both sides hold a few at a time in each task.
@@ -44,6 +45,32 @@ def without_copies(df: DataFrame, marks: DataFrame, id_col: str, sha: Column) ->
     return kept.union(again.select("row.*"))
 
 
+#: A bitmap has eight bits for each value, 2 to the power of 27 (16 MB) at most.
+LARGEST_BITMAP = 27
+
+
+def bitmap(values: DataFrame) -> np.ndarray:
+    """A filter for the first column of ``values``, 64-bit hashes: one that is in it always passes :func:`may_hold`.
+
+    Its size follows the number of values up to a fixed bound, so tasks can take it along however large the input is; beyond
+    about 16 million values it lets more of the others pass. Bits are put together before they reach the driver.
+    """
+    h = F.col(values.columns[0])
+    room = min(LARGEST_BITMAP, max(16, (8 * values.count()).bit_length()))
+    place = values.select(F.shiftrightunsigned(h, 64 - room).alias("place"))
+    words = place.groupBy(F.shiftrightunsigned("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 AS int)))").alias("bits"))
+    found = words.toArrow()
+    out = np.zeros(1 << (room - 6), np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the unsigned ``hashes`` a :func:`bitmap` may hold."""
+    place = hashes >> np.uint64(64 - (6 + (len(bits) - 1).bit_length()))
+    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
 def text_of(text_col: str) -> Column:
     return F.coalesce(F.col(_quoted(text_col)).cast("string"), F.lit(""))
 
