@@ -147,7 +147,8 @@ def voronoi(cells: DataFrame, sets: DataFrame, width: float, n_pivots: int) -> D
     A home set stays one in the cell of its nearest pivot and is copied into earlier cells whose pivots are at most ``2 * width`` farther;
     a boundary set is copied into all such cells.
     """
-    chosen = cells.where("home").groupBy("cell", F.pmod(F.xxhash64("node", "cell"), F.lit(n_pivots)).cast("int").alias("k")).agg(F.min("node").alias("node"))
+    drawn = cells.where("home").select("cell", "node", F.xxhash64("node", "cell").alias("draw"))
+    chosen = drawn.groupBy("cell", F.pmod("draw", F.lit(n_pivots)).cast("int").alias("k")).agg(F.min(F.struct("draw", "node"))["node"].alias("node"))
     held = chosen.join(sets, "node").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("k", "size", "shingles"))).alias("pivots"))  # n_pivots at most
 
     def distance(p):
