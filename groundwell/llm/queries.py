@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundwell.llm.collocations import collocations
 from groundwell.llm.exact_dedup import duplicates
 from groundwell.llm.jaccard_join import components as jaccard_components
 from groundwell.llm.license_scan import scan
@@ -18,6 +19,7 @@ from groundwell.llm.simhash import components
 from groundwell.llm.token_output import read_documents, write_sequences
 from groundwell.llm.toxicity import in_fold, score, train
 from groundwell.llm.warc import read_warc, write_warc
+from groundwell.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,10 +73,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_packing": op2_packing,
@@ -86,7 +96,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
+    "op11_whitening": op11_whitening,
     "op12_jaccard_join": op12_jaccard_join,
+    "op13_collocations": op13_collocations,
 }
 
 #: What SQL can express whole; the other queries are held against brute force in tests/llm.
@@ -111,4 +123,18 @@ c AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > n_words OR capitals > small OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept FROM f""",
+    "op13_collocations": r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3 FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p WHERE len(w) > 0)),
+u AS (SELECT lang, w1, count(*) AS f FROM g GROUP BY ALL), t AS (SELECT lang, sum(f)::BIGINT AS n FROM u GROUP BY 1),
+b AS (SELECT lang, w1, w2, count(*) AS f FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING f >= 10),
+c AS (SELECT lang, w1, w2, w3, count(*) AS f FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING f >= 10),
+i AS (SELECT lang, w1, w2, max(f) AS most FROM (SELECT lang, w1, w2, f FROM c UNION ALL SELECT lang, w2, w3, f FROM c) GROUP BY ALL),
+s AS (SELECT b.lang, b.w1 || ' ' || b.w2 AS phrase, b.f AS a, x.f AS l, y.f AS r, 1 AS k FROM b JOIN u x ON x.lang = b.lang AND x.w1 = b.w1 JOIN u y ON y.lang = b.lang AND y.w1 = b.w2
+  LEFT JOIN i ON i.lang = b.lang AND i.w1 = b.w1 AND i.w2 = b.w2 WHERE i.most IS NULL OR 100 * i.most < 50 * b.f
+UNION ALL SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, u.f, b.f, 1 FROM c JOIN u ON u.lang = c.lang AND u.w1 = c.w1 JOIN b ON b.lang = c.lang AND b.w1 = c.w2 AND b.w2 = c.w3
+UNION ALL SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, b.f, u.f, 2 FROM c JOIN b ON b.lang = c.lang AND b.w1 = c.w1 AND b.w2 = c.w2 JOIN u ON u.lang = c.lang AND u.w1 = c.w3),
+m AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM s),
+o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o JOIN t USING (lang) QUALIFY rank <= 2000""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from groundwell.sources.tables import shared_folder, stored
 
-__all__ = ["bitmap", "bound_batches", "id_and_text", "may_hold", "schema_with_id", "shared_folder", "stored", "text_of", "without_copies"]
+__all__ = ["bitmap", "bound_batches", "id_and_text", "may_hold", "quoted", "schema_with_id", "shared_folder", "stored", "text_of", "without_copies"]
 
 
 #: Bytes of an Arrow batch between the JVM and Python; both sides hold a few at a time in each task.
@@ -26,7 +26,7 @@ def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only ``id`` and ``text``, null text as empty: other columns of the input cannot clash with anything."""
     bound_batches(df.sparkSession)
-    return df.select(F.col(_quoted(id_col)).alias("id"), text_of(text_col).alias("text"))
+    return df.select(F.col(quoted(id_col)).alias("id"), text_of(text_col).alias("text"))
 
 
 def without_copies(df: DataFrame, marks: DataFrame, id_col: str, sha: Column) -> DataFrame:
@@ -36,7 +36,7 @@ def without_copies(df: DataFrame, marks: DataFrame, id_col: str, sha: Column) ->
     The copies have no bound that would allow a broadcast, so both sides are sorted and merged at every size.
     """
     copies = stored(marks.where("not kept or n > 1"), "copies").alias("copies").hint("merge")
-    own = df.select(F.struct("*").alias("row"), F.col(_quoted(id_col)).alias("id"), sha.alias("sha")).alias("own")
+    own = df.select(F.struct("*").alias("row"), F.col(quoted(id_col)).alias("id"), sha.alias("sha")).alias("own")
     same = F.col("own.id").eqNullSafe(F.col("copies.id")) & (F.col("own.sha") == F.col("copies.sha"))
     kept = own.join(copies, same, "left_anti").select("row.*")
     if not copies.where("kept").limit(1).count():
@@ -72,10 +72,10 @@ def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def text_of(text_col: str) -> Column:
-    return F.coalesce(F.col(_quoted(text_col)).cast("string"), F.lit(""))
+    return F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
 
 
-def _quoted(name: str) -> str:
+def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
