@@ -263,13 +263,16 @@ def test_op13_against_plain_counts(spark, data):
     assert rows_of(QUERIES["op13_collocations"](spark, data)) == plain_collocations(rows)
 
 
-def test_op13_longer_phrases_heavy_prefixes_and_small_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("heavy", [4096, 10])
+def test_op13_longer_phrases_heavy_prefixes_and_small_blocks(spark, monkeypatch, heavy):
     """Heavy prefixes are dealt over several tasks; batches and blocks cut runs."""
     rnd = random.Random(2)
     rows = [(" ".join(rnd.choice(["the the of", "a b c d e", "x", "the", "q r s!", "É é;", "of the\tend"]) for _ in range(rnd.randrange(60))), rnd.choice(["en", "de", None, "und"])) for _ in range(150)]
     df = spark.createDataFrame(rows, "text string, lang string")
     monkeypatch.setattr(co, "_BLOCK", 300)
     monkeypatch.setattr(co, "_ROWS", 7)
+    monkeypatch.setattr(co, "_BATCH", 3)
+    monkeypatch.setattr(co, "_HEAVY", heavy)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
     try:
         for longest in (2, 3, 5):
