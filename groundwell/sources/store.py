@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,14 +71,29 @@ class VersionedTables:
         versions = self._versions()
         return self.spark.read.schema(schema).parquet(f"{self.path}/v{versions[-1]}/{name}") if versions else self.spark.createDataFrame([], schema)
 
-    def write(self, **tables: DataFrame) -> int:
+    def next_version(self) -> int:
+        return (self._versions() or [0])[-1] + 1
+
+    def paths(self, name: str, since: str | None = None) -> list[str]:
+        """The folders of a table in all versions that have it, from the last one with the table ``since`` on if there is one."""
+        jvm = self.spark._jvm
+        fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        there = lambda v, table: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}/{table}"))
+        versions = self._versions()
+        first = max((v for v in versions if since and there(v, since)), default=0)
+        return [f"{self.path}/v{v}/{name}" for v in versions if v >= first and there(v, name)]
+
+    def write(self, expected: int | None = None, **tables: DataFrame | DataFrameWriter) -> int:
+        """A new version of tables, or of writers with settings of their own; refused if it is not the ``expected`` one."""
         if self.protected:
             raise PermissionError(f"{self.path} is protected; write to a copy")
         jvm = self.spark._jvm
-        version = (self._versions() or [0])[-1] + 1
+        version = self.next_version()
         staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
-        for name, df in tables.items():
-            df.write.parquet(f"{staged}/{name}")
+        for name, table in tables.items():
+            (table if isinstance(table, DataFrameWriter) else table.write).parquet(f"{staged}/{name}")
+        if expected not in (None, self.next_version()):
+            raise OSError(f"{self.path} has changed since version {expected - 1}")
         path, target = (jvm.org.apache.hadoop.fs.Path(x) for x in (staged, f"{self.path}/v{version}"))
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if fs.exists(target) or not fs.rename(path, target):
