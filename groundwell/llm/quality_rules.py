@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from groundwell.llm.blocks import IS_SPACE, Words, binary_array, buffer_of, row_numbers, slices, sums
 from groundwell.llm.shared import bound_batches, id_and_text, schema_with_id, text_of
@@ -196,11 +197,16 @@ def keep_good(df: DataFrame, rules: tuple[Rule, ...] | None = None, text_col: st
     """The rows of ``df`` that the cascade keeps, with all their columns; rejected rows stop at the first rule that rejects them."""
     bound_batches(df.sparkSession)
     rules = rules or measured_order(df, text_col=text_col)
+    schema, own = df.schema, text_col
+    if not isinstance(schema[text_col].dataType, StringType):  # judged as text, passed on as it is
+        while own in df.columns:
+            own += "_"
+        df = df.withColumn(own, text_of(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 2 << 20):
-            kept = cascade(Texts(*buffer_of(batch.column(text_col))), rules)
+        for batch in slices(batches, own, 2 << 20):
+            kept = cascade(Texts(*buffer_of(batch.column(own))), rules)
             if len(kept):
-                yield batch.take(pa.array(kept))
+                yield batch.select(schema.names).take(pa.array(kept))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(run, schema)
