@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwell.llm.blocks import IS_SPACE, Words, buffer_of, slices
-from groundwell.llm.shared import id_and_text, schema_with_id, stored, text_of, without_copies
+from groundwell.llm.shared import id_and_text, schema_with_id, stored, text_of, with_maybe, without_copies
 
 _QUARTERS = 4
 #: 26 letters move 32 places up.
@@ -123,20 +123,45 @@ def forest(left: np.ndarray, right: np.ndarray, near, strip: int = 256) -> list[
     return list(zip(values[inner].tolist(), values[label[inner]].tolist(), strict=True))
 
 
+#: Comparisons of two members that a task makes at most, about a second's, and at least if there are cores without any.
+_MOST, _LEAST = 1 << 28, 1 << 21
+
+
+def meeting(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``fps`` and ``other_fps`` of each pair of blocks.
+
+    ``blocks`` have ``at``, which names them, and ``fps``; ``pairs`` have ``low`` and ``high``, names of blocks that are to be compared. Pairs are listed
+    before any array moves, and each is dealt out on its own, over as many tasks as all products of sizes ask for: neither a large tile nor a tile with
+    many neighbours meets all of them in one place.
+    """
+    pairs, sizes = stored(pairs, "pairs"), blocks.select("at", F.size("fps").alias("n"))
+    products = pairs.join(sizes.withColumnsRenamed({"at": "low", "n": "a"}), "low").join(sizes.withColumnsRenamed({"at": "high", "n": "b"}), "high")
+    total = products.agg(F.coalesce(F.sum(F.col("a").cast("bigint") * F.col("b")), F.lit(0))).first()[0]
+    tasks = max(-(-total // _MOST), min(blocks.sparkSession.sparkContext.defaultParallelism, -(-total // _LEAST)), 1)
+    pair = F.struct("low", "high").alias("pair")
+    sides = pairs.select(F.col("low").alias("at"), pair, F.lit(True).alias("first")).union(pairs.select(F.col("high").alias("at"), pair, F.lit(False).alias("first")))
+    met = blocks.join(sides, "at").select("pair", "first", "fps").repartition(int(tasks), "pair")
+    own = lambda first: F.first(F.when(F.col("first") == first, F.col("fps")), ignorenulls=True)
+    return met.groupBy("pair").agg(own(True).alias("fps"), own(False).alias("other_fps")).where("fps is not null and other_fps is not null").select("fps", "other_fps")
+
+
 def tile_pairs(keyed: DataFrame, offsets: list[int], tile_size: int) -> DataFrame:
     """Pairs of tiles whose keys differ by one of ``offsets``: ``fps`` and ``other_fps``, arrays of ``fp``.
 
     ``keyed`` has ``tile`` and distinct ``fp``. Tile keys must be few whatever the input (counts of bits: at most 17 to the
-    power of ``_QUARTERS``): their sizes are broadcast. Neighbours are found by key first, and arrays go only to those that exist.
+    power of ``_QUARTERS``): their sizes are broadcast. Neighbours are found by key first, see :func:`meeting` for the arrays.
     """
-    sizes = stored(keyed.groupBy("tile").agg(F.count("*").alias("n")), "tile-sizes")
-    parts = F.ceil(F.col("n") / tile_size).cast("int")
-    tiles = keyed.join(F.broadcast(sizes), "tile").withColumn("part", F.pmod(F.xxhash64("fp"), parts).cast("int")).groupBy("tile", "part").agg(F.collect_list("fp").alias("fps"))
-    tiles = stored(tiles, "tiles")
-    beside = sizes.select(F.col("tile").alias("own"), F.explode(F.array(*map(F.lit, offsets))).alias("offset")).selectExpr("own", "own + offset AS tile")
-    beside = stored(beside.join(F.broadcast(sizes.select("tile")), "tile", "left_semi"), "tile-neighbours")
-    other = tiles.select(F.col("tile").alias("own"), F.col("part").alias("other_part"), F.col("fps").alias("other_fps")).join(beside, "own")
-    return tiles.join(other, "tile").where("tile <> own or part <= other_part").select("fps", "other_fps")
+    sizes = keyed.groupBy("tile").agg(F.count("*").alias("n"))
+    sizes = stored(sizes.withColumn("parts", F.ceil(F.col("n") / tile_size).cast("int")), "tile-sizes")
+    at = F.struct("tile", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part")).alias("at")
+    tiles = stored(keyed.join(F.broadcast(sizes), "tile").select(at, "fp").groupBy("at").agg(F.collect_list("fp").alias("fps")), "tiles")
+    beside = sizes.select(F.col("tile").alias("own"), F.col("parts").alias("own_parts"), F.explode(F.array(*map(F.lit, offsets))).alias("offset")).withColumn("tile", F.col("own") + F.col("offset"))
+    beside = beside.join(F.broadcast(sizes.select("tile", "parts")), "tile")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    listed = beside.select("own", "tile", "parts", every("own_parts").alias("own_part")).select("own", "tile", "own_part", every("parts").alias("part"))
+    listed = listed.where("own <> tile or own_part <= part")
+    place = lambda tile, part: F.struct(F.col(tile).alias("tile"), F.col(part).alias("part"))
+    return meeting(tiles, listed.select(place("own", "own_part").alias("low"), place("tile", "part").alias("high")))
 
 
 def links(fps: DataFrame, radius: int = 3, tile_size: int = 2048) -> DataFrame:
@@ -312,9 +337,13 @@ def proposals(units: DataFrame, similarity: float, tile_size: int) -> DataFrame:
     parts = lambda flag: F.ceil(F.count(F.when(flag, 1)) / tile_size).cast("int")
     open_bands = stored(flagged.groupBy("band").agg(parts(F.col("near")).alias("near_parts"), parts(~F.col("near")).alias("far_parts")).where("far_parts > 0"), "open-bands")
     dealt = flagged.join(open_bands, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("near"), F.col("near_parts")).otherwise(F.col("far_parts"))).cast("int"))
-    tiles = stored(dealt.join(prints, "node").groupBy("band", "near", "part").agg(F.collect_list(F.struct("node", "size", *_NAMES)).alias("fps")), "band-tiles")
-    far = tiles.where("not near").select("band", F.col("part").alias("far_part"), F.col("fps").alias("far_fps"))
-    tile_pairs = far.join(tiles, "band").where("near or far_part <= part").select("far_fps", "fps")
+    at = F.struct("band", "near", "part").alias("at")
+    tiles = stored(dealt.join(prints, "node").groupBy(at).agg(F.collect_list(F.struct("node", "size", *_NAMES)).alias("fps")), "band-tiles")
+    every = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    side = lambda near, part: F.struct(F.col("band"), F.lit(near).alias("near"), part.alias("part"))
+    across = open_bands.select("band", F.explode(every("far_parts")).alias("low"), "near_parts").select("band", "low", F.explode(every("near_parts")).alias("high"))
+    own = open_bands.select("band", F.explode(every("far_parts")).alias("low"), "far_parts").select("band", "low", F.explode(every("far_parts")).alias("high")).where("low <= high")
+    listed = across.select(side(False, F.col("low")).alias("low"), side(True, F.col("high")).alias("high")).union(own.select(side(False, F.col("low")).alias("low"), side(False, F.col("high")).alias("high")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,7 +356,7 @@ def proposals(units: DataFrame, similarity: float, tile_size: int) -> DataFrame:
                 edges += forest(left, right, lambda p, q, lw=left_words, rw=right_words, ls=left_size, rs=right_size: candidates(lw[p:q], rw, ls[p:q], rs, similarity))
             yield _id_edges(edges)
 
-    return by_head.union(tile_pairs.mapInArrow(compare, "a bigint, b bigint"))
+    return by_head.union(meeting(tiles, listed).mapInArrow(compare, "a bigint, b bigint"))
 
 
 def decided(members: DataFrame, similarity: float, block_rows: int, block_shingles: int) -> DataFrame:
@@ -414,8 +443,10 @@ def keep_one(df: DataFrame, shingle: int = 5, similarity: float = 0.8, tile_size
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("label"), *words_of(distinct, size), pa.ListArray.from_arrays(pa.array(ends), pa.array(distinct.view(np.int64)))], ["node", "label", "size", *_NAMES, "shingles"])
 
-    named = units.select("node", "least.id", "least.sha").join(proposed, "node")
-    texts = docs.join(named.hint("merge"), ["id", "sha"]).dropDuplicates(["id", "sha"]).select("node", "label", "text")
+    named = stored(units.select("node", "least.id", "least.sha").join(proposed, "node"), "named")
+    # texts that no proposed pair has are ruled out where they are
+    asked = with_maybe(docs, F.xxhash64("id", "sha"), named.select(F.xxhash64("id", "sha"))).where("maybe").drop("maybe")
+    texts = asked.join(named.hint("merge"), ["id", "sha"]).dropDuplicates(["id", "sha"]).select("node", "label", "text")
     members = stored(texts.mapInArrow(with_sets, f"node bigint, label bigint, {fields}, shingles array<bigint>"), "proposed")
     labels = connected(decided(members, similarity, block_rows, block_shingles))
     linked = units.join(labels, "node", "left").where("label is not null or n_rows > 1").select("label", "least", *key)
