@@ -111,8 +111,11 @@ GENERATORS = {
 _SECRET_WORDS = ("token", "key", "secret", "passw", "pwd", "auth", "bearer", "credential", "kennwort", "schlüssel", "geheim", "mot de passe", "clé", "jeton", "contraseña", "clave", "secreto")
 _NUMBER_WORDS = ("ssn", "social", "tax", "passport", "id no", "id number", "identity", "sozialversicherung", "steuer", "reisepass", "ausweis", "sécurité sociale", "passeport", "identité", "seguridad social", "pasaporte", "dni", "nif")
 _PHONE_WORDS = ("phone", "tel", "call", "fax", "mobile", "telefon", "anruf", "handy", "rufnummer", "téléphone", "tél", "appel", "portable", "teléfono", "llam", "móvil")
+_MAIL_WORDS = ("mail", "contact", "write", "reach", "kontakt", "schreib", "erreich", "écri", "joindre", "contacte", "escrib", "correo")
+# Endings of domains that addresses in these languages have most.
+_ENDINGS = ("com", "org", "net", "edu", "gov", "info", "biz", "io", "dev", "eu", "de", "at", "ch", "fr", "be", "es", "mx", "ar", "uk", "us", "ca", "au")
 # A secret's name may end in such a word ("apikey"); the others begin with theirs.
-_CONTEXT = {"secret": f"(?iu)(?:{'|'.join(_SECRET_WORDS)})", "number": rf"(?iu)(?<!\p{{L}})(?:{'|'.join(_NUMBER_WORDS)})", "phone": rf"(?iu)(?<!\p{{L}})(?:{'|'.join(_PHONE_WORDS)})"}
+_CONTEXT = {"secret": f"(?iu)(?:{'|'.join(_SECRET_WORDS)})", "number": rf"(?iu)(?<!\p{{L}})(?:{'|'.join(_NUMBER_WORDS)})", "phone": rf"(?iu)(?<!\p{{L}})(?:{'|'.join(_PHONE_WORDS)})", "mail": rf"(?iu)(?:{'|'.join(_MAIL_WORDS)})"}
 
 
 def features(x: Column, kind: str) -> list[Column]:
@@ -133,6 +136,8 @@ def features(x: Column, kind: str) -> list[Column]:
         flag(before.rlike(_CONTEXT["number"])),
         flag(before.rlike(_CONTEXT["phone"])),
         flag(x["after"].rlike(r"^[\"']")),
+        count("-"),
+        *((F.length(F.regexp_extract(value, "([A-Za-z0-9-]+)$", 1)), flag(value.rlike(rf"(?i)(?<![A-Z0-9-])(?:{'|'.join(_ENDINGS)})$")), flag(before.rlike(_CONTEXT["mail"]))) if kind == "masked_email" else (F.lit(0), F.lit(0), F.lit(0))),
         *(flag(F.lit(kind == k)) for k in list(GENERATORS)[1:]),
     ]
 
@@ -144,23 +149,37 @@ def examples(seed: int = 5, n: int = 150) -> list[tuple[str, int, str, str, str]
     low, hexa, full = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     prose = lambda: " ".join(text(low, 2, 8) for _ in range(6))[-r.randint(8, 32) :]
     out = []
+    label = lambda: r.choice((text(low, 3, 10), f"{text(low, 2, 7)} {text(low, 3, 8)}", f"{text(low, 3, 8)}_{text(low, 3, 6)}"))  # noqa: E731  a name that no list knows
     for _ in range(n):
         name = r.choice(("token", "api_key", "secret", "password", "Authorization", "auth_token", "client_secret"))
         set_to = r.choice((" = ", "=", ": ", ":"))
         quote = r.choice(('"', "'", ""))
-        out.append(("secret", 1, r.choice((text(hexa, 24, 64), text(full, 20, 64))), f"{prose()[-12:]} {name}{set_to}{quote}"[-32:], quote))
+        mixed = lambda: r.choice((text(hexa, 24, 64), text(full, 20, 64)))
+        out.append(("secret", 1, mixed(), f"{prose()[-12:]} {r.choice((name, name, label()))}{set_to}{quote}"[-32:], quote))
         out.append(("secret", 0, text(low, 16, 30), f"{prose()} ", " "))  # a long word
         out.append(("secret", 0, text(low, 16, 30), f"{prose()[-12:]} {name} of the "[-32:], " "))
+        out.append(("secret", 0, text(low, 16, 30), f"{prose()[-12:]} {label()}: "[-32:], " "))
         out.append(("secret", 0, text(hexa, 24, 64), f"{prose()} ", " "))  # a digest in prose
         out.append(("secret", 0, text("0123456789", 16, 20), f"{prose()} ", " "))
-        out.append(("secret", 0, "/".join(text(low, 3, 9) for _ in range(4)), f"{prose()[-9:]} {r.choice(('path', 'url', 'file'))}{set_to}{quote}"[-32:], quote))
+        out.append(("secret", 0, "/".join(text(low, 3, 9) for _ in range(4)), f"{prose()[-9:]} {r.choice(('path', 'url', 'file', label()))}{set_to}{quote}"[-32:], quote))
         grouped = f"{text('0123456789', 3, 3)}-{text('0123456789', 2, 2)}-{text('0123456789', 4, 4)}"
         out.append(("id_number", 1, grouped, f"{prose()} {r.choice(('SSN', 'ssn', 'social security', 'tax id', 'passport'))}{r.choice((': ', ' ', ' no. '))}"[-32:], " "))
-        out.append(("id_number", 0, grouped.replace("-", " "), f"{prose()} ", " "))
-        local = r.choice((f"({text('0123456789', 3, 3)}) ", "")) + f"{text('0123456789', 3, 3)}-{text('0123456789', 4, 4)}"
+        out.append(("id_number", 1, grouped, f"{prose()} {label()}: "[-32:], " "))
+        out.append(("id_number", 0, r.choice((grouped, grouped.replace("-", " "))), f"{prose()} ", " "))
+        out.append(("id_number", 0, grouped.replace("-", " "), f"{prose()} {label()}: "[-32:], " "))
+        digits = lambda k: text("0123456789", k, k)
+        local = r.choice((f"({digits(3)}) ", "")) + f"{digits(3)}-{digits(4)}"
         out.append(("local_phone", 1, local, f"{prose()} {r.choice(('phone', 'tel.', 'call', 'fax', 'mobile'))}{r.choice((': ', ' '))}"[-32:], " "))
-        out.append(("local_phone", 0, r.choice((f"{r.randint(1900, 2030)}-{r.randint(1900, 2030)}", f"{text('0123456789', 2, 3)}.{text('0123456789', 3, 3)}", local)), f"{prose()} ", " "))
-        out.append(("masked_email", 1, f"{text(low, 3, 9)} {r.choice(('(at)', '[at]'))} {text(low, 3, 9)} {r.choice(('(dot)', '[dot]'))} com", f"{prose()} ", " "))
+        out.append(("local_phone", 1, f"({digits(3)}) {digits(3)}-{digits(4)}", f"{prose()} {label()}: "[-32:], " "))
+        years = f"{r.randint(1900, 2030)}-{r.randint(1900, 2030)}"
+        out.append(("local_phone", 0, r.choice((years, f"{digits(2)}.{digits(3)}", f"{digits(3)} {digits(3)}", local)), f"{prose()} ", " "))
+        out.append(("local_phone", 0, r.choice((years, f"{digits(3)}.{digits(3)}", f"{digits(3)} {digits(3)}")), f"{prose()} {label()}: "[-32:], " "))
+        at, dot, gap = r.choice((("(at)", "(dot)"), ("[at]", "[dot]"), ("(AT)", "(DOT)"))) + (r.choice((" ", "")),)
+        domain = f"{text(low, 3, 9)}{gap}{dot}{gap}{r.choice((text(low, 3, 8) + gap + dot + gap, ''))}"
+        lead = f"{prose()[-18:]} {r.choice(('', 'mail: ', 'contact ', label() + ' '))}"[-32:]
+        out.append(("masked_email", 1, f"{text(low, 3, 9)}{r.choice(('', '.' + text(low, 3, 8)))}{gap}{at}{gap}{domain}{r.choice(_ENDINGS)}", lead, " "))
+        out.append(("masked_email", 0, f"{text(low, 2, 9)}{gap}{at}{gap}{domain}{text(low, 3, 9)}", f"{prose()[-18:]} ", " "))  # speech that spells signs out
+        out.append(("masked_email", 0, f"{text(low, 2, 9)} {at} {digits(1)} {dot} {digits(2)}", f"{prose()[-18:]} {r.choice(('', label() + ': '))}"[-32:], " "))
     return out
 
 

@@ -242,3 +242,44 @@ def test_pipeline_on_awkward_rows(spark, odd):
         assert stage(spark, empty, "").count() == 0
     assert docs.where("size(ids) <> length").count() == 0 and docs.count() > 0
     assert not re.search("clash", " ".join(docs.columns))
+
+
+def planted_spans():
+    """Texts in four languages around spans of each added kind and look-alikes, in wordings that neither the lists of context words nor the examples have."""
+    import random
+
+    r = random.Random(91)
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    mixed = lambda k: "".join(r.choice("abcdefABCDEF0123456789xyzXYZ") for _ in range(k))
+    frames = {
+        "secret": (["Deploy with signing_hash = '{}' today.", "Zugangscode: {} bitte nicht teilen.", "Le sésame = {} expire demain.", "El código: {} caduca pronto."], lambda: mixed(32)),
+        "id_number": (["Member ref: {} is on file.", "Versichertennr.: {} liegt vor.", "Matricule: {} est connu.", "Expediente: {} consta aquí."], lambda: f"{digits(3)}-{digits(2)}-{digits(4)}"),
+        "local_phone": (["Front desk: {} until noon.", "Zentrale: {} bis mittags.", "Accueil: {} avant midi.", "Recepción: {} por la mañana."], lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"),
+        "masked_email": (["Ask anna.{}", "Fragen an info-{}", "Questions pour paul.{}", "Preguntas a luis.{}"], lambda: r.choice(("k (at) firm (dot) com", "b[at]amt[dot]de", "q (at) mairie (dot) fr", "z (AT) correo (DOT) es"))),
+    }
+    alike = {
+        "secret": ["We saw {} in the list.", "Das Wort {} ist lang.", "Voir {} plus loin.", "La ruta {} sigue."],
+        "id_number": ["Rows {} were read.", "Zeilen {} gelesen.", "Lignes {} lues.", "Filas {} leídas."],
+        "local_phone": ["From {} it rained.", "Von {} regnete es.", "De {} il a plu.", "De {} llovió."],
+        "masked_email": ["Meet {} sharp.", "Treff {} dann.", "Venez {} vite.", "Venid {} pronto."],
+    }
+    fakes = {"secret": lambda: r.choice(("internationalisation", "usr/share/local/files", "Donaudampfschifffahrt")), "id_number": lambda: f"{digits(3)} {digits(2)} {digits(4)}", "local_phone": lambda: f"{r.randint(1900, 1999)}-{r.randint(2000, 2020)}", "masked_email": lambda: r.choice(("us (at) noon (dot) perhaps", "him [at] home [dot] then", "me (at) seven (dot) thirty"))}
+    rows = []
+    for kind, (texts, made) in frames.items():
+        for k in range(80):
+            rows.append((kind, True, f"Words come before it {'and go ' * r.randint(1, 5)}on. " + texts[k % 4].format(made()) + " More follows."))
+            rows.append((kind, False, f"Words come before it {'and go ' * r.randint(1, 5)}on. " + alike[kind][k % 4].format(fakes[kind]()) + " More follows."))
+    return rows
+
+
+def test_pii_recall_and_precision_by_kind_on_wordings_of_its_own(spark):
+    rows = planted_spans()
+    df = spark.createDataFrame([(k, text) for k, (_, _, text) in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: {s.split(":")[0] for s in r.spans.split(",") if s} for r in pii.find(df).collect()}
+    for kind in pii.GENERATORS:
+        hits = [(real, kind in found[k]) for k, (own, real, _) in enumerate(rows) if own == kind]
+        recall = sum(h for real, h in hits if real) / sum(real for real, _ in hits)
+        wrong = sum(kind in found[k] for k, (own, real, _) in enumerate(rows) if not (own == kind and real))
+        precision = sum(h for real, h in hits if real) / max(1, sum(h for real, h in hits if real) + wrong)
+        print(kind, round(recall, 3), round(precision, 3))
+        assert recall >= 0.9 and precision >= 0.9, kind
