@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -126,40 +124,45 @@ def heal_candidates(pages: DataFrame) -> DataFrame:
     return pages.select("slug", F.posexplode(F.filter(hints, lambda h: F.trim(F.coalesce(h, F.lit(""))) != "")).alias("ord", "hint"))
 
 
-def heal_edit(df: DataFrame, text: str, old: str, new: str, out: str = "healed") -> DataFrame:
-    """Replaces the first ``hint:`` line with the old hint, quoted or not, by the new one in double quotes; others stay."""
+#: A line that gives a hint: what stands before its value, the value, and blanks behind it.
+_HINT_LINE = r"^([ \t]*(?:- +)?hint:[ \t]*)(.*?)([ \t\r]*)$"
+
 
-    @F.pandas_udf("string")
-    def edit(texts: pd.Series, olds: pd.Series, news: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else _first_hint(t, a, b) or t for t, a, b in zip(texts, olds, news, strict=True)])
+def hint_of(line: Column) -> Column:
+    """The hint that a line gives, without quotes around it; null for other lines."""
+    value = F.regexp_extract(line, _HINT_LINE, 2)
+    mark = F.left(value, F.lit(1))
+    enclosed = mark.isin("'", '"') & (F.length(value) > 1) & (F.right(value, F.lit(1)) == mark)
+    return F.when(line.rlike(_HINT_LINE), F.when(enclosed, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value))
 
-    return df.withColumn(out, edit(text, old, new))
+
+def _with_hint(lines: Column, old: Column, new: Column) -> Column:
+    """The lines with the first that gives the old hint giving the new one, in double quotes; null if none gives it."""
+    written = F.concat(F.lit('"'), F.replace(new, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    place = lambda found: F.array_position(found, F.lit(True)).cast("int") - 1
+    given = F.transform(lines, lambda line: F.coalesce(hint_of(line) == old, F.lit(False)))
+    spliced = lambda line: F.concat(F.regexp_extract(line, _HINT_LINE, 1), written, F.regexp_extract(line, _HINT_LINE, 3))
+    edit = lambda at: F.when(at >= 0, F.transform(lines, lambda line, k: F.when(k == at, spliced(line)).otherwise(line)))
+    return F.element_at(F.transform(F.array(place(given)), edit), 1)
+
+
+def heal_edit(df: DataFrame, text: str, old: str, new: str, out: str = "healed") -> DataFrame:
+    """Sets the first line with the old hint, quoted or not, to the new one in double quotes; other texts stay."""
+    healed = _with_hint(F.split(F.col(text), "\n", -1), F.col(old), F.col(new))
+    return df.withColumn(out, F.coalesce(F.array_join(healed, "\n"), F.col(text)))
 
 
 def apply_heals(pages: DataFrame, heals: DataFrame, text: str = "text") -> DataFrame:
     """``slug``, the ``text`` after all its heals (``old``, ``new``) in order of the old hints, and how many of them found their hint."""
     listed = heals.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("old", "new"))).alias("heals"))
+    start = F.struct(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("lines"), F.lit(0).alias("applied"))
+
+    def step(state: Column, heal: Column) -> Column:
+        after = F.array(_with_hint(state["lines"], heal["old"], heal["new"]))
+        return F.element_at(F.transform(after, lambda lines: F.when(lines.isNotNull(), F.struct(lines.alias("lines"), (state["applied"] + 1).alias("applied"))).otherwise(state)), 1)
 
-    @F.pandas_udf("text string, applied int")
-    def edit(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, own in zip(texts, lists, strict=True):
-            applied = 0
-            for heal in own:
-                healed = _first_hint(t, heal["old"], heal["new"])
-                applied += healed is not None
-                t = t if healed is None else healed
-            out.append((t, applied))
-        return pd.DataFrame(out, columns=["text", "applied"])
-
-    return pages.join(listed, "slug").withColumn("h", edit(F.coalesce(text, F.lit("")), "heals")).select("slug", F.col("h.text").alias("text"), F.col("h.applied").alias("applied"))
-
-
-def _first_hint(text: str, old: str, new: str) -> str | None:
-    """The text with its first ``hint:`` of the old hint, quoted or not, set to the new one in double quotes; ``None`` without any."""
-    quoted = '"' + new.replace('"', '\\"') + '"'
-    healed, n = re.subn(rf"(hint:\s*)(['\"]?){re.escape(old)}\2", lambda m: m[1] + quoted, text, count=1)
-    return healed if n else None
+    healed = pages.join(listed, "slug").withColumn("h", F.aggregate("heals", start, step))
+    return healed.select("slug", F.array_join("h.lines", "\n").alias("text"), F.col("h.applied").alias("applied"))
 
 
 def by_kind(pages: DataFrame) -> DataFrame:

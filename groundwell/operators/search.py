@@ -22,7 +22,7 @@ from groundwell.operators.security import Scope, secured
 _SCORES = 1 << 21
 
 
-def _matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def unit_matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Rows of unit length as one matrix, padded with zeros, and how long each row was; null counts as empty."""
     vectors = vectors.cast(pa.list_(pa.float64()))
     length = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -50,14 +50,14 @@ def vector_topk(df: DataFrame, queries: DataFrame, k: int, id_col: str, vector:
 
     def best(own: DataFrame) -> DataFrame:
         held = own.toArrow()  # a block of queries
-        names, (wanted, wanted_length) = held.column("qid").combine_chunks(), _matrix(held.column("v").combine_chunks())
+        names, (wanted, wanted_length) = held.column("qid").combine_chunks(), unit_matrix(held.column("v").combine_chunks())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 strip = max(1, _SCORES // max(len(names), 1))
                 for at in range(0, batch.num_rows if len(names) else 0, strip):
                     part = batch.slice(at, strip)
-                    vectors, length = _matrix(part.column("v"))
+                    vectors, length = unit_matrix(part.column("v"))
                     width = min(vectors.shape[1], wanted.shape[1])
                     scores = np.where(length[:, None] == wanted_length[None, :], vectors[:, :width] @ wanted[:, :width].T, 0.0)
                     order = np.round(scores, 9)
@@ -149,14 +149,14 @@ def vector_ranks(df: DataFrame, queries: DataFrame, targets: DataFrame, id_col:
         qid, target, at = (held.column(x).combine_chunks() for x in ("qid", "id", "at"))
         place = qid.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(qid) else np.zeros(0, np.int64)
         begins = np.searchsorted(place, np.arange(place.max(initial=-1) + 2))
-        wanted, wanted_length = _matrix(held.column("q").combine_chunks().take(pa.array(begins[:-1])))
+        wanted, wanted_length = unit_matrix(held.column("q").combine_chunks().take(pa.array(begins[:-1])))
         target_ids, target_at = np.array(target.to_pylist(), object), at.to_numpy(zero_copy_only=False)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(target_ids), np.int64)
             for batch in batches:
                 ids = np.array(batch.column("id").to_pylist(), object)
-                vectors, length = _matrix(batch.column("v"))
+                vectors, length = unit_matrix(batch.column("v"))
                 width = min(vectors.shape[1], wanted.shape[1])
                 for j in range(len(begins) - 1):
                     order = np.round(np.where(length == wanted_length[j], vectors[:, :width] @ wanted[j, :width], 0.0), 9)

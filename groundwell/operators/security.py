@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,12 @@ def departments_csv(scope: Scope | None) -> str:
     return ",".join(scope.departments()) if scope else ""
 
 
+def departments_of(roles: Column, team: Column, clearance: Column) -> Column:
+    """:meth:`Scope.departments` of many callers that a table holds, joined by commas."""
+    names = F.filter(F.concat(F.coalesce(roles, F.array().cast("array<string>")), F.array(team, clearance)), lambda x: F.coalesce(x, F.lit("")) != "")
+    return F.array_join(F.array_sort(F.array_distinct(names)), ",")
+
+
 def visible(docs: DataFrame, scope: Scope | None) -> DataFrame:
     """Documents whose ``allowed_depts`` overlap the scope's; none for no scope or an empty one."""
     names = scope.departments() if scope else ()

@@ -145,7 +145,7 @@ class KeywordIndex:
         heads = self._asked_blocks("blocks", asked).select("term", "segment", "slice", "n", "max_tf", "min_len").join(terms, "term", "left_semi")
         heads = stored(heads.withColumn("id", F.struct("segment", "slice")), "heads")
         counts = heads.select("term", "n").union(self._asked_blocks("minus", asked).join(terms, "term", "left_semi").select("term", "n"))
-        total = self.table("counts").agg(F.sum("n").alias("n_docs"), (F.sum("len") / F.sum("n")).alias("avg_len"))
+        total = self.table("counts").agg(F.sum("n").alias("n_docs"), F.try_divide(F.sum("len"), F.sum("n")).alias("avg_len"))
         idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(floor_idf))
         # one row of totals
         weighted = asked.join(counts.groupBy("term").agg(F.sum("n").alias("df")).where("df > 0"), "term").crossJoin(F.broadcast(total)).withColumn("idf", idf)

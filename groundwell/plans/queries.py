@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from groundwell.functions import text as tx
 from groundwell.functions import vectors as vx
 from groundwell.operators import chunking, evaluation, fetch, governance, index, lexical, search, security
+from groundwell.operators.stored_index import KeywordIndex
+from groundwell.operators.vector_lists import VectorLists, recall
 from groundwell.sources import parse, store
 from groundwell.sources.tables import read_table, shared_folder, stored
 from groundwell.streaming import events as ev
@@ -40,6 +42,43 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return read_table(spark, f"{sf}/{name}.parquet", _KEYS[name])
 
 
+_BUILT: dict = {}
+
+
+def _once(spark: SparkSession, sf: str, table: str, kind: str, build):
+    """What ``build`` stores for a table, once for each application and state of its files; later queries read it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{table}.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = [path] if files.getFileStatus(path).isFile() else [x.getPath() for x in files.listStatus(path)]
+    state = tuple(sorted((f.toString(), files.getFileStatus(f).getModificationTime(), files.getFileStatus(f).getLen()) for f in listed))
+    key = (spark.sparkContext.applicationId, kind, state)
+    if key not in _BUILT:
+        _BUILT[key] = build(shared_folder(spark, kind))
+    return _BUILT[key]
+
+
+def _keyword_index(spark: SparkSession, sf: str) -> KeywordIndex:
+    """The stored keyword index of the documents."""
+
+    def build(path: str) -> KeywordIndex:
+        made = KeywordIndex(spark, path)
+        made.add(_t(spark, sf, "documents"), "doc_id", _words())
+        return made
+
+    return _once(spark, sf, "documents", "keyword-index", build)
+
+
+def _vector_lists(spark: SparkSession, sf: str) -> VectorLists:
+    """The stored lists of the vectors."""
+
+    def build(path: str) -> VectorLists:
+        made = VectorLists(spark, path)
+        made.build(_t(spark, sf, "embeddings"), "vec_id")
+        return made
+
+    return _once(spark, sf, "embeddings", "vector-lists", build)
+
+
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     docs = _t(spark, sf, "documents")
     depts = F.when(F.col("lang") == "en", F.array("lang", "source", F.lit("all"))).otherwise(F.array("lang", "source"))
@@ -156,6 +195,26 @@ def cosine_topk(spark, sf):
     return _vector_hits(spark, sf).select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(f"WITH {_TOPK} SELECT qid, id, round(s, 6) AS score, rank FROM topk")
+def vector_lists_exact(spark, sf):
+    """From the stored lists; lists that cannot hold anything nearer are left out."""
+    vectors = _t(spark, sf, "embeddings")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector"))
+    found = _vector_lists(spark, sf).search(asked, 10)
+    return found.select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("SELECT count(*) AS n_queries, true AS reached FROM embeddings WHERE vec_id % 50 = 0")
+def vector_lists_recall(spark, sf):
+    """The nearest lists alone, as many as were found to be needed: whether nine tenths of the exact ten are found."""
+    vectors = _t(spark, sf, "embeddings")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector"))
+    lists = _vector_lists(spark, sf)
+    found = lists.search(asked, 10, lists.tuned_probes(vectors.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector")), 10), exact=False)
+    share = recall(found, _vector_hits(spark, sf))
+    return asked.agg(F.count("*").alias("n_queries")).withColumn("reached", F.lit(share >= 0.9))
+
+
 @query(f"""WITH {_TOPK}, r AS (SELECT q.vec_id AS qid, min(rank) FILTER (WHERE e.label = q.label AND e.vec_id <> q.vec_id) AS rank FROM embeddings q LEFT JOIN topk t ON t.qid = q.vec_id LEFT JOIN embeddings e ON e.vec_id = t.id WHERE q.vec_id % 50 = 0 GROUP BY 1)
 SELECT round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 3) AS recall_at_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 3) AS recall_at_3, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 3) AS recall_at_5, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM r""")
 def recall_and_mrr(spark, sf):
@@ -232,13 +291,47 @@ def _words(column="text"):
 
 @query(f"WITH {_WORDS}, r AS (SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, id) AS rank FROM bm QUALIFY rank <= 10) SELECT qid, id, round(s, 6) AS score, rank FROM r")
 def bm25_topk(spark, sf):
-    scored = lexical.bm25(_t(spark, sf, "documents"), hints(spark, sf), "doc_id", _words(), _words("hint"), match_all=False)
+    """From the stored index, with early ending."""
+    found = _keyword_index(spark, sf).search(hints(spark, sf), _words("hint"), 10, match_all=False)
+    return found.select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"WITH {_WORDS}, r AS (SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, id) AS rank FROM am QUALIFY rank <= 10) SELECT qid, id, round(s, 6) AS score, rank FROM r")
+def bm25_texts(spark, sf):
+    """Without an index: texts are cut and met by the rarest word."""
+    scored = lexical.bm25(_t(spark, sf, "documents"), hints(spark, sf), "doc_id", _words(), _words("hint"))
     return lexical.ranked(scored, 10).select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"WITH {_WORDS} SELECT qid, id FROM am")
 def and_match(spark, sf):
-    return lexical.and_match(_t(spark, sf, "documents"), hints(spark, sf), "doc_id", _words(), _words("hint"))
+    return _keyword_index(spark, sf).and_match(hints(spark, sf), _words("hint"))
+
+
+@query(r"""WITH q AS (SELECT item_id AS qid, regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:4] AS w FROM benchmark), d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+g AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM d), h AS (SELECT id, w[i] AS a, w[i:i + 3] AS p FROM g)
+SELECT qid, id, count(*) AS times FROM q JOIN h ON h.a = q.w[1] AND h.p[1:len(q.w)] = q.w GROUP BY 1, 2""")
+def phrase_places(spark, sf):
+    """Documents in which the first four words of a hint stand one after another, by the places in the index."""
+    return _keyword_index(spark, sf).phrase_match(hints(spark, sf), F.slice(_words("hint"), 1, 4))
+
+
+_CHANGED = r"""now AS (SELECT doc_id AS id, text FROM documents WHERE doc_id % 7 <> 3 AND doc_id % 10 <> 1 UNION ALL SELECT doc_id, text || ' ' || (SELECT min(text) FROM benchmark) FROM documents WHERE doc_id % 10 = 1),
+dw AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM now), dl AS (SELECT id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS len FROM now)"""
+
+
+@query(f"WITH {_CHANGED}, {_WORDS[_WORDS.index("qt AS"):]}, r AS (SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, id) AS rank FROM bm QUALIFY rank <= 10) SELECT qid, id, round(s, 6) AS score, rank FROM r")
+def index_after_changes(spark, sf):
+    """The index after a seventh of the documents is removed and a tenth is replaced by longer texts, made one again at last."""
+    docs = _t(spark, sf, "documents")
+    made = KeywordIndex(spark, shared_folder(spark, "changed-index"))
+    made.add(docs, "doc_id", _words())
+    made.remove(docs.where("doc_id % 7 = 3").select(F.col("doc_id").alias("id")))
+    more = hints(spark, sf).agg(F.min("hint").alias("hint"))
+    made.add(docs.where("doc_id % 10 = 1").crossJoin(F.broadcast(more)).withColumn("text", F.concat_ws(" ", "text", "hint")), "doc_id", _words())  # one row
+    made.compact()
+    found = made.search(hints(spark, sf), _words("hint"), 10, match_all=False)
+    return found.select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"""WITH {_WORDS}, o AS (SELECT qid, id, count(*) AS s FROM qt JOIN tf USING (term) GROUP BY 1, 2), r AS (SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM o QUALIFY rank <= 10) SELECT qid, id, s::DOUBLE AS score, rank FROM r""")
@@ -626,10 +719,11 @@ def vector_parts(spark, sf):
     return rows.select("vec_id", F.round(vx.cosine_distance("embedding", F.reverse("embedding")), 6).alias("distance"), vx.cosine_distance("embedding", zero).alias("from_zero"), vx.cosine("embedding", F.slice("embedding", 1, 9)).alias("other_length"), vx.literal(F.array(F.col("label").cast("double"), F.lit(-1.5))).alias("written"))
 
 
-@query("SELECT * FROM (VALUES (0, ''), (1, ''), (2, 'all'), (3, 'a,all,b,z')) AS t(n, csv)")
+@query("""SELECT source, array_to_string(list_sort(list_distinct(list_filter(list_concat(list(DISTINCT lang), [source, CASE WHEN bool_or(lang = 'en') THEN 'all' END, '']), lambda x: x IS NOT NULL AND x <> ''))), ',') AS csv FROM documents GROUP BY source""")
 def scope_lists(spark, sf):
-    scopes = (None, security.Scope(), security.Scope(frozenset({"all"})), security.Scope(frozenset({"b", "all"}), team="z", clearance="a"))
-    return spark.createDataFrame([(n, security.departments_csv(s)) for n, s in enumerate(scopes)], "n int, csv string")
+    """What a caller of each source may see: its languages as roles, the source as team, and all as clearance where it has English texts."""
+    callers = corpus(spark, sf).groupBy("source").agg(F.collect_set("lang").alias("roles"), F.max(F.when(F.col("lang") == "en", "all")).alias("clearance"))
+    return callers.select("source", security.departments_of(F.array_append("roles", F.lit("")), F.col("source"), F.col("clearance")).alias("csv"))
 
 
 _FILES = """fl AS (SELECT doc_id, text, doc_id % 7 AS k, 'a/my-doc_' || doc_id || ['.md', '.csv', '.py', '.PNG', '.bin', '.markdown', '.tsv'][doc_id % 7 + 1] AS uri FROM documents WHERE text <> '')"""
@@ -657,21 +751,21 @@ def parsed_files(spark, sf):
     return found.select("source_uri", "title", F.size("sections").cast("bigint").alias("n_sections"), F.array_join("sections.loc", "|").alias("locs"), F.sha2(tx.full_text("sections"), 256).alias("text_sha256"))
 
 
-_LINES = r"""whole AS (SELECT regexp_replace(string_agg(item_id || ' ' || replace(replace(text, chr(10), ' '), '#', ''), chr(10) ORDER BY item_id), '^\s+|\s+$', '', 'g') AS t FROM benchmark)"""
-
-
-@query(rf"WITH {_LINES}, c AS (SELECT unnest(CASE WHEN length(t) <= 1500 THEN [0] ELSE range(0, length(t), 1300) END) AS start, t FROM whole), d AS (SELECT start, regexp_replace(substr(t, start + 1, 1500), '^\s+|\s+$', '', 'g') AS chunk_text FROM c) SELECT row_number() OVER (ORDER BY start) - 1 AS chunk_index, chunk_text, 'Section Intro' AS loc, 'ingested' AS status, 1::BIGINT AS n_documents FROM d WHERE chunk_text <> ''")
+@query(r"""WITH t AS (SELECT item_id, regexp_replace(item_id || ' ' || replace(replace(text, chr(10), ' '), '#', ''), '^\s+|\s+$', '', 'g') AS t FROM benchmark), c AS (SELECT item_id, unnest(CASE WHEN length(t) <= 1500 THEN [0] ELSE range(0, length(t), 1300) END) AS start, t FROM t),
+d AS (SELECT item_id, start, regexp_replace(substr(t, start + 1, 1500), '^\s+|\s+$', '', 'g') AS chunk_text FROM c)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY start) - 1 AS chunk_index, chunk_text, 'Section Intro' AS loc, 'ingested' AS status, (SELECT count(*) FROM benchmark) AS n_documents FROM d WHERE chunk_text <> ''""")
 def ingested_directory(spark, sf):
-    """A file is scanned, parsed, cut and stored, twice; the chunks of the last version."""
+    """A file for each hint is scanned, parsed, cut and stored, twice; the chunks of the last version."""
     folder = shared_folder(spark, "files")
-    lines = _t(spark, sf, "benchmark").select("item_id", F.concat_ws(" ", "item_id", F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("#"), F.lit(""))).alias("line"))
-    lines.coalesce(1).sortWithinPartitions("item_id").select("line").write.text(folder)
+    line = F.concat_ws(" ", "item_id", F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("#"), F.lit("")))
+    _t(spark, sf, "benchmark").select("item_id", line.alias("line")).repartition("item_id").write.partitionBy("item_id").text(folder)
     vault = store.VersionedTables(spark, shared_folder(spark, "vault"))
     for _ in range(2):
         status = store.ingest(parse.scan_directory(spark, folder), vault, ["all"])
-    chunks = vault.read("chunks", "doc_id string, chunk_index int, chunk_text string, loc string")
+    chunks = vault.read("chunks", "doc_id string, source_uri string, chunk_index int, chunk_text string, loc string")
     docs = vault.read("documents", "doc_id string").agg(F.count("*").alias("n_documents"))
-    return chunks.join(status.select("doc_id", "status"), "doc_id").crossJoin(F.broadcast(docs)).select(F.col("chunk_index").cast("bigint").alias("chunk_index"), "chunk_text", "loc", "status", "n_documents")  # one row of totals
+    item = F.regexp_extract("source_uri", r"item_id=(\d+)/", 1).cast("bigint").alias("item_id")
+    return chunks.join(status.select("doc_id", "status"), "doc_id").crossJoin(F.broadcast(docs)).select(item, F.col("chunk_index").cast("bigint").alias("chunk_index"), "chunk_text", "loc", "status", "n_documents")  # one row of totals
 
 
 @query(f"WITH {_CHUNKS} SELECT doc_id, count(chunks.start) AS chunks_count, CASE WHEN count(chunks.start) = 0 THEN 'skipped_empty' ELSE 'dry_run' END AS status FROM documents LEFT JOIN chunks USING (doc_id) GROUP BY 1")
@@ -703,24 +797,30 @@ def fallback_summaries(spark, sf):
     return search.fallback_hits(hits)
 
 
-@query(r"""WITH t AS (SELECT item_id, replace(left(text, 30), chr(10), ' ') AS v FROM benchmark), n AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN regexp_replace(v, '[^\p{L} ]', '', 'g') || 'x' WHEN 1 THEN 'a: "' || v || '"' ELSE 'yes' END AS title FROM t),
-q AS (SELECT item_id, title, CASE WHEN regexp_matches(title, '^[\p{L}][\p{L}\p{N} _./,()-]*$') AND lower(title) <> 'yes' THEN title ELSE '"' || replace(title, '"', '\"') || '"' END AS quoted FROM n)
-SELECT item_id, 'concept/' || replace(lower(title), ' ', '-') || '.md' AS rel, '---' || chr(10) || 'type: concept' || chr(10) || 'title: ' || quoted || chr(10) || 'summary: ' || quoted || chr(10) || 'entities: []' || chr(10) || 'department: all' || chr(10) || 'last_compiled: 2026-01-01' || chr(10) || 'sources:' || chr(10) || '  - path: raw/' || item_id || chr(10) || '    hint: h' || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || title || chr(10) AS text FROM q""")
+_YAML = r"""CASE WHEN regexp_matches({0}, '^[\p{{L}}][\p{{L}}\p{{N}} _./,()-]*$') AND NOT ends_with({0}, ' ') AND lower({0}) <> 'yes' THEN {0} ELSE '"' || replace(replace(replace({0}, '\', '\\'), '"', '\"'), chr(10), '\n') || '"' END"""
+
+
+@query(rf"""WITH n AS (SELECT item_id, text, CASE item_id % 3 WHEN 0 THEN 'Note ' || item_id WHEN 1 THEN 'a: "' || item_id || '"' ELSE 'yes' END AS title FROM benchmark)
+SELECT item_id, 'concept/' || replace(lower(title), ' ', '-') || '.md' AS rel, '---' || chr(10) || 'type: concept' || chr(10) || 'title: ' || {_YAML.format("title")} || chr(10) || 'summary: ' || {_YAML.format("text")} || chr(10) || 'entities: []' || chr(10) || 'department: all' || chr(10) || 'last_compiled: 2026-01-01' || chr(10) || 'sources:' || chr(10) || '  - path: raw/' || item_id || chr(10) || '    hint: h' || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || text || chr(10) AS text FROM n""")
 def compiled_pages(spark, sf):
-    short = F.replace(F.left("text", F.lit(30)), F.lit("\n"), F.lit(" "))
-    title = F.when(F.col("item_id") % 3 == 0, F.concat(F.regexp_replace(short, r"[^\p{L} ]", ""), F.lit("x"))).when(F.col("item_id") % 3 == 1, F.concat(F.lit('a: "'), short, F.lit('"'))).otherwise("yes")
-    notes = _t(spark, sf, "benchmark").select(title.alias("title"), F.lit("concept").alias("category"), title.alias("summary"), F.concat(F.lit("raw/"), "item_id").alias("path"), F.lit("h").alias("hint"))
+    """A page for each hint, whose whole text is the summary."""
+    title = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("Note "), "item_id")).when(F.col("item_id") % 3 == 1, F.concat(F.lit('a: "'), "item_id", F.lit('"'))).otherwise("yes")
+    notes = _t(spark, sf, "benchmark").select(title.alias("title"), F.lit("concept").alias("category"), F.col("text").alias("summary"), F.concat(F.lit("raw/"), "item_id").alias("path"), F.lit("h").alias("hint"))
     made = governance.compile_page(notes, "2026-01-01")
-    return made.select(F.regexp_extract("text", r"path: raw/(\d+)", 1).cast("bigint").alias("item_id"), "rel", "text")
+    return made.select(F.regexp_extract("text", r"\n  - path: raw/(\d+)\n    hint: h\n---", 1).cast("bigint").alias("item_id"), "rel", "text")
 
 
-@query(r"""SELECT item_id, CASE WHEN item_id % 4 = 3 THEN 'nothing' ELSE '  - hint: "new ' || item_id || '"' || chr(10) || '  - hint: ' || CASE WHEN item_id % 2 = 0 THEN '"old (*)"' ELSE 'old (*)' END || chr(10) || '  - hint: "two"' END AS text, CASE WHEN item_id % 4 = 3 THEN 0 ELSE 2 END AS applied, '- [now] heal (drift): p' || item_id || ': old (*) -> new ' || item_id AS line FROM benchmark""")
+@query(r"""WITH t AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS v FROM benchmark)
+SELECT item_id, CASE WHEN item_id % 4 = 3 THEN v ELSE '  - hint: "now ' || replace(v, '"', '\"') || '"' || chr(10) || '  - hint: ' || CASE WHEN item_id % 2 = 0 THEN '"' || v || '"' ELSE v END || chr(10) || '  - hint: "two"' END AS text,
+  CASE WHEN item_id % 4 = 3 THEN 0 ELSE 2 END AS applied, '- [now] heal (drift): p' || item_id || ': ' || v || ' -> now ' || v AS line FROM t""")
 def applied_heals(spark, sf):
-    items = _t(spark, sf, "benchmark").select("item_id", F.concat(F.lit("p"), "item_id").alias("slug"), F.concat(F.lit("new "), "item_id").alias("new"))
-    hint = F.when(F.col("item_id") % 2 == 0, '"old (*)"').otherwise("old (*)")
-    pages = items.select("item_id", "slug", F.when(F.col("item_id") % 4 == 3, "nothing").otherwise(F.concat(F.lit("  - hint: "), hint, F.lit("\n  - hint: "), hint, F.lit("\n  - hint: 'zwei'"))).alias("text"))
-    heals = items.select("slug", F.lit("old (*)").alias("old"), "new").union(items.select("slug", F.lit("zwei"), F.lit("two")))
-    log = governance.heal_log(items.select("slug", F.lit("old (*)").alias("old"), "new", F.lit("drift").alias("trigger")), "now").select(F.regexp_extract("value", r": (p\d+):", 1).alias("slug"), F.col("value").alias("line"))
+    """Pages that name each hint twice, quoted or not, and a third one; every fourth is a text without sources."""
+    hint = F.trim(F.regexp_replace("text", r"\s+", " "))
+    items = _t(spark, sf, "benchmark").select("item_id", F.concat(F.lit("p"), "item_id").alias("slug"), hint.alias("old"), F.concat(F.lit("now "), hint).alias("new"))
+    written = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit('"'), "old", F.lit('"'))).otherwise(F.col("old"))
+    pages = items.select("item_id", "slug", F.when(F.col("item_id") % 4 == 3, F.col("old")).otherwise(F.concat(F.lit("  - hint: "), written, F.lit("\n  - hint: "), written, F.lit("\n  - hint: 'zwei'"))).alias("text"))
+    heals = items.select("slug", "old", "new").union(items.select("slug", F.lit("zwei"), F.lit("two")))
+    log = governance.heal_log(items.select("slug", "old", "new", F.lit("drift").alias("trigger")), "now").select(F.regexp_extract("value", r": (p\d+):", 1).alias("slug"), F.col("value").alias("line"))
     return governance.apply_heals(pages, heals).join(log, "slug").select(F.substring("slug", 2, 20).cast("bigint").alias("item_id"), "text", "applied", "line")
 
 
