@@ -136,13 +136,14 @@ def tokens_per_second(completion: Column, latency_ms: Column) -> Column:
     return F.when(latency_ms > 0, F.round(completion / (latency_ms / 1000), 2)).otherwise(0).cast("decimal(10,2)")
 
 
-def token_count(text: Column | str, encode: Callable[[str], list[int]] | None = None) -> Column:
-    """Number of tokens: words between white space, or what ``encode`` (a tokenizer's function) makes of each text."""
-    if encode is None:
+def token_count(text: Column | str, encode: Callable[[str], list[int]] | None = None, encode_batch: Callable[[list[str]], list] | None = None) -> Column:
+    """Number of tokens: words between white space, or what a tokenizer makes of each text: its function for one text, or for the texts of an Arrow batch at a time."""
+    if encode is None and encode_batch is None:
         return F.size(F.filter(F.split(_col(text), r"\s+"), lambda x: x != "")).cast("bigint")
+    batch = encode_batch or (lambda texts: [encode(t) for t in texts])
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: len(encode(t or "")))
+        return pd.Series([len(x) for x in batch(texts.fillna("").tolist())], dtype="int64")
 
     return count(_col(text))

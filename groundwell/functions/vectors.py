@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import urllib.request
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,16 +84,26 @@ def hash_embed(text: Column | str, dims: int = 64) -> Column:
     return _let(marks, counts)
 
 
-def hash_embeddings(df: DataFrame, id_col: str, text: Column, dims: int = 64) -> DataFrame:
-    """``id`` and the ``embedding`` that :func:`hash_embed` gives, for a whole table.
+def hash_embedded(df: DataFrame, text: Column, dims: int = 64, out: str = "embedding") -> DataFrame:
+    """``df`` with the vector that :func:`hash_embed` gives, made within the row: nothing is shuffled.
 
-    Words are rows here, hashed in generated code and counted by bucket before anything is shuffled; an id must name one row.
+    Words are cut in the JVM; each distinct one of an Arrow batch is hashed once.
     """
-    words = df.select(F.col(id_col).alias("id"), F.explode_outer(F.split(F.lower(text), r"\s+")).alias("word"))
-    bucket = F.when(F.coalesce("word", F.lit("")) != "", hash_bucket(F.col("word"), dims)).otherwise(-1)
-    counts = words.groupBy("id", bucket.alias("bucket")).agg(F.count("*").cast("double").alias("n"))
-    held = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("held"))
-    return held.select("id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.coalesce(F.col("held")[k], F.lit(0.0))).alias("embedding"))
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+    rows = df.withColumn("__words", F.split(F.lower(text), r"\s+"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, n = batch.column("__words"), batch.num_rows
+            words = lists.flatten().dictionary_encode()
+            place = np.array([int(hashlib.sha1(w.encode()).hexdigest()[-3:], 16) % dims if w else -1 for w in words.dictionary.to_pylist()], np.int64)
+            row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            bucket = place[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+            counts = np.bincount((row * dims + bucket)[bucket >= 0], minlength=n * dims).astype(np.float64)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dims), pa.array(counts))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def char_embed(text: Column | str, dims: int = 1024) -> Column:
@@ -106,6 +122,28 @@ class Embedder(Protocol):
     def __call__(self, texts: list[str]) -> list[list[float]]: ...
 
 
+class GatewayEmbedder:
+    """An embedder behind a service: posts ``{"model", "input"}`` with ``batch`` texts at a time to ``url`` and puts the vectors of the answer in the order of their ``index``.
+
+    An answer that lacks a vector, and any failure of the service, is an error; :func:`embed` decides what follows.
+    """
+
+    def __init__(self, url: str, model: str, key: str | None = None, batch: int = 64, timeout: float = 60.0):
+        self.url, self.model, self.key, self.batch, self.timeout = url, model, key, batch, timeout
+
+    def _post(self, texts: list[str]) -> list[list[float]]:
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        request = urllib.request.Request(self.url, data=json.dumps({"model": self.model, "input": texts}).encode(), headers=headers, method="POST")
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+            rows = {int(x["index"]): x["embedding"] for x in json.load(answer)["data"]}
+        if sorted(rows) != list(range(len(texts))):
+            raise ValueError(f"{len(texts)} texts gave vectors {sorted(rows)}")
+        return [rows[k] for k in range(len(texts))]
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        return [v for a in range(0, len(texts), self.batch) for v in self._post(texts[a : a + self.batch])]
+
+
 def embed(df: DataFrame, text_col: str, embedder: Embedder | None = None, dims: int = 1024, fallback: bool = True) -> DataFrame:
     """Adds ``embedding`` and ``embedder_used``.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwell.functions.vectors import cosine
+from groundwell.operators.search import vector_ranks
 
 
 def first_ranks(questions: DataFrame, hits: DataFrame) -> DataFrame:
@@ -39,9 +42,8 @@ def ranked_pages(pages: DataFrame, questions: DataFrame, vector: str = "embeddin
     at = questions.select("qid", F.col(query_vector).alias("__q"))
     targets = wanted.join(pages.select(F.col("slug").alias("id"), F.col(vector).alias("__t")), "id").join(at, "qid").select("qid", "id", F.round(cosine("__t", "__q"), 9).alias("__at"))
     best = targets.groupBy("qid").agg(F.max(F.struct("__at", "id")).alias("best"))
-    scored = pages.select("slug", F.col(vector).alias("__v")).crossJoin(F.broadcast(best.join(at, "qid")))  # a test set is written by hand
-    before = F.struct(F.round(cosine("__v", "__q"), 9).alias("__at"), F.col("slug").alias("id")) > F.col("best")
-    return scored.groupBy("qid", F.col("best.id").alias("id")).agg((F.count(F.when(before, 1)) + 1).alias("rank"))
+    ranks = vector_ranks(pages, questions.select("qid", query_vector), best.select("qid", F.col("best.id").alias("id")), "slug", vector, query_vector, descending=True)
+    return ranks.select("qid", "id", (F.col("v_rank") + 1).alias("rank"))
 
 
 def recall_by_paraphrase(questions: DataFrame, ranks: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
@@ -75,6 +77,16 @@ def hard_negative(hits: DataFrame, true_id: Column, negative_id: Column) -> Data
     return ranks.select("qid", F.coalesce((F.col("t") < F.col("n")) | (F.col("t").isNotNull() & F.col("n").isNull()), F.lit(False)).alias("passed"))
 
 
+def token_measurement(pages: DataFrame, index: DataFrame, count: Callable[[Column], Column], k: int = 5) -> DataFrame:
+    """One row of what a reader of pages (``rel``, ``summary``, ``text``) is given: ``n_pages``, the tokens of the ``index`` (``line``), of the payload of the first ``k`` pages
+    by path, of the longest page, of payload and page together, and of a dump of index and all pages."""
+    first = pages.orderBy("rel").limit(k).agg(F.sum(count(F.concat_ws("\n", "rel", F.coalesce("summary", F.lit(""))))).alias("topk_payload_tokens"))
+    whole = pages.agg(F.count("*").alias("n_pages"), F.max(count(F.col("text"))).alias("one_page_tokens"), F.sum(count(F.col("text"))).alias("page_tokens"))
+    rows = whole.crossJoin(F.broadcast(first)).crossJoin(F.broadcast(index.agg(F.sum(count(F.col("line"))).alias("index_tokens"))))  # one row each
+    rows = rows.fillna(0)
+    return rows.select("n_pages", "index_tokens", "topk_payload_tokens", "one_page_tokens", (F.col("topk_payload_tokens") + F.col("one_page_tokens")).alias("agent_context_tokens"), (F.col("index_tokens") + F.col("page_tokens")).alias("naive_dump_tokens"))
+
+
 def token_economy(docs: DataFrame, tokens: Column, context: Column, pages: int = 300) -> DataFrame:
     """All tokens, those of the context alone, what is saved, and the total projected to ``pages`` documents (rounded half to even)."""
     sums = docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(tokens), F.lit(0)).alias("naive_tokens"), F.coalesce(F.sum(context), F.lit(0)).alias("context_tokens"), F.coalesce(F.max(context), F.lit(0)).alias("max_context"))

@@ -64,6 +64,28 @@ def answer(search: Callable[[str, int], DataFrame], pages: DataFrame, retrieve:
     return Answer("with_sources" if ok else "no_source", row["slug"], row.get("summary"), results)
 
 
+def answer_many(questions: DataFrame, pages_found: DataFrame, pages: DataFrame, retrieve: Callable[[DataFrame], DataFrame], need_sources: Column, k: int = 10) -> DataFrame:
+    """Two-layer answers of many questions in one plan: ``qid``, ``status``, ``slug``, ``summary`` and ``results``, an array for each address of the page in order.
+
+    ``pages_found`` (``qid``, ``id``, ``rank``) is what page search gave; the best page of each question counts. ``need_sources``, over the columns of the question and its
+    page, says whether the page does not suffice. Only addresses of those that need sources reach ``retrieve``, which takes ``ord`` (of question and place),
+    ``path``, ``hint`` and ``loc`` and gives hits for :func:`fetch_many`. Statuses are ``no_page``, ``page_only``, ``with_sources`` and ``no_source``.
+    """
+    best = pages_found.groupBy("qid").agg(F.min(F.struct("rank", "id"))["id"].alias("slug"))
+    asked = questions.join(best, "qid", "left").join(pages.withColumn("__there", F.lit(True)), "slug", "left")
+    there = F.coalesce("__there", F.lit(False))
+    asked = asked.withColumn("__deep", there & F.coalesce(need_sources, F.lit(False)))
+    deep = asked.where("__deep")
+    listed = addresses_of(deep.select(F.struct("qid", "slug").alias("slug"), "sources"))
+    addresses = listed.select(F.struct(F.col("slug.qid").alias("qid"), F.col("ord").alias("place")).alias("ord"), "path", "hint", "loc")
+    results = fetch_many(addresses, retrieve(addresses), k)
+    own = results.groupBy(F.col("ord.qid").alias("qid")).agg(F.array_sort(F.collect_list(F.struct(F.col("ord.place").alias("ord"), "path", "hint", "status", "context", "citations"))).alias("results"))
+    out = asked.select("qid", "slug", "summary", there.alias("there"), "__deep").join(own, "qid", "left")
+    ok = F.exists(F.coalesce("results", F.array()), lambda r: r["status"] == "ok")
+    status = F.when(~F.col("there"), "no_page").when(~F.col("__deep"), "page_only").when(ok, "with_sources").otherwise("no_source")
+    return out.select("qid", status.alias("status"), F.when(F.col("there"), F.col("slug")).alias("slug"), "summary", F.coalesce("results", F.array()).alias("results"))
+
+
 def fetch_one(path: str, hint: str, retrieve: Callable[[DataFrame], DataFrame], spark, loc: str | None = None) -> dict:
     """A single address as a dictionary of status, context and citations, and nothing else that a caller could act on."""
     address = spark.createDataFrame([(0, path, hint, loc)], "ord int, path string, hint string, loc string")

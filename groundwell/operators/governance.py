@@ -246,3 +246,8 @@ def compile_page(notes: DataFrame, today: str) -> DataFrame:
 def heal_log(heals: DataFrame, at: str) -> DataFrame:
     """A line for each heal (``slug``, ``old``, ``new``, ``trigger``) for an append-only log."""
     return heals.select(F.format_string("- [%s] heal (%s): %s: %s -> %s", F.lit(at), F.col("trigger"), F.col("slug"), F.col("old"), F.col("new")).alias("value"))
+
+
+def append_heal_log(heals: DataFrame, at: str, path: str) -> None:
+    """Adds the lines of :func:`heal_log` to the log at ``path``, a folder of text files; lines that are there stay."""
+    heal_log(heals, at).write.mode("append").text(path)

@@ -19,25 +19,36 @@ CACHE = "content_hash string, embedding array<double>"
 def read_cache(cache: VersionedTable) -> DataFrame:
     """The cached vectors; a cache that is not there or cannot be read is empty."""
     try:
-        found = cache.read(CACHE)
+        found = cache.segments(CACHE)
         found.count()  # reads the footers of all files
         return found
     except (PySparkException, Py4JError):
         return cache.spark.createDataFrame([], CACHE)
 
 
+def _append(cache: VersionedTable, new: DataFrame) -> None:
+    """A segment of new vectors; beside segments that cannot be read it starts the cache anew."""
+    try:
+        cache.segments(CACHE).count()
+        fresh = False
+    except (PySparkException, Py4JError):
+        fresh = True
+    cache.append(new, fresh)
+
+
 def build_index(pages: DataFrame, cache: VersionedTable, embed: Callable[[DataFrame], DataFrame], summary: str = "summary", entities: str = "entities") -> DataFrame:
     """Pages with ``content_hash`` and ``embedding``. Only pages whose hash is not in the cache are embedded, each hash once.
 
     ``embed`` takes ``content_hash`` and ``text`` (the summary) and gives ``content_hash`` and ``embedding``. New vectors are written to the cache
-    before they are used, as a new version beside the old one, so a failed build leaves the old cache.
+    before they are used, as a segment beside the others, so a build writes what is new and a failed one leaves the cache as it was; many segments are made one.
     """
     hashed = pages.withColumn("content_hash", content_hash(F.coalesce(F.col(summary), F.lit("")), F.coalesce(F.col(entities), F.array().cast("array<string>"))))
     known = read_cache(cache)
     missing = cache_misses(hashed.select("content_hash", F.coalesce(F.col(summary), F.lit("")).alias("text")), known).groupBy("content_hash").agg(F.min("text").alias("text"))
     if missing.limit(1).count():
-        cache.write(known.unionByName(embed(missing).select("content_hash", F.col("embedding").cast("array<double>"))))
-        known = cache.read(CACHE)
+        _append(cache, embed(missing).select("content_hash", F.col("embedding").cast("array<double>")))
+        cache.compact(CACHE, "content_hash")
+        known = cache.segments(CACHE).dropDuplicates(["content_hash"])  # two builds at a time may both add a hash
     return hashed.join(known, "content_hash", "left")
 
 

@@ -132,43 +132,47 @@ def retrieve(chunks: DataFrame, docs: DataFrame, queries: DataFrame, k: int, sco
     return top.join(own, "chunk_id").select("qid", "chunk_id", F.col("chunk_text").alias("text"), F.col("source_uri").alias("file_path"), F.col("metadata")["loc"].alias("loc"), "metadata", "score", "rank")
 
 
-def vector_ranks(df: DataFrame, queries: DataFrame, targets: DataFrame, id_col: str, vector: str = "embedding", query_vector: str = "query_vector", block: int = 10_000) -> DataFrame:
-    """``qid``, ``id`` and the 0-based ``v_rank`` of each row of ``targets`` (``qid``, ``id``; a few for each query) among all rows.
+def vector_ranks(df: DataFrame, queries: DataFrame, targets: DataFrame, id_col: str, vector: str = "embedding", query_vector: str = "query_vector", block: int = 10_000, descending: bool = False) -> DataFrame:
+    """``qid``, ``id`` and the 0-based ``v_rank`` of each row of ``targets`` (``qid``, ``id``; a few for each query) among all rows; ties by id, upwards or ``descending``.
 
     A rank is the number of rows before: each Arrow batch counts its own, and counts are added up, so no pair of a row and a query
     is ever written. Targets go to the rows in blocks of queries.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
-    asked = queries.select("qid", F.col(query_vector).alias("q"))
-    known = targets.select("qid", "id").join(rows, "id").join(asked, "qid").select("qid", "id", F.round(cosine("v", "q"), 9).alias("at"), F.col("q").cast("array<double>").alias("q"))
+    asked = queries.select("qid", F.col(query_vector).cast("array<double>").alias("q"))
+    known = targets.select("qid", "id").join(rows, "id").join(asked, "qid").select("qid", "id", F.round(cosine("v", "q"), 9).alias("at"))
     blocks = max(1, -(-queries.count() // block))
     out = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("before", T.LongType())])
 
-    def counted(own: DataFrame) -> DataFrame:
-        held = own.orderBy("qid").toArrow()  # some targets for each query of a block
+    def counted(own: DataFrame, wanted_rows: DataFrame) -> DataFrame:
+        # of a block: each query's vector once, and some targets for each query as two numbers and an id
+        vectors = wanted_rows.toArrow()
+        names, (wanted, wanted_length) = vectors.column("qid").combine_chunks(), unit_matrix(vectors.column("q").combine_chunks())
+        held = own.toArrow()
+        place = pc.index_in(held.column("qid"), value_set=names).to_numpy()
+        held = held.take(pa.array(np.argsort(place, kind="stable")))
         qid, target, at = (held.column(x).combine_chunks() for x in ("qid", "id", "at"))
-        place = qid.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(qid) else np.zeros(0, np.int64)
-        begins = np.searchsorted(place, np.arange(place.max(initial=-1) + 2))
-        wanted, wanted_length = unit_matrix(held.column("q").combine_chunks().take(pa.array(begins[:-1])))
-        target_ids, target_at = np.array(target.to_pylist(), object), at.to_numpy(zero_copy_only=False)
+        target_at, begins = at.to_numpy(zero_copy_only=False), np.searchsorted(np.sort(place), np.arange(len(names) + 1))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(target_ids), np.int64)
+            total = np.zeros(len(target), np.int64)
             for batch in batches:
-                ids = np.array(batch.column("id").to_pylist(), object)
+                ids = batch.column("id")
                 vectors, length = unit_matrix(batch.column("v"))
                 width = min(vectors.shape[1], wanted.shape[1])
-                for j in range(len(begins) - 1):
+                for j in np.flatnonzero(np.diff(begins)).tolist():
                     order = np.round(np.where(length == wanted_length[j], vectors[:, :width] @ wanted[j, :width], 0.0), 9)
-                    for h in range(begins[j], begins[j + 1]):
-                        tied = np.flatnonzero(order == target_at[h])
-                        total[h] += int((order > target_at[h]).sum()) + int((ids[tied] < target_ids[h]).sum())
+                    own_at, ranked_order = target_at[begins[j] : begins[j + 1]], np.sort(order)
+                    total[begins[j] : begins[j + 1]] += len(order) - np.searchsorted(ranked_order, own_at, "right")
+                    for h in (begins[j] + np.flatnonzero(np.searchsorted(ranked_order, own_at, "left") < np.searchsorted(ranked_order, own_at, "right"))).tolist():
+                        tied = ids.take(pa.array(np.flatnonzero(order == target_at[h])))
+                        total[h] += pc.sum((pc.greater if descending else pc.less)(tied, target[h])).as_py() or 0
             yield pa.RecordBatch.from_arrays([qid, target, pa.array(total)], ["qid", "id", "before"])
 
         return rows.mapInArrow(run, out)
 
     of = F.pmod(F.xxhash64("qid"), F.lit(blocks))
-    parts = [counted(known if blocks == 1 else known.where(of == b)) for b in range(blocks)]
+    parts = [counted(known, asked) if blocks == 1 else counted(known.where(of == b), asked.where(of == b)) for b in range(blocks)]
     return reduce(DataFrame.unionAll, parts).groupBy("qid", "id").agg(F.sum("before").alias("v_rank"))
 
 

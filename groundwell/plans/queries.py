@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from groundwell.functions import text as tx
 from groundwell.functions import vectors as vx
-from groundwell.operators import chunking, evaluation, fetch, governance, index, lexical, search, security
+from groundwell.operators import chunking, evaluation, fetch, governance, index, index_parts, lexical, search, security
 from groundwell.operators.stored_index import KeywordIndex
 from groundwell.operators.vector_lists import VectorLists, recall
-from groundwell.sources import parse, store
+from groundwell.sources import bucketed, parse, store
 from groundwell.sources.tables import read_table, shared_folder, stored
+from groundwell.streaming import changes
 from groundwell.streaming import events as ev
 
 QUERIES: dict = {}
@@ -163,8 +164,8 @@ def telemetry_generated(spark, sf):
 @query(r"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS t FROM documents)
 SELECT doc_id, ('0x' || right(sha1(t), 3))::INT % 64 AS bucket, count(*) AS n FROM w GROUP BY 1, 2""")
 def hash_embed(spark, sf):
-    made = vx.hash_embeddings(_t(spark, sf, "documents"), "doc_id", F.col("text"))
-    counts = made.select(F.col("id").alias("doc_id"), F.posexplode("embedding").alias("bucket", "n"))
+    made = vx.hash_embedded(_t(spark, sf, "documents").select("doc_id", "text"), F.col("text"))
+    counts = made.select("doc_id", F.posexplode("embedding").alias("bucket", "n"))
     return counts.where("n > 0").select("doc_id", "bucket", F.col("n").cast("bigint").alias("n"))
 
 
@@ -356,7 +357,7 @@ hy AS (SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDER BY round(s,
 def _hybrid(spark, sf, k=10):
     docs = _t(spark, sf, "documents")
     asked = hints(spark, sf).withColumn("query_vector", vx.hash_embed("hint"))
-    vectors = vx.hash_embeddings(docs, "doc_id", F.col("text"))
+    vectors = vx.hash_embedded(docs.select(F.col("doc_id").alias("id"), "text"), F.col("text"))
     candidates = max(20, 2 * k)
     v = search.vector_topk(vectors, asked, candidates, "id")
     t = lexical.ranked(lexical.bm25(docs, asked, "doc_id", _words(), _words("hint")), candidates)
@@ -402,10 +403,9 @@ hits AS (SELECT f.qid, f.id, f.s, f.rank, v.chunk_text, v.source_uri FROM (SELEC
 
 def _store(spark, sf, docs=None):
     """Chunks of documents with vectors of their text in its context, and the registry of all documents."""
-    chunks = _located_chunks(spark, sf, docs)
-    vectors = vx.hash_embeddings(chunks, "chunk_id", F.col("contextual_text")).withColumnRenamed("id", "chunk_id")
+    chunks = vx.hash_embedded(_located_chunks(spark, sf, docs), F.col("contextual_text"))
     docs = corpus(spark, sf).select(F.sha2("source_uri", 256).alias("doc_id"), "source_uri", "allowed_depts")
-    return chunks.join(vectors, "chunk_id"), docs
+    return chunks, docs
 
 
 def _asked(queries):
@@ -454,6 +454,26 @@ def fetch_many(spark, sf):
 _FREE = f"WITH {_WORDS}, {_BASE}, {_ADDRESS}, asked AS (SELECT ord AS qid, hint, path FROM ad), {_retrieval_sql(('all',), 5)}, ve AS (SELECT ad.ord, ad.path, ad.hint, CASE WHEN count(h.id) = 0 THEN 'fail' WHEN bool_or(h.source_uri = ad.path) THEN 'pass' ELSE 'drift' END AS status, count(DISTINCT h.source_uri) AS n_files, list_sort(list(DISTINCT h.source_uri) FILTER (WHERE h.id IS NOT NULL)) AS files FROM ad LEFT JOIN hits h ON h.qid = ad.ord GROUP BY 1, 2, 3)"
 
 
+@query(rf"""WITH {_WORDS}, {_CORPUS}, {_ADDRESS}, {_WIKI}, tk AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, id) AS rank FROM am QUALIFY rank <= 10),
+a AS (SELECT ad.ord AS qid, w.slug, w.title AS summary, coalesce(w.type IN ('concept', 'technique', 'zone'), false) AS deep, ad.path FROM ad LEFT JOIN wiki w ON w.page_id = ad.ord AND ad.ord % 4 <> 0),
+h AS (SELECT ad.ord AS qid, c.text FROM tk JOIN corpus c ON c.doc_id = tk.id JOIN ad ON ad.ord = tk.qid AND ad.path = c.source_uri)
+SELECT a.qid, CASE WHEN slug IS NULL THEN 'no_page' WHEN NOT deep THEN 'page_only' WHEN h.qid IS NOT NULL THEN 'with_sources' ELSE 'no_source' END AS status, slug, summary, CASE WHEN slug IS NOT NULL AND deep THEN 1 ELSE 0 END AS n_results, CASE WHEN slug IS NOT NULL AND deep THEN sha256(h.text) END AS context_sha256 FROM a LEFT JOIN h USING (qid)""")
+def two_layer_answers(spark, sf):
+    """Every hint is a question; three in four have a page, and pages of half of the kinds do not suffice: their address is asked for."""
+    addresses = stored(_addresses(spark, sf), "addresses")
+    pages = wiki(spark, sf).join(addresses, F.col("page_id") == F.col("ord")).select("page_id", "slug", F.col("title").alias("summary"), "type", F.array(F.struct("path", "hint", "loc")).alias("sources"))
+    found = pages.where("page_id % 4 <> 0").select(F.col("page_id").alias("qid"), F.col("slug").alias("id"), F.lit(1).alias("rank"))
+
+    def retrieve(asked):
+        best = _keyword_index(spark, sf).search(asked.select(F.col("ord").alias("qid"), "hint"), _words("hint"), 10)
+        texts = corpus(spark, sf).select(F.col("doc_id").alias("id"), "text", F.col("source_uri").alias("file_path"))
+        return best.join(texts, "id").select(F.col("qid").alias("ord"), F.col("id").cast("string").alias("chunk_id"), "text", "file_path", "score", F.lit(None).cast("string").alias("loc"))
+
+    answers = fetch.answer_many(hints(spark, sf), found, pages.drop("page_id"), retrieve, F.col("type").isin("concept", "technique", "zone"))
+    context = F.flatten(F.transform("results", lambda r: r["context"]["text"]))
+    return answers.select("qid", "status", "slug", "summary", F.size("results").cast("bigint").alias("n_results"), F.when(F.size(context) > 0, F.sha2(F.array_join(context, "\n"), 256)).alias("context_sha256"))
+
+
 def _everyone(chunks, docs):
     """Searches without a path for rows of ``ord`` and ``hint``, as verification asks for."""
     return lambda rows: search.retrieve(chunks, docs, _asked(rows.select(F.col("ord").alias("qid"), "hint")), 5, security.Scope(frozenset({"all"}))).withColumnRenamed("qid", "ord")
@@ -693,6 +713,17 @@ def token_economy(spark, sf):
 # Parts that larger queries do not show
 
 
+@query(rf"""WITH {_WIKI}, n AS (SELECT rel, slug, title, type, len(list_filter(string_split_regex(body, '\s+'), lambda x: x <> '')) AS t, len(list_filter(string_split_regex(rel || chr(10) || title, '\s+'), lambda x: x <> '')) AS p,
+len(list_filter(string_split_regex('- [' || title || '](' || rel || ') — ' || trim(url), '\s+'), lambda x: x <> '')) AS l FROM wiki),
+i AS (SELECT sum(l) AS index_tokens FROM n WHERE slug NOT IN ('index', 'archive', 'log')), k AS (SELECT sum(p) AS p FROM (SELECT p FROM n ORDER BY rel LIMIT 5))
+SELECT count(*) AS n_pages, max(index_tokens)::BIGINT AS index_tokens, max(k.p)::BIGINT AS topk_payload_tokens, max(t) AS one_page_tokens, (max(k.p) + max(t))::BIGINT AS agent_context_tokens, (max(index_tokens) + sum(t))::BIGINT AS naive_dump_tokens FROM n, i, k""")
+def token_measurement(spark, sf):
+    """The five sums over the pages, with addresses as summaries in the index and titles in the payload."""
+    pages = wiki(spark, sf)
+    lines = index_parts.index_lines(pages.withColumn("summary", F.col("url")))
+    return evaluation.token_measurement(pages.select("rel", F.col("title").alias("summary"), F.col("body").alias("text")), lines, tx.token_count)
+
+
 @query(r"""WITH n AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, 'raw/' || page_id || CASE page_id % 4 WHEN 0 THEN '.Tar.GZ' WHEN 1 THEN '/.hidden' WHEN 2 THEN '/x.MD' ELSE '/plain' END AS path FROM pages),
 f AS (SELECT *, list_last(string_split(path, '/')) AS name FROM n)
 SELECT page_id, array_to_string(list_transform(regexp_extract_all(title, '\p{L}+|[^\p{L}]+'), lambda x: CASE left(x, 1) WHEN 'ß' THEN 'Ss' ELSE upper(left(x, 1)) END || lower(substr(x, 2))), '') AS spoken, replace(lower(title), ' ', '-') || '.md' AS note,
@@ -768,6 +799,26 @@ def ingested_directory(spark, sf):
     return chunks.join(status.select("doc_id", "status"), "doc_id").crossJoin(F.broadcast(docs)).select(item, F.col("chunk_index").cast("bigint").alias("chunk_index"), "chunk_text", "loc", "status", "n_documents")  # one row of totals
 
 
+@query(rf"""WITH now AS (SELECT doc_id, text, CASE WHEN doc_id % 100 = 7 THEN 'new' ELSE 'old' END AS dept FROM documents WHERE doc_id % 50 <> 1), x AS (SELECT doc_id, dept, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM now WHERE dept = 'old' OR text <> ''),
+y AS (SELECT doc_id, dept, t, unnest(CASE WHEN length(t) <= 1500 THEN [0] ELSE range(0, length(t), 1300) END) AS start FROM x WHERE t <> ''), z AS (SELECT doc_id, dept, regexp_replace(substr(t, start + 1, 1500), '^\s+|\s+$', '', 'g') AS c FROM y)
+SELECT doc_id, dept, count(*) AS n_chunks, true AS fewer FROM z WHERE c <> '' GROUP BY 1, 2""")
+def bucketed_store(spark, sf):
+    """All documents are stored in buckets, a hundredth of them again for another department, and a fiftieth is removed; later changes write fewer buckets than there are documents of theirs or buckets."""
+    docs = _t(spark, sf, "documents").select("doc_id", F.concat(F.lit("raw/"), "doc_id", F.lit(".bin")).alias("source_uri"), F.encode("text", "UTF-8").alias("content"))
+    vault = bucketed.BucketedStore(spark, shared_folder(spark, "bucketed"), buckets=128)
+    store.ingest(docs, vault, ["old"])
+    first = vault.version()
+    again = docs.where("doc_id % 100 = 7")
+    store.ingest(again, vault, ["new"])
+    second = vault.version()
+    written = sum(second.folders[b] != first.folders.get(b) for b in second.folders)
+    documents, chunks = "doc_id string, source_uri string, allowed_depts array<string>, title string", "doc_id string, chunk_text string"
+    vault.remove(docs.where("doc_id % 50 = 1"), documents, "doc_id string, chunk_id string, source_uri string, chunk_index int, chunk_text string, context_prefix string, loc string, metadata map<string,string>, contextual_text string")
+    counts = vault.read("chunks", chunks).groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    fewer = written <= min(127, again.count())
+    return vault.read("documents", documents).join(counts, "doc_id").select(F.regexp_extract("source_uri", r"(\d+)\.bin", 1).cast("bigint").alias("doc_id"), F.col("allowed_depts")[0].alias("dept"), "n_chunks", F.lit(fewer).alias("fewer"))
+
+
 @query(f"WITH {_CHUNKS} SELECT doc_id, count(chunks.start) AS chunks_count, CASE WHEN count(chunks.start) = 0 THEN 'skipped_empty' ELSE 'dry_run' END AS status FROM documents LEFT JOIN chunks USING (doc_id) GROUP BY 1")
 def dry_run_status(spark, sf):
     return store.ingest_status(_t(spark, sf, "documents").select("doc_id"), _chunks(spark, sf), dry_run=True)
@@ -868,7 +919,7 @@ def cached_index(spark, sf):
 
     def embed(rows):
         seen.append(rows.count())
-        return vx.hash_embeddings(rows, "content_hash", F.col("text")).withColumnRenamed("id", "content_hash")
+        return vx.hash_embedded(rows, F.col("text"))
 
     index.build_index(pages.where("item_id % 2 = 0"), cache, embed)
     built = index.build_index(pages, cache, embed)
@@ -886,6 +937,18 @@ def watched_batches(spark, sf):
     return spark.createDataFrame([(len(rows), sum(rows), len(after))], "batches bigint, n_rows bigint, n_after bigint")
 
 
+_SETTLED = """s AS (SELECT user_id::VARCHAR AS path, epoch_us(ts) AS us, CASE WHEN event_type = 'purchase' THEN NULL ELSE event_type END AS digest FROM events),
+q AS (SELECT *, lead(us) OVER w AS next FROM s WINDOW w AS (PARTITION BY path ORDER BY us, digest NULLS FIRST)), k AS (SELECT path, us, digest FROM q WHERE next IS NULL OR next - us >= 600000000),
+c AS (SELECT *, lag(digest) OVER (PARTITION BY path ORDER BY us, digest NULLS FIRST) AS before FROM k)"""
+
+
+@query(f"WITH {_SETTLED} SELECT path, us, digest, CASE WHEN before IS NULL THEN 'added' WHEN digest IS NULL THEN 'deleted' ELSE 'changed' END AS kind FROM c WHERE before IS DISTINCT FROM digest")
+def settled_changes(spark, sf):
+    """Events as observations of files, one for each user; a purchase stands for a removal. Ten minutes of quiet settle a file."""
+    seen = _t(spark, sf, "events").select(F.col("user_id").cast("string").alias("path"), F.col("ts").alias("seen"), F.when(F.col("event_type") != "purchase", F.col("event_type")).alias("digest"))
+    return changes.settled(seen, 600.0).select("path", F.unix_micros("at").alias("us"), "digest", "kind")
+
+
 # Streams, as tables; the windows go beyond the original scope
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from typing import Protocol
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
@@ -102,8 +103,13 @@ class VersionedTables:
         return version
 
 
+    def apply(self, documents: DataFrame, chunks: DataFrame, kept: DataFrame) -> int:
+        """Puts new rows in place of those of the same documents: ``kept`` are the new documents that gave chunks."""
+        return self.write(documents=upsert(self.read("documents", documents.schema), kept), chunks=replace_chunks(self.read("chunks", chunks.schema), chunks, kept))
+
+
 class VersionedTable:
-    """One table of its own that is written in whole versions."""
+    """One table of its own that is written in whole versions, or grows by segments."""
 
     def __init__(self, spark: SparkSession, path: str, protected: bool = False):
         self.spark, self._tables = spark, VersionedTables(spark, path, protected)
@@ -117,8 +123,33 @@ class VersionedTable:
     def write(self, df: DataFrame) -> int:
         return self._tables.write(rows=df)
 
+    def segments(self, schema) -> DataFrame:
+        """All rows since the last time that segments were made one."""
+        paths = self._tables.paths("rows", since="base")
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def append(self, df: DataFrame, fresh: bool = False) -> int:
+        """Adds a segment; a ``fresh`` one takes the place of all before it."""
+        return self._tables.write(rows=df, **({"base": self.spark.range(1)} if fresh else {}))
+
+    def compact(self, schema, key: str, most: int = 16) -> bool:
+        """Makes one segment, with one row for each ``key``, of more than ``most``."""
+        if len(self._tables.paths("rows", since="base")) <= most:
+            return False
+        self.append(self.segments(schema).dropDuplicates([key]), fresh=True)
+        return True
+
+
+class Store(Protocol):
+    """What documents are ingested into: whole versions (:class:`VersionedTables`) or buckets (:class:`~groundwell.sources.bucketed.BucketedStore`)."""
+
+    spark: SparkSession
+    path: str
+
+    def apply(self, documents: DataFrame, chunks: DataFrame, kept: DataFrame) -> object: ...
+
 
-def ingest(files: DataFrame, store: VersionedTables, allowed_depts: list[str], dry_run: bool = False, max_chars: int = 1500, overlap: int = 200, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def ingest(files: DataFrame, store: Store, allowed_depts: list[str], dry_run: bool = False, max_chars: int = 1500, overlap: int = 200, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Parses and chunks files and replaces their ``documents`` and ``chunks`` in one version; the status of each is returned.
 
     Files are read and parsed once. Running it again changes nothing; a file that gives no chunk keeps what it had. ``embed``, if given,
@@ -141,7 +172,7 @@ def ingest(files: DataFrame, store: VersionedTables, allowed_depts: list[str], d
     new_chunks = embed(new_chunks) if embed else new_chunks
     status = ingest_status(new_docs, new_chunks)
     kept = new_docs.join(status.where("status = 'ingested'").select("doc_id"), "doc_id", "left_semi")
-    store.write(documents=upsert(store.read("documents", new_docs.schema), kept), chunks=replace_chunks(store.read("chunks", new_chunks.schema), new_chunks, kept))
+    store.apply(new_docs, new_chunks, kept)
     return status
 
 
