@@ -16,7 +16,7 @@ The templates and their words are fixed and few, so the index on their prefixes
 for the counts). Base labels come from places where the words of a phrase stand one after another.
 
 Defined results: null or empty text has no words, no labels and score 0; null and repeated ids are rows like any other; equal counts
-are ordered by the word; an empty table gives an empty result; columns other than id and text are ignored.
+are ordered by the word; very long texts are scanned whole; an empty table gives an empty result; columns other than id and text are ignored.
 """
 
 from __future__ import annotations

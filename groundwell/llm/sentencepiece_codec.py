@@ -11,7 +11,7 @@ times the size of the texts, so words are joined where the texts are. A model th
 (checked when it is loaded) encodes whole texts instead.
 
 Defined results: null or empty text has no ids and decodes to the empty text; null and repeated ids are rows like any
-other; an empty table gives an empty result; columns other than id and text are ignored.
+other; very long texts are encoded whole, in a block of their own; an empty table gives an empty result; columns other than id and text are ignored.
 """
 
 from __future__ import annotations

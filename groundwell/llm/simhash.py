@@ -12,7 +12,7 @@ come from distributed minimum-label propagation with shortcuts; its state goes t
 
 Defined results: a text without words has fingerprint zero, linked like any other; fewer words than a shingle give one
 shingle of all of them; null text counts as empty; repeated rows share a component; rows with a null id get
-the smallest id of their component, or null if it has none; an empty table gives an empty result; other columns are ignored
+the smallest id of their component, or null if it has none; very long texts are hashed whole; an empty table gives an empty result; other columns are ignored
 by :func:`components` and pass through :func:`keep_one` unchanged.
 """
 

@@ -11,7 +11,8 @@ temporary name and renames the file when it is whole; a repeated task writes the
 manifest is a table written after all files: a file that it does not list does not count.
 
 Defined results: null or empty text is the end id alone; null ids come first; equal ids are ordered by their text; an empty
-table gives no files and an empty manifest; columns other than id and text are ignored.
+table gives no files and an empty manifest; very long texts run over as many rows as they need, and a single one beyond a block
+is encoded whole; columns other than id and text are ignored.
 """
 
 from __future__ import annotations

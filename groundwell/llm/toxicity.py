@@ -10,7 +10,7 @@ Training takes at most ``max_rows`` labelled texts, those with the smallest hash
 features, at most ``dims`` pairs of 6 bytes a text, make at most ``max_bytes``: those go to the driver. Everything else covers all rows.
 
 Defined results: null or empty text scores as the bias alone; null ids and repeated rows are scored like any other; with no labelled
-rows, or of one class only, every score is the smoothed share of toxic labels; a null label does not count; an empty
+rows, or of one class only, every score is the smoothed share of toxic labels; a null label does not count; repeated labels of a document, equal or not, count as often as they stand; an empty
 table gives an empty result; columns other than id and text are ignored. Bytes that are no UTF-8 count as replacement characters.
 """
 

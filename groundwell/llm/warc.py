@@ -12,7 +12,7 @@ sort, together with the decisions.
 
 Defined results: null html is an empty payload; null url is ``urn:unknown``, and characters that a header cannot carry are
 percent-encoded; null ids come first and are never referred to unless all of their group are null; rows that share the largest id are all responses; repeated rows
-are records of their own; an empty table gives no files and an empty manifest; other columns are ignored.
+are records of their own; very long pages are one record, larger than a file may be by itself if need be; an empty table gives no files and an empty manifest; other columns are ignored.
 """
 
 from __future__ import annotations
