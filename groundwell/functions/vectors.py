@@ -106,6 +106,11 @@ def hash_embedded(df: DataFrame, text: Column, dims: int = 64, out: str = "embed
     return rows.mapInArrow(run, schema)
 
 
+def hash_embeddings(df: DataFrame, id_col: str, text: Column, dims: int = 64) -> DataFrame:
+    """``id`` and the ``embedding`` that :func:`hash_embed` gives, for a whole table."""
+    return hash_embedded(df.select(F.col(id_col).alias("id"), text.alias("text")), F.col("text"), dims).select("id", "embedding")
+
+
 def char_embed(text: Column | str, dims: int = 1024) -> Column:
     """``(code point * 31 + place) mod 100 / 100`` of the first ``dims`` characters, scaled to unit length; zeros beyond the text."""
     text = F.col(text) if isinstance(text, str) else text

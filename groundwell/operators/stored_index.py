@@ -40,7 +40,7 @@ def impact(tf: Column | str, length: Column | str, avg_len: Column | str) -> Col
 class KeywordIndex:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64, slice_docs: int = 128):
         self.spark, self.buckets, self.slice_docs = spark, buckets, slice_docs
-        self._versions = VersionedTables(spark, path)
+        self._versions, self._id_type = VersionedTables(spark, path), None
 
     # Changes
 
@@ -120,7 +120,9 @@ class KeywordIndex:
         if not paths:
             raise ValueError("nothing was added to this index yet")
         if name in ("blocks", "minus"):  # in directories of their own, which are read apart; versions are few between compactions
-            schema = "term string, n bigint, bucket int" if name == "minus" else self._block_schema(self.table("docs").schema["id"].dataType)
+            if name == "blocks" and self._id_type is None:
+                self._id_type = self.table("docs").schema["id"].dataType
+            schema = "term string, n bigint, bucket int" if name == "minus" else self._block_schema(self._id_type)
             return reduce(DataFrame.unionByName, (self.spark.read.schema(schema).parquet(p) for p in paths))
         return self.spark.read.parquet(*paths)
 
@@ -131,20 +133,23 @@ class KeywordIndex:
         gone = self.table("gone").groupBy("id").agg(F.max("before").alias("before"))
         return rows.join(gone, "id", "left").where("before is null or before <= segment").drop("before")
 
-    def _asked_blocks(self, name: str, asked: DataFrame) -> DataFrame:
-        """Rows of the directories that hold asked terms; which those are is known to the plan."""
-        found = [r.bucket for r in asked.select(self.bucket("term").alias("bucket")).distinct().collect()]  # as many as there are directories at most
-        return self.table(name).where(F.col("bucket").isin(found))
+    def _asked_buckets(self, asked: DataFrame) -> list[int]:
+        """The directories that hold asked terms, no more than there are."""
+        return sorted(r.bucket for r in asked.select(self.bucket("term").alias("bucket")).distinct().collect())
+
+    def _asked_blocks(self, name: str, buckets: list[int]) -> DataFrame:
+        """Rows of those directories alone, which the plan knows."""
+        return self.table(name).where(F.col("bucket").isin(buckets))
 
     # Searches
 
     def passes(self, queries: DataFrame, query_words: Column, k: int, match_all: bool = True, floor_idf: float = 1e-6, seeds: int = 4) -> Passes:
         """The two passes of :meth:`search` and what they skip."""
         asked = stored(query_rows(queries, query_words), "asked")
-        terms = asked.select("term").distinct()
-        heads = self._asked_blocks("blocks", asked).select("term", "segment", "slice", "n", "max_tf", "min_len").join(terms, "term", "left_semi")
+        terms, buckets = asked.select("term").distinct(), self._asked_buckets(asked)
+        heads = self._asked_blocks("blocks", buckets).select("term", "segment", "slice", "n", "max_tf", "min_len").join(terms, "term", "left_semi")
         heads = stored(heads.withColumn("id", F.struct("segment", "slice")), "heads")
-        counts = heads.select("term", "n").union(self._asked_blocks("minus", asked).join(terms, "term", "left_semi").select("term", "n"))
+        counts = heads.select("term", "n").union(self._asked_blocks("minus", buckets).join(terms, "term", "left_semi").select("term", "n"))
         total = self.table("counts").agg(F.sum("n").alias("n_docs"), F.try_divide(F.sum("len"), F.sum("n")).alias("avg_len"))
         idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(floor_idf))
         # one row of totals
@@ -154,12 +159,12 @@ class KeywordIndex:
         bounds = met.groupBy("qid", "n_terms", "id").agg(F.count("*").alias("matched"), F.sum(F.col("idf") * impact("max_tf", "min_len", "avg_len")).alias("most"))
         live = stored((bounds.where("matched = n_terms") if match_all else bounds).select("qid", "id.segment", "id.slice", "most"), "live-slices")
         first = live.select("qid", "segment", "slice", F.struct("segment", "slice").alias("id"), "most")
-        first = stored(ranked(first, seeds, by="most").select("qid", "segment", "slice"), "seeds")
-        scored = stored(self._scored(first, weighted, match_all), "first-scores")
+        first = ranked(first, seeds, by="most").select("qid", "segment", "slice")
+        scored = stored(self._scored(first, weighted, buckets, match_all), "first-scores")
         least = ranked(scored, k).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
         rest = live.join(first, ["qid", "segment", "slice"], "left_anti").join(least, "qid", "left").where(F.col("least").isNull() | (F.col("most") >= F.col("least") - _SLACK))
-        second = stored(rest.select("qid", "segment", "slice"), "second-slices")
-        return Passes(live, first, second, ranked(scored.union(self._scored(second, weighted, match_all)), k))
+        second = rest.select("qid", "segment", "slice")
+        return Passes(live, first, second, ranked(scored.union(self._scored(second, weighted, buckets, match_all)), k))
 
     def search(self, queries: DataFrame, query_words: Column, k: int, match_all: bool = True) -> DataFrame:
         """``qid``, ``id``, ``score`` and ``rank`` of the k best documents of each query, as a ranking of all would give them.
@@ -169,28 +174,28 @@ class KeywordIndex:
         """
         return self.passes(queries, query_words, k, match_all).found
 
-    def _decoded(self, slices: DataFrame, weighted: DataFrame, *more: str) -> DataFrame:
+    def _decoded(self, slices: DataFrame, weighted: DataFrame, buckets: list[int], *more: str) -> DataFrame:
         """Postings of the live documents of ``slices`` (``qid``, ``segment``, ``slice``) for the terms of their queries."""
         wanted = slices.join(weighted.select("qid", "n_terms", "term", "idf", "avg_len"), "qid")
         names = (*_PARALLEL, *more)
-        blocks = self._asked_blocks("blocks", weighted).select("term", "segment", "slice", *names)
+        blocks = self._asked_blocks("blocks", buckets).select("term", "segment", "slice", *names)
         rows = wanted.join(blocks, ["term", "segment", "slice"]).select("qid", "n_terms", "term", "idf", "avg_len", "segment", F.inline(F.arrays_zip(*names)))
         rows = rows.withColumnsRenamed({"ids": "id", "tfs": "tf", "lens": "len"})
         return self._without_gone(rows)
 
-    def _scored(self, slices: DataFrame, weighted: DataFrame, match_all: bool) -> DataFrame:
-        rows = self._decoded(slices, weighted).groupBy("qid", "id", "n_terms").agg(F.count("*").alias("matched"), F.sum(F.col("idf") * impact("tf", "len", "avg_len")).alias("score"))
+    def _scored(self, slices: DataFrame, weighted: DataFrame, buckets: list[int], match_all: bool) -> DataFrame:
+        rows = self._decoded(slices, weighted, buckets).groupBy("qid", "id", "n_terms").agg(F.count("*").alias("matched"), F.sum(F.col("idf") * impact("tf", "len", "avg_len")).alias("score"))
         return (rows.where("matched = n_terms") if match_all else rows).select("qid", "id", "score")
 
     def _matching(self, asked: DataFrame, *more: str) -> DataFrame:
         """Postings of the documents in slices that hold all terms of ``asked`` (``qid``, ``n_terms``, ``term``, perhaps repeated)."""
         once = asked.select("qid", "n_terms", "term").distinct()
-        terms = once.select("term").distinct()
-        heads = stored(self._asked_blocks("blocks", once).select("term", "segment", "slice", "n").join(terms, "term", "left_semi").withColumn("id", F.struct("segment", "slice")), "heads")
+        terms, buckets = once.select("term").distinct(), self._asked_buckets(once)
+        heads = stored(self._asked_blocks("blocks", buckets).select("term", "segment", "slice", "n").join(terms, "term", "left_semi").withColumn("id", F.struct("segment", "slice")), "heads")
         counted = once.join(heads.groupBy("term").agg(F.sum("n").alias("df")), "term")
         met = holding_rarest(heads, counted, ["term"]).groupBy("qid", "n_terms", "id").agg(F.count("*").alias("matched")).where("matched = n_terms")
         none = once.select("qid", "n_terms", "term", F.lit(0.0).alias("idf"), F.lit(0.0).alias("avg_len"))
-        return self._decoded(stored(met.select("qid", "id.segment", "id.slice"), "live-slices"), none, *more)
+        return self._decoded(met.select("qid", "id.segment", "id.slice"), none, buckets, *more)
 
     def and_match(self, queries: DataFrame, query_words: Column) -> DataFrame:
         """``qid`` and ``id`` of the documents that hold every term of the query."""

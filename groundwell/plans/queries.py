@@ -62,7 +62,7 @@ def _keyword_index(spark: SparkSession, sf: str) -> KeywordIndex:
     """The stored keyword index of the documents."""
 
     def build(path: str) -> KeywordIndex:
-        made = KeywordIndex(spark, path)
+        made = KeywordIndex(spark, path, buckets=16)
         made.add(_t(spark, sf, "documents"), "doc_id", _words())
         return made
 
@@ -292,20 +292,31 @@ def _words(column="text"):
 
 @query(f"WITH {_WORDS}, r AS (SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, id) AS rank FROM bm QUALIFY rank <= 10) SELECT qid, id, round(s, 6) AS score, rank FROM r")
 def bm25_topk(spark, sf):
+    scored = lexical.bm25(_t(spark, sf, "documents"), hints(spark, sf), "doc_id", _words(), _words("hint"), match_all=False)
+    return lexical.ranked(scored, 10).select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"WITH {_WORDS}, r AS (SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, id) AS rank FROM bm QUALIFY rank <= 10) SELECT qid, id, round(s, 6) AS score, rank FROM r")
+def indexed_bm25(spark, sf):
     """From the stored index, with early ending."""
     found = _keyword_index(spark, sf).search(hints(spark, sf), _words("hint"), 10, match_all=False)
     return found.select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"WITH {_WORDS}, r AS (SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, id) AS rank FROM am QUALIFY rank <= 10) SELECT qid, id, round(s, 6) AS score, rank FROM r")
-def bm25_texts(spark, sf):
-    """Without an index: texts are cut and met by the rarest word."""
-    scored = lexical.bm25(_t(spark, sf, "documents"), hints(spark, sf), "doc_id", _words(), _words("hint"))
-    return lexical.ranked(scored, 10).select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+def indexed_bm25_all(spark, sf):
+    """Matches of every word, from the stored index."""
+    found = _keyword_index(spark, sf).search(hints(spark, sf), _words("hint"), 10)
+    return found.select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"WITH {_WORDS} SELECT qid, id FROM am")
 def and_match(spark, sf):
+    return lexical.and_match(_t(spark, sf, "documents"), hints(spark, sf), "doc_id", _words(), _words("hint"))
+
+
+@query(f"WITH {_WORDS} SELECT qid, id FROM am")
+def indexed_and_match(spark, sf):
     return _keyword_index(spark, sf).and_match(hints(spark, sf), _words("hint"))
 
 

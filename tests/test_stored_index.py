@@ -50,7 +50,7 @@ def test_searches_of_the_index_are_those_of_the_texts(spark, tmp_path, texts, as
             wanted += [(q, k, times)] if times else []
     assert found == sorted(wanted)
     # only directories of asked terms are in the plan
-    plan = made._asked_blocks("blocks", asked.where("qid = 1").select(F.lit("w1").alias("term")))._jdf.queryExecution().executedPlan().toString()
+    plan = made._asked_blocks("blocks", made._asked_buckets(asked.where("qid = 1").select(F.lit("w1").alias("term"))))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
