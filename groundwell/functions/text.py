@@ -132,8 +132,11 @@ def merge_maps(first: Column, second: Column) -> Column:
 
 
 def tokens_per_second(completion: Column, latency_ms: Column) -> Column:
-    """The generated column of telemetry: tokens by seconds, 0 without a latency, to two places as a decimal."""
-    return F.when(latency_ms > 0, F.round(completion / (latency_ms / 1000), 2)).otherwise(0).cast("decimal(10,2)")
+    """The generated column of telemetry: tokens by seconds, 0 without a latency, to two places as a decimal.
+
+    Tiny latencies give rates beyond ten digits, so the decimal is as wide as can be; a rate that is no number or fits none is null.
+    """
+    return F.when(latency_ms > 0, F.round(F.try_divide(completion, latency_ms / 1000), 2)).otherwise(0).try_cast("decimal(38,2)")
 
 
 def token_count(text: Column | str, encode: Callable[[str], list[int]] | None = None, encode_batch: Callable[[list[str]], list] | None = None) -> Column:

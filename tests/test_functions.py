@@ -90,3 +90,9 @@ def test_lexemes_and_cover_rank(spark):
     near = one(spark, lexical.cover_rank(F.array(F.lit(1)), F.array(F.lit(2))))
     far = one(spark, lexical.cover_rank(F.array(F.lit(1)), F.array(F.lit(20))))
     assert 0 < far < near < 0.1
+
+
+def test_rate_beyond_ten_digits(spark):
+    rows = spark.createDataFrame([(1, 1490, 0.01), (2, 5, 0.0), (3, 1490, 1e-9), (4, 5, float("nan")), (5, 7, 5e-324)], "id int, n bigint, ms double")
+    found = {r.id: r.rate for r in rows.select("id", tx.tokens_per_second(F.col("n"), F.col("ms")).cast("double").alias("rate")).collect()}
+    assert found == {1: 149000000.0, 2: 0.0, 3: 1.49e15, 4: None, 5: None}
