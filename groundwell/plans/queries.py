@@ -816,7 +816,7 @@ SELECT doc_id, dept, count(*) AS n_chunks, true AS fewer FROM z WHERE c <> '' GR
 def bucketed_store(spark, sf):
     """All documents are stored in buckets, a hundredth of them again for another department, and a fiftieth is removed; later changes write fewer buckets than there are documents of theirs or buckets."""
     docs = _t(spark, sf, "documents").select("doc_id", F.concat(F.lit("raw/"), "doc_id", F.lit(".bin")).alias("source_uri"), F.encode("text", "UTF-8").alias("content"))
-    vault = bucketed.BucketedStore(spark, shared_folder(spark, "bucketed"), buckets=128)
+    vault = bucketed.BucketedStore(spark, shared_folder(spark, "bucketed"), buckets=bucketed.buckets_for(docs.count()))
     store.ingest(docs, vault, ["old"])
     first = vault.version()
     again = docs.where("doc_id % 100 = 7")
@@ -826,7 +826,7 @@ def bucketed_store(spark, sf):
     documents, chunks = "doc_id string, source_uri string, allowed_depts array<string>, title string", "doc_id string, chunk_text string"
     vault.remove(docs.where("doc_id % 50 = 1"), documents, "doc_id string, chunk_id string, source_uri string, chunk_index int, chunk_text string, context_prefix string, loc string, metadata map<string,string>, contextual_text string")
     counts = vault.read("chunks", chunks).groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
-    fewer = written <= min(127, again.count())
+    fewer = written <= min(vault.buckets - 1, again.count())
     return vault.read("documents", documents).join(counts, "doc_id").select(F.regexp_extract("source_uri", r"(\d+)\.bin", 1).cast("bigint").alias("doc_id"), F.col("allowed_depts")[0].alias("dept"), "n_chunks", F.lit(fewer).alias("fewer"))
 
 

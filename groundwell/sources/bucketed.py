@@ -23,6 +23,11 @@ class ConflictError(OSError):
     """Another writer changed the same bucket meanwhile."""
 
 
+def buckets_for(n_documents: int, least: int = 128, held: int = 256) -> int:
+    """Buckets of about ``held`` documents: what a change writes then grows with the change and not with the store."""
+    return max(least, -(-n_documents // held))
+
+
 @dataclass(frozen=True)
 class Version:
     """``number`` and the folder of each bucket that has one."""
@@ -90,9 +95,8 @@ class BucketedStore:
         """A table of the newest version, or of another one, or its rows of some buckets."""
         version = version or self.version()
         wanted = version.folders if buckets is None else {b: version.folders[b] for b in buckets if b in version.folders}
-        fs = self._fs()
-        paths = [f"{self.path}/data/{folder}/{name}/bucket={b}" for b, folder in sorted(wanted.items())]
-        paths = [p for p in paths if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p))]  # a bucket may have documents and no chunks
+        there = {folder: self._held(folder, name) for folder in set(wanted.values())}
+        paths = [f"{self.path}/data/{folder}/{name}/bucket={b}" for b, folder in sorted(wanted.items()) if b in there[folder]]  # a bucket may have documents and no chunks
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _write(self, base: Version, touched: list[int], documents: DataFrame, chunks: DataFrame) -> Version:
@@ -102,8 +106,14 @@ class BucketedStore:
         for name, df in (("documents", documents), ("chunks", chunks)):
             rows = df.withColumn("bucket", self.bucket())
             rows.repartition(min(len(touched), self.buckets), "bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}/{name}")
-        fs = self._fs()
-        return self._commit(base, {b: folder if fs.exists(self._path(f"data/{folder}/documents/bucket={b}")) else None for b in touched})
+        held = self._held(folder, "documents")
+        return self._commit(base, {b: folder if b in held else None for b in touched})
+
+    def _held(self, folder: str, name: str) -> set[int]:
+        """The buckets that a folder has of a table, by one listing."""
+        fs, path = self._fs(), self._path(f"data/{folder}/{name}")
+        names = (x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else ()
+        return {int(x.split("=")[1]) for x in names if x.startswith("bucket=")}
 
     def apply(self, documents: DataFrame, chunks: DataFrame, kept: DataFrame) -> Version:
         """Puts new rows in place of those of the same documents: ``kept`` are the new documents that gave chunks."""

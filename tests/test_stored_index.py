@@ -319,3 +319,14 @@ def test_table_files_are_read_by_ranges(spark, tmp_path):
     for x in parse.parse(parse.scan_directory(spark, str(tmp_path)).where("source_uri not in ('other.txt', 'empty.csv')")).collect():
         wanted |= {(x.source_uri, k): (s.loc, s.text) for k, s in enumerate(x.sections)}
     assert got == wanted and len(got) > 36
+
+
+def test_buckets_follow_the_store(spark, tmp_path):
+    """A hundredth of the documents, changed, leaves some buckets as they are however large the store is."""
+    from groundwell.sources import bucketed
+
+    for n in (1_000, 51_282, 512_820):
+        vault = bucketed.BucketedStore(spark, f"file://{tmp_path}/grown", buckets=bucketed.buckets_for(n))
+        changed = spark.range(7, n, 100).select(F.sha2(F.concat(F.lit("raw/"), "id", F.lit(".bin")), 256).alias("doc_id"))
+        touched = changed.select(vault.bucket()).distinct().count()
+        assert touched <= min(vault.buckets - 1, changed.count())
