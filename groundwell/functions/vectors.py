@@ -84,31 +84,44 @@ def hash_embed(text: Column | str, dims: int = 64) -> Column:
     return _let(marks, counts)
 
 
-def hash_embedded(df: DataFrame, text: Column, dims: int = 64, out: str = "embedding") -> DataFrame:
-    """``df`` with the vector that :func:`hash_embed` gives, made within the row: nothing is shuffled.
+#: Words of an Arrow batch that are counted at a time.
+_WORDS = 1 << 18
 
-    Words are cut in the JVM; each distinct one of an Arrow batch is hashed once.
+
+def _pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about :data:`_WORDS` list entries, or one row."""
+    piece = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // _WORDS
+    begins = np.flatnonzero(np.diff(piece, prepend=-1))
+    for a, b in zip(begins.tolist(), [*begins[1:].tolist(), batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
+
+
+def hash_embedded(df: DataFrame, text: Column, dims: int = 64, out: str = "embedding", keep: list[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with the vector that :func:`hash_embed` gives, made within the row: nothing is shuffled.
+
+    Words are cut in the JVM; each distinct one of a piece of an Arrow batch is hashed once. Pieces hold a bounded number of words.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
-    rows = df.withColumn("__words", F.split(F.lower(text), r"\s+"))
+    rows = df.select(*(df.columns if keep is None else keep), F.split(F.lower(text), r"\s+").alias("__words"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists, n = batch.column("__words"), batch.num_rows
-            words = lists.flatten().dictionary_encode()
-            place = np.array([int(hashlib.sha1(w.encode()).hexdigest()[-3:], 16) % dims if w else -1 for w in words.dictionary.to_pylist()], np.int64)
-            row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            bucket = place[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
-            counts = np.bincount((row * dims + bucket)[bucket >= 0], minlength=n * dims).astype(np.float64)
-            vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dims), pa.array(counts))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], schema.names)
+        for whole in batches:
+            for batch in _pieces(whole, "__words"):
+                lists, n = batch.column("__words"), batch.num_rows
+                words = lists.flatten().dictionary_encode()
+                place = np.array([int(hashlib.sha1(w.encode()).hexdigest()[-3:], 16) % dims if w else -1 for w in words.dictionary.to_pylist()], np.int64)
+                row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+                bucket = place[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+                counts = np.bincount((row * dims + bucket)[bucket >= 0], minlength=n * dims).astype(np.float64)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dims), pa.array(counts))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
 def hash_embeddings(df: DataFrame, id_col: str, text: Column, dims: int = 64) -> DataFrame:
     """``id`` and the ``embedding`` that :func:`hash_embed` gives, for a whole table."""
-    return hash_embedded(df.select(F.col(id_col).alias("id"), text.alias("text")), F.col("text"), dims).select("id", "embedding")
+    return hash_embedded(df.select(F.col(id_col).alias("id"), text.alias("text")), F.col("text"), dims, keep=["id"])
 
 
 def char_embed(text: Column | str, dims: int = 1024) -> Column:
