@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -15,11 +15,10 @@ from pyspark.sql.window import Window
 
 from groundwell.functions.text import normalize_path, strip
 from groundwell.functions.vectors import cosine, rrf, unit, unit_cosine
+from groundwell.operators.best import Best, strips
 from groundwell.operators.lexical import bm25, holds_phrases, phrases, ranked, text_rank
 from groundwell.operators.security import Scope, secured
-
-
-_SCORES = 1 << 21
+from groundwell.sources.tables import stored
 
 
 def unit_matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -38,7 +37,7 @@ def vector_topk(df: DataFrame, queries: DataFrame, k: int, id_col: str, vector:
     """``qid``, ``id``, ``score`` (cosine; 0 for vectors that are null, zero or of another length) and ``rank`` of the k best rows of each query.
 
     Queries go to the rows in blocks of about ``block``, whole queries by the hash of ``qid``: products are matrix products over Arrow
-    batches, and of each batch only the k best rows of a query are shuffled. ``where`` is applied before ranking. More than
+    batches, and of each task only the k best rows of a query are shuffled. ``where`` is applied before ranking. More than
     ``max_queries``, if given, are refused.
     """
     n = queries.count()
@@ -53,28 +52,15 @@ def vector_topk(df: DataFrame, queries: DataFrame, k: int, id_col: str, vector:
         names, (wanted, wanted_length) = held.column("qid").combine_chunks(), unit_matrix(held.column("v").combine_chunks())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = Best(k, len(names))
             for batch in batches:
-                strip = max(1, _SCORES // max(len(names), 1))
-                for at in range(0, batch.num_rows if len(names) else 0, strip):
-                    part = batch.slice(at, strip)
+                for at, n_rows in strips(batch.num_rows, len(names)):
+                    part = batch.slice(at, n_rows)
                     vectors, length = unit_matrix(part.column("v"))
                     width = min(vectors.shape[1], wanted.shape[1])
                     scores = np.where(length[:, None] == wanted_length[None, :], vectors[:, :width] @ wanted[:, :width].T, 0.0)
-                    order = np.round(scores, 9)
-                    if len(order) > k:  # all ties of the k-th best go on
-                        keep = order >= np.partition(order, len(order) - k, axis=0)[len(order) - k]
-                    else:
-                        keep = np.ones(order.shape, bool)
-                    if min_similarity is not None:
-                        keep &= scores >= min_similarity
-                    i, j = np.nonzero(keep)
-                    if len(i) > 4 * k * len(names):  # many ties: of these the smallest ids
-                        rank_of = pc.rank(part.column("id"), tiebreaker="first", null_placement="at_start").to_numpy()
-                        turn = np.lexsort((rank_of[i], -order[i, j], j))
-                        i, j = i[turn], j[turn]
-                        first = np.arange(len(j)) - np.searchsorted(j, j) < k
-                        i, j = i[first], j[first]
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), part.column("id").take(pa.array(i)), pa.array(scores[i, j])], ["qid", "id", "score"])
+                    found.add(part.column("id"), scores, None if min_similarity is None else scores >= min_similarity)
+            yield from found.batches(names)
 
         return ranked(rows.mapInArrow(run, out), k)
 
@@ -104,32 +90,35 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int, id_col: str, do
     return fuse(v, t, k)
 
 
-def retrieve(chunks: DataFrame, docs: DataFrame, queries: DataFrame, k: int, scope: Scope | None, vector: str = "embedding", query_vector: str = "query_vector") -> DataFrame:
+def retrieve(chunks: DataFrame, docs: DataFrame, queries: DataFrame, k: int, scope: Scope | None, vector: str = "embedding", query_vector: str = "query_vector", embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Secured hybrid retrieval: ``qid``, the chunk, ``file_path``, ``loc``, ``score`` and ``rank`` of the k best chunks of each query.
 
     ``chunks`` have ``chunk_id``, ``doc_id``, ``chunk_text``, ``context_prefix``, ``metadata`` and a vector; ``docs`` have ``doc_id``, ``source_uri`` and
     ``allowed_depts``. What the scope may not see is gone before anything is ranked. A query (``qid``, ``hint``, a vector, and perhaps a
     ``path``) with a path meets only the chunks of that file, by an equi-join; the others meet all chunks. Candidates by vector and by words
     (all stemmed words, in the chunk or its context), ``max(20, 2k)`` of each, are fused by rank. Blank hints find nothing.
+
+    ``embed``, if given, makes the vectors of chunks that have none (it keeps ``chunk_id`` and ``__path``): only the search by vector asks it.
+    Chunks pass where they are; what is shuffled are scores, and the chunks join the k best of each query, which are written first.
     """
     candidates = max(20, 2 * k)
     own = chunks if "source_uri" in chunks.columns else chunks.join(docs.select("doc_id", "source_uri"), "doc_id")
-    own = secured(own, docs, scope).withColumn("__path", normalize_path("source_uri"))
+    own, vectors = secured(own, docs, scope), embed or (lambda rows: rows)
     asked = queries.where(strip("hint") != "")
     has_path = F.col("path").isNotNull() if "path" in queries.columns else F.lit(False)
     searched = F.concat_ws(" ", F.coalesce("context_prefix", F.lit("")), "chunk_text")
     legs = []
     if "path" in queries.columns:
         addressed = asked.where(has_path).withColumn("__path", normalize_path("path"))
-        within = own.join(addressed.select("__path").distinct(), "__path", "left_semi")
-        scored = within.select(F.col("chunk_id").alias("id"), "__path", unit(vector).alias("__v")).join(addressed.select("qid", "__path", unit(query_vector).alias("__q")), "__path")
+        within = own.withColumn("__path", normalize_path("source_uri")).join(addressed.select("__path").distinct(), "__path", "left_semi")
+        scored = vectors(within).select(F.col("chunk_id").alias("id"), "__path", unit(vector).alias("__v")).join(addressed.select("qid", "__path", unit(query_vector).alias("__q")), "__path")
         legs.append((scored.select("qid", "id", unit_cosine("__v", "__q").alias("score")), text_rank(within, addressed, "chunk_id", searched, path_col="__path")))
     free = asked.where(~has_path)
     if not legs or free.limit(1).count():  # queries without a path meet every chunk: no pass over them for none
-        legs.append((vector_topk(own, free, candidates, "chunk_id", vector, query_vector).select("qid", "id", "score"), text_rank(own, free, "chunk_id", searched)))
+        legs.append((vector_topk(vectors(own), free, candidates, "chunk_id", vector, query_vector).select("qid", "id", "score"), text_rank(own, free, "chunk_id", searched)))
     v, t = (ranked(reduce(DataFrame.unionByName, side), candidates) for side in zip(*legs, strict=True))
-    top = fuse(v, t, k).select("qid", F.col("id").alias("chunk_id"), "score", "rank")
-    return top.join(own, "chunk_id").select("qid", "chunk_id", F.col("chunk_text").alias("text"), F.col("source_uri").alias("file_path"), F.col("metadata")["loc"].alias("loc"), "metadata", "score", "rank")
+    top = stored(fuse(v, t, k).select("qid", F.col("id").alias("chunk_id"), "score", "rank"), "best-chunks")
+    return own.join(top, "chunk_id").select("qid", "chunk_id", F.col("chunk_text").alias("text"), F.col("source_uri").alias("file_path"), F.col("metadata")["loc"].alias("loc"), "metadata", "score", "rank")
 
 
 def vector_ranks(df: DataFrame, queries: DataFrame, targets: DataFrame, id_col: str, vector: str = "embedding", query_vector: str = "query_vector", block: int = 10_000, descending: bool = False) -> DataFrame:
@@ -184,7 +173,7 @@ def wiki_search(pages: DataFrame, queries: DataFrame, k: int, id_col: str, doc_w
     """
     if k <= 0:
         return pages.select(F.lit(0).alias("qid"), F.col(id_col).alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where(F.lit(False))
-    found = bm25(pages, queries, id_col, doc_words, query_words)
+    found = stored(bm25(pages, queries, id_col, doc_words, query_words), "page-matches")
     if "hint" in queries.columns:  # a term of several words must stand in the page as it is
         strict = queries.select("qid", phrases("hint").alias("phrases")).where("size(phrases) > 0")
         broken = found.join(strict, "qid").join(pages.select(F.col(id_col).alias("id"), doc_words.alias("words")), "id").where(~holds_phrases(F.col("words"), F.col("phrases")))

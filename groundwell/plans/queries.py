@@ -164,7 +164,7 @@ def telemetry_generated(spark, sf):
 @query(r"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS t FROM documents)
 SELECT doc_id, ('0x' || right(sha1(t), 3))::INT % 64 AS bucket, count(*) AS n FROM w GROUP BY 1, 2""")
 def hash_embed(spark, sf):
-    made = vx.hash_embedded(_t(spark, sf, "documents").select("doc_id", "text"), F.col("text"))
+    made = vx.hash_embedded(_t(spark, sf, "documents"), F.col("text"), keep=["doc_id"])
     counts = made.select("doc_id", F.posexplode("embedding").alias("bucket", "n"))
     return counts.where("n > 0").select("doc_id", "bucket", F.col("n").cast("bigint").alias("n"))
 
@@ -252,7 +252,7 @@ _NUMBERED = """numbered AS (SELECT sha256('raw/' || source || '/' || doc_id || '
 
 
 def _located_chunks(spark, sf, docs=None):
-    docs = (corpus(spark, sf) if docs is None else docs).select("source_uri", "title", F.array(F.struct(F.col("lang").alias("loc"), "text", F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))).alias("sections"))
+    docs = (corpus(spark, sf) if docs is None else docs).select("source_uri", "title", "allowed_depts", F.array(F.struct(F.col("lang").alias("loc"), "text", F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))).alias("sections"))
     return chunking.chunk_documents(docs)
 
 
@@ -292,8 +292,8 @@ def _words(column="text"):
 
 @query(f"WITH {_WORDS}, r AS (SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, id) AS rank FROM bm QUALIFY rank <= 10) SELECT qid, id, round(s, 6) AS score, rank FROM r")
 def bm25_topk(spark, sf):
-    scored = lexical.bm25(_t(spark, sf, "documents"), hints(spark, sf), "doc_id", _words(), _words("hint"), match_all=False)
-    return lexical.ranked(scored, 10).select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    found = lexical.bm25_best(_t(spark, sf, "documents"), hints(spark, sf), "doc_id", _words(), _words("hint"), 10)
+    return found.select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"WITH {_WORDS}, r AS (SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, id) AS rank FROM bm QUALIFY rank <= 10) SELECT qid, id, round(s, 6) AS score, rank FROM r")
@@ -368,7 +368,7 @@ hy AS (SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDER BY round(s,
 def _hybrid(spark, sf, k=10):
     docs = _t(spark, sf, "documents")
     asked = hints(spark, sf).withColumn("query_vector", vx.hash_embed("hint"))
-    vectors = vx.hash_embedded(docs.select(F.col("doc_id").alias("id"), "text"), F.col("text"))
+    vectors = vx.hash_embeddings(docs, "doc_id", F.col("text"))
     candidates = max(20, 2 * k)
     v = search.vector_topk(vectors, asked, candidates, "id")
     t = lexical.ranked(lexical.bm25(docs, asked, "doc_id", _words(), _words("hint")), candidates)
@@ -413,12 +413,17 @@ hits AS (SELECT f.qid, f.id, f.s, f.rank, v.chunk_text, v.source_uri FROM (SELEC
 
 
 def _store(spark, sf, docs=None):
-    """Chunks of documents with vectors of their text in its context, and the registry of all documents."""
-    chunks = vx.hash_embedded(_located_chunks(spark, sf, docs), F.col("contextual_text"))
+    """Chunks of documents with the departments of these, and the registry of all documents."""
+    chunks = _located_chunks(spark, sf, docs).drop("contextual_text")
     docs = corpus(spark, sf).select(F.sha2("source_uri", 256).alias("doc_id"), "source_uri", "allowed_depts")
     return chunks, docs
 
 
+def _embed(chunks):
+    """Vectors of the chunks' text in its context."""
+    return vx.hash_embedded(chunks, tx.contextual_text("context_prefix", "chunk_text"), keep=[c for c in ("chunk_id", "__path") if c in chunks.columns])
+
+
 def _asked(queries):
     return queries.withColumn("query_vector", vx.hash_embed("hint"))
 
@@ -429,7 +434,7 @@ _BASE = f"{_CHUNKS}, {_CORPUS}, {_NUMBERED}"
 
 def _retrieve(spark, sf, asked, k, docs=None):
     """What a caller with the scope of :data:`_SCOPE` finds."""
-    return search.retrieve(*_store(spark, sf, docs), _asked(asked), k, security.Scope(frozenset({"all", "de"}), team="src1"))
+    return search.retrieve(*_store(spark, sf, docs), _asked(asked), k, security.Scope(frozenset({"all", "de"}), team="src1"), embed=_embed)
 
 
 @query(f"WITH {_BASE}, asked AS (SELECT item_id AS qid, text AS hint FROM benchmark), {_retrieval_sql(_SCOPE, 10)} SELECT qid, id AS chunk_id, round(s, 6) AS score, rank, source_uri AS file_path FROM hits")
@@ -487,7 +492,7 @@ def two_layer_answers(spark, sf):
 
 def _everyone(chunks, docs):
     """Searches without a path for rows of ``ord`` and ``hint``, as verification asks for."""
-    return lambda rows: search.retrieve(chunks, docs, _asked(rows.select(F.col("ord").alias("qid"), "hint")), 5, security.Scope(frozenset({"all"}))).withColumnRenamed("qid", "ord")
+    return lambda rows: search.retrieve(chunks, docs, _asked(rows.select(F.col("ord").alias("qid"), "hint")), 5, security.Scope(frozenset({"all"})), embed=_embed).withColumnRenamed("qid", "ord")
 
 
 def _verified(spark, sf):
