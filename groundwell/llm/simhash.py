@@ -193,24 +193,32 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def connected(edges: DataFrame) -> DataFrame:
     """``node`` and ``label``, the smallest node of its component, for every node of ``edges`` (a, b).
 
-    A round offers each node the smallest label among its neighbours, hands offers on to the node that the label names, and
-    then follows labels once more, so the number of rounds grows with the logarithm of a component's width. Minima are partial before
-    they are shuffled, and both sides of every join are tables in the shared folder: a node of very many edges, or a label of very many
-    nodes, is a skewed partition that adaptive execution splits.
+    In a round every node takes the smallest of itself and its neighbours, which makes trees; each becomes one node, named by its root, and only edges
+    between different trees go on. A node that nothing joins in a round has a smaller neighbour in the next, so two rounds halve the nodes at least; and
+    a dense group's edges meet its labels once, not once in each round. Minima are partial before they are shuffled, and both sides of every join are
+    tables in the shared folder: a node of very many edges, or a label of very many nodes, is a skewed partition that adaptive execution splits.
     """
     # written before it is turned round: a spanning forest made twice may be another one each time, and links would be lost
-    once = stored(edges.select("a", "b"), "links")
-    both = stored(once.union(once.select("b", "a")).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
+    once = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    labels = None
     while True:
-        offers = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("offer"))
-        lower = stored(labels.join(offers.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "offer").alias("label"), F.col("label").alias("before")), "offers")
-        up = lower.groupBy(F.col("before").alias("node")).agg(F.min("label").alias("up"))
-        hooked = stored(lower.join(up, "node", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "before"), "hooked")
-        roots = hooked.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        after = stored(hooked.join(roots, "label").select("node", F.col("root").alias("label"), "before"), "labels")
-        labels = after.select("node", "label")
-        if not after.where("label <> before").limit(1).count():
+        least = once.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")).union(once.select(F.col("a").alias("node"), F.col("a").alias("label")))
+        own = stored(least.groupBy("node").agg(F.min("label").alias("label")), "labels")
+        while True:
+            roots = own.select(F.col("node").alias("label"), F.col("label").alias("root"))
+            own = stored(own.join(roots, "label").select("node", F.col("root").alias("label"), F.col("label").alias("before")), "roots")
+            moved = own.where("label <> before").limit(1).count()
+            own = own.select("node", "label")
+            if not moved:
+                break
+        if labels is None:
+            labels = own
+        else:
+            labels = stored(labels.join(own.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+        of = lambda side: own.select(F.col("node").alias(side), F.col("label").alias(f"root_{side}"))
+        roots = once.join(of("a"), "a").join(of("b"), "b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b"))
+        once = stored(roots.where("a <> b").distinct(), "edges")
+        if not once.limit(1).count():
             return labels
 
 

@@ -1,5 +1,6 @@
 """Operators do the whole of their job: no near copy, tier or part of a secret is left out."""
 
+import random
 import re
 
 import numpy as np
@@ -283,3 +284,33 @@ def test_pii_recall_and_precision_by_kind_on_wordings_of_its_own(spark):
         precision = sum(h for real, h in hits if real) / max(1, sum(h for real, h in hits if real) + wrong)
         print(kind, round(recall, 3), round(precision, 3))
         assert recall >= 0.9 and precision >= 0.9, kind
+
+
+def test_edges_meet_labels_once(spark, monkeypatch):
+    """Twenty edges from each member of a group, as bands give: labels are the smallest nodes, and no round but the first meets all edges."""
+    from groundwell.llm import simhash
+
+    r = random.Random(12)
+    group = [(r.randrange(k), k) for k in range(1, 800) for _ in range(20)]
+    path = [(5000 + k, 5001 + k) for k in range(300)]
+    star = [(9000 + k, 9999) for k in range(200)]
+    mixed = [(x, 20_000 + r.randrange(60)) for x in range(10_000, 10_100)]
+    edges = [e if r.random() < 0.5 else e[::-1] for e in group + path + star + mixed]
+    sizes, store = [], simhash.stored
+
+    def noted(df, name):
+        out = store(df, name)
+        if name == "edges":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", noted)
+    got = {x.node: x.label for x in simhash.connected(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    label = {x: x for e in edges for x in e}
+    find = lambda x: x if label[x] == x else find(label[x])
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        label[b] = a
+    assert got == {x: find(x) for x in label}
+    assert sizes[0] == len({tuple(sorted(e)) for e in edges}) and sum(sizes[1:]) < 0.1 * sizes[0]
+    assert simhash.connected(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
