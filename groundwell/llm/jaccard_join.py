@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwell.llm.blocks import buffer_of, slices
-from groundwell.llm.shared import bitmap, id_and_text, may_hold, schema_with_id, stored
+from groundwell.llm.shared import bitmap, id_and_text, may_hold, schema_with_id, stored, with_maybe
 from groundwell.llm.simhash import connected, distinct_shingles, shingle_hashes
 
 #: Bits of the bitmaps that bound a symmetric difference from below.
@@ -126,10 +126,16 @@ def sets_of(docs: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
     return once.join(named, ["h", "digest"]).select("node", "size", "shingles")
 
 
+def asked_sets(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of ``sets`` those that ``nodes`` (``node``) may name: the others stay where they are when sets are moved to a join."""
+    return with_maybe(sets, F.xxhash64("node"), nodes.select(F.xxhash64("node"))).where("maybe").drop("maybe")
+
+
 def distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``node``, ``pivot``, ``near`` (within the threshold) and ``at``, the Jaccard distance of the two, for every pair."""
-    pivots = sets.select(F.col("node").alias("pivot"), F.col("size").alias("p_size"), F.col("shingles").alias("p_shingles"))
-    met = pairs.join(sets, "node").join(pivots, "pivot").select("node", "pivot", F.size(F.array_intersect("shingles", "p_shingles")).cast("bigint").alias("both"), (F.col("size") + F.col("p_size")).alias("sum"))
+    heads = asked_sets(sets, pairs.select(F.col("pivot").alias("node")).distinct())
+    pivots = heads.select(F.col("node").alias("pivot"), F.col("size").alias("p_size"), F.col("shingles").alias("p_shingles"))
+    met = pairs.join(asked_sets(sets, pairs), "node").join(pivots, "pivot").select("node", "pivot", F.size(F.array_intersect("shingles", "p_shingles")).cast("bigint").alias("both"), (F.col("size") + F.col("p_size")).alias("sum"))
     union = F.col("sum") - F.col("both")
     return met.select("node", "pivot", (100 * F.col("both") >= percent * union).alias("near"), (1 - F.col("both") / union).alias("at"))
 
@@ -149,6 +155,7 @@ def voronoi(cells: DataFrame, sets: DataFrame, width: float, n_pivots: int) -> D
     """
     drawn = cells.where("home").select("cell", "node", F.xxhash64("node", "cell").alias("draw"))
     chosen = drawn.groupBy("cell", F.pmod("draw", F.lit(n_pivots)).cast("int").alias("k")).agg(F.min(F.struct("draw", "node"))["node"].alias("node"))
+    sets = asked_sets(sets, cells)
     held = chosen.join(sets, "node").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("k", "size", "shingles"))).alias("pivots"))  # n_pivots at most
 
     def distance(p):
@@ -196,7 +203,7 @@ def block_links(cells: DataFrame, sets: DataFrame, percent: int, block_rows: int
     out = F.transform(every("others"), lambda q: place(True, F.col("part"), q))
     back = F.transform(every("homes"), lambda p: place(True, p, F.col("part")))
     dealt = dealt.select("cell", "node", "home", "part", "at", F.explode(F.when(F.col("home"), F.concat(own, out)).otherwise(back)).alias("pair"))
-    rows = dealt.join(sets, "node").groupBy("cell", "pair").agg(F.collect_list(F.struct("node", "home", "part", "at", "size", "shingles")).alias("rows")).where("size(rows) > 1").select("pair.across", "pair.low", "pair.high", "rows")
+    rows = dealt.join(asked_sets(sets, sized.join(counts, "cell", "left_semi")), "node").groupBy("cell", "pair").agg(F.collect_list(F.struct("node", "home", "part", "at", "size", "shingles")).alias("rows")).where("size(rows) > 1").select("pair.across", "pair.low", "pair.high", "rows")
     width = 1 - percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

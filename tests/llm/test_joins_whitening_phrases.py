@@ -295,3 +295,14 @@ def test_op13_awkward_rows(spark, odd_texts, none):
     assert rows_of(co.collocations(df)) == plain_collocations([(t, None) for _, t in odd_texts])
     assert co.collocations(none.selectExpr("text", "label AS lang")).collect() == []
     assert pa.types.is_string(co.collocations(df).limit(1).toArrow().schema.field("phrase").type)
+
+
+def test_only_asked_sets_are_moved(spark):
+    sets = spark.range(4000).selectExpr("id AS node", "3L AS size", "array(id, id + 1, id + 2) AS shingles")
+    nodes = spark.range(0, 4000, 40).withColumnRenamed("id", "node")
+    held = {r.node for r in jj.asked_sets(sets, nodes).collect()}
+    assert held >= set(range(0, 4000, 40)) and len(held) < 400
+    # 3,000 sets each meet one of five pivots: the pivots' side is as good as empty of others
+    pairs = spark.range(5, 3005).selectExpr("id AS node", "id % 5 AS pivot")
+    plan = jj.distances(pairs, sets, 90)
+    assert plan.count() == 3000 and plan._jdf.queryExecution().optimizedPlan().toString().count("__word") > 0
